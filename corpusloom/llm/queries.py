@@ -4,24 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe, gif, licenses, packing, quality, secrets, shards, simhash
 from .common import documents
-from .shards import sharded_documents
-from .simhash import near_duplicates
+
+
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged_documents(documents(spark, sf_dir))
+
+
+def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.media_documents(documents(spark, sf_dir))
 
 
 def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharded_documents(documents(spark, sf_dir))
+    return shards.sharded_documents(documents(spark, sf_dir))
+
+
+def op5_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode_documents(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, with_ids=False).drop("ids")
+
+
+def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned_documents(documents(spark, sf_dir))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op9_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licensed_documents(documents(spark, sf_dir))
+
+
+def op10_exact_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_frequency": op1_line_frequency,
+    "op2_gif_media": op2_gif_media,
     "op4_ring_shards": op4_ring_shards,
+    "op5_merge_replay": op5_merge_replay,
+    "op7_markov_secrets": op7_markov_secrets,
     "op8_simhash": op8_simhash,
+    "op9_license_digests": op9_license_digests,
+    "op10_exact_fit_packing": op10_exact_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_line_frequency": quality.ORACLE, "op9_license_digests": licenses.oracle()}

@@ -43,10 +43,23 @@ def fold(doc_id: Column | str, modulus: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")), F.lit(0)) % modulus
 
 
+def hash_below(df: DataFrame, rank: str, limit: int) -> int | None:
+    """The ``limit``-th smallest value of the column ``rank`` (distinct hashes, evenly spread over the longs),
+    or null if there are no more. Only about ``limit`` values are sorted, however many there are."""
+    n = df.count()
+    if n <= limit:
+        return None
+    guess = -(1 << 63) + int((1 << 64) * min(1.0, (1.2 * limit + 100) / n))
+    low = df if guess >= 1 << 63 else df.where(F.col(rank) < guess)
+    return low.orderBy(rank).limit(limit).agg(F.max(rank)).first()[0]
+
+
 def labelled_sample(rows: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` labelled rows: those whose ids have the smallest hashes. ``rows`` must hold ids
+    """At most ``limit`` labelled rows: those whose ids have the smallest hashes. ``rows`` must hold distinct ids
     and labels only, so what is sorted and later broadcast is bounded by ``limit``."""
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    ranked = rows.withColumn("_rank", F.xxhash64("doc_id"))
+    most = hash_below(ranked, "_rank", limit)
+    return (ranked if most is None else ranked.where(F.col("_rank") <= most)).orderBy("_rank", "doc_id").limit(limit).drop("_rank")
 
 
 def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, cells: int | None = None, rows: int | None = None) -> DataFrame:

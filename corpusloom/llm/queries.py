@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif, licenses, packing, quality, secrets, shards, simhash
-from .common import documents
+from . import bpe, gif, langid, licenses, packing, quality, secrets, shards, simhash, toxicity
+from .common import documents, labels
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_documents(documents(spark, sf_dir))
 
 
+def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged_documents(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sharded_documents(documents(spark, sf_dir))
 
@@ -28,6 +32,10 @@ def op5_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, with_ids=False).drop("ids")
 
 
+def op6_language_machines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified_documents(documents(spark, sf_dir))
+
+
 def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned_documents(documents(spark, sf_dir))
 
@@ -47,8 +55,10 @@ def op10_exact_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_gif_media": op2_gif_media,
+    "op3_toxic_segments": op3_toxic_segments,
     "op4_ring_shards": op4_ring_shards,
     "op5_merge_replay": op5_merge_replay,
+    "op6_language_machines": op6_language_machines,
     "op7_markov_secrets": op7_markov_secrets,
     "op8_simhash": op8_simhash,
     "op9_license_digests": op9_license_digests,

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, hash_below
+
 #: The base patterns, by kind. Matches are leftmost and don't overlap within a kind.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 8
@@ -26,7 +28,7 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]{20,}"
 WORD = "[A-Za-z0-9+/_=-]{8,}"
-SAMPLE = 4000  # at most so many documents of either label are read for the models
+SAMPLE = 4000  # at most so many different texts of either label are read for the models
 LEAST_TOTAL = 12.0
 LEAST_EACH = 0.6
 _BLOCK = 256
@@ -70,18 +72,24 @@ def _pairs(values: Column) -> Column:
 
 def markov_ratios(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     """The log-likelihood ratio of every ordered pair of characters, random against ordinary, as a table
-    over ALPHABET plus one place for any other character. Its size is fixed; at most ``sample`` documents
-    of either label, those with the smallest hashes of their texts, are read for the counts. Without any
+    over ALPHABET plus one place for any other character. Its size is fixed; at most ``sample``
+    different texts of either label, those with the smallest hashes, are counted. Without any
     labelled string the random model is uniform and the ordinary one too, so nothing is ever found."""
-    marked = base_spans(docs.select("text"))
-    rank = F.xxhash64("_text")
+    texts = docs.select("text").withColumn("_r", F.xxhash64(F.coalesce("text", F.lit(""))))
     has = (F.size("assign") + F.size("access") + F.size("hex")) > 0
     values = F.concat(F.transform("assign", lambda x: F.regexp_extract(x["value"], ASSIGN, 2)), F.transform("access", lambda x: x["value"]), F.transform("hex", lambda x: x["value"]))
+    hashes = cut(base_spans(texts).select("_r", has.alias("has"), F.col("_text").rlike(WORD).alias("word")).distinct())
     counts = {}
-    for label, rows, strings in ((1, marked.where(has), values), (0, marked.where(~has & F.col("_text").rlike(WORD)), F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))):
-        chosen = rows.select(rank.alias("r"), strings.alias("v")).orderBy("r").limit(sample)
+    for label, mine in ((1, F.col("has")), (0, ~F.col("has") & F.col("word"))):
+        most = hash_below(hashes.where(mine), "_r", sample)
+        chosen = base_spans(texts if most is None else texts.where(F.col("_r") <= most))
+        if label:
+            strings = chosen.where(has).select("_r", values.alias("v"))
+        else:
+            strings = chosen.where(~has & F.col("_text").rlike(WORD)).select("_r", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("v"))
         long = F.filter("v", lambda s: F.length(s) >= 2)
-        counts[label] = {r.p: r.n for r in chosen.select(F.explode(_pairs(long)).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+        one = strings.dropDuplicates(["_r"])  # equal texts count once
+        counts[label] = {r.p: r.n for r in one.select(F.explode(_pairs(long)).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
     size = len(ALPHABET) + 1
     place = lambda c: ALPHABET.find(c) + 1
     chance = {}

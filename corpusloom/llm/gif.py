@@ -198,7 +198,7 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
         least = data[at] if at < len(data) else 0
         at += 1
         stream = blocks()
-        if not 1 <= least <= 8 or colours is None:
+        if not 2 <= least <= 8 or colours is None:
             return
         got = np.frombuffer(lzw_decode(stream, least)[: w * h], np.uint8)
         here = np.zeros(w * h, bool)

@@ -29,6 +29,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]{20,}"
 WORD = "[A-Za-z0-9+/_=-]{8,}"
 SAMPLE = 4000  # at most so many different texts of either label are read for the models
+BACKOFF = 5.0
 LEAST_TOTAL = 12.0
 LEAST_EACH = 0.6
 _BLOCK = 256
@@ -73,8 +74,8 @@ def _pairs(values: Column) -> Column:
 def markov_ratios(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     """The log-likelihood ratio of every ordered pair of characters, random against ordinary, as a table
     over ALPHABET plus one place for any other character. Its size is fixed; at most ``sample``
-    different texts of either label, those with the smallest hashes, are counted. Without any
-    labelled string the random model is uniform and the ordinary one too, so nothing is ever found."""
+    different texts of either label, those with the smallest hashes, are counted. Without
+    strings of both labels every ratio is 0, so nothing is found."""
     texts = docs.select("text").withColumn("_r", F.xxhash64(F.coalesce("text", F.lit(""))))
     has = (F.size("assign") + F.size("access") + F.size("hex")) > 0
     values = F.concat(F.transform("assign", lambda x: F.regexp_extract(x["value"], ASSIGN, 2)), F.transform("access", lambda x: x["value"]), F.transform("hex", lambda x: x["value"]))
@@ -90,18 +91,21 @@ def markov_ratios(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
         long = F.filter("v", lambda s: F.length(s) >= 2)
         one = strings.dropDuplicates(["_r"])  # equal texts count once
         counts[label] = {r.p: r.n for r in one.select(F.explode(_pairs(long)).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts[0] or not counts[1]:
+        return [0.0] * (len(ALPHABET) + 1) ** 2
     size = len(ALPHABET) + 1
     place = lambda c: ALPHABET.find(c) + 1
     chance = {}
     for label in (0, 1):
-        n = [[0.5] * size for _ in range(size)]
+        n = [[0] * size for _ in range(size)]
         for p, k in counts[label].items():
             n[place(p[0])][place(p[1])] += k
-        chance[label] = [[x / sum(row) for x in row] for row in n]
-    if not counts[1]:
-        chance[1] = [[1 / size] * size for _ in range(size)]
+        # A character without many followers of its own falls back on how often each follows any.
+        after = [sum(row[b] for row in n) + 0.5 for b in range(size)]
+        whole = sum(after)
+        chance[label] = [[(row[b] + BACKOFF * after[b] / whole) / (sum(row) + BACKOFF) for b in range(size)] for row in n]
     # Random strings come in more alphabets than the samples show: half of their model stays uniform.
-    return [math.log((0.5 * chance[1][a][b] + 0.5 / size) / chance[0][a][b]) if counts[0] else 0.0 for a in range(size) for b in range(size)]
+    return [math.log((0.5 * chance[1][a][b] + 0.5 / size) / chance[0][a][b]) for a in range(size) for b in range(size)]
 
 
 def find_secrets(docs: DataFrame, sample: int = SAMPLE, least_total: float = LEAST_TOTAL, least_each: float = LEAST_EACH) -> DataFrame:
@@ -132,7 +136,7 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE, least_total: float = LEA
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; overlapping spans become one mark.
     Rows without a secret stay as they are, null texts too."""
-    found = find_secrets(docs)
+    found = find_secrets(docs.select("text", F.struct(*docs.columns).alias("_row")))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(s: Column, x: Column) -> Column:
@@ -141,7 +145,8 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         return F.struct(out.alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
 
     done = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text"))).select(*docs.columns)
+    clean = F.when(F.size("spans") > 0, done).otherwise(F.col("text"))
+    return found.select(*(clean.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def scanned_documents(docs: DataFrame) -> DataFrame:

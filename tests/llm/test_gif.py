@@ -9,7 +9,7 @@ from corpusloom.llm import gif
 
 def test_lzw_round_trip():
     rng = random.Random(5)
-    for least in (1, 2, 5, 8):
+    for least in (2, 5, 8):
         for n in (0, 1, 2, 300, 5000, 60_000):
             for data in (bytes(rng.choices(range(1 << least), k=n)), bytes(n)):
                 assert gif.lzw_decode(gif.lzw_encode(data, least), least) == data
@@ -38,7 +38,7 @@ def made(frames, across=4, down=4):
 
 
 def grey(frame):
-    return np.where(frame.canvas[..., 3] > 0, frame.canvas[..., 0] // 60, -1).tolist()
+    return np.where(frame.canvas[..., 3] > 0, frame.canvas[..., 0].astype(int) // 60, -1).tolist()
 
 
 def test_disposal_transparency_interlace():

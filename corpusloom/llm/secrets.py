@@ -108,14 +108,15 @@ def markov_ratios(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     return [math.log((0.5 * chance[1][a][b] + 0.5 / size) / chance[0][a][b]) for a in range(size) for b in range(size)]
 
 
-def find_secrets(docs: DataFrame, sample: int = SAMPLE, least_total: float = LEAST_TOTAL, least_each: float = LEAST_EACH) -> DataFrame:
+def find_secrets(docs: DataFrame, ratios: list[float] | None = None, sample: int = SAMPLE, least_total: float = LEAST_TOTAL, least_each: float = LEAST_EACH) -> DataFrame:
     """Add ``assign``, ``access``, ``hex``, ``markov`` (arrays of start, end, value; code points, end
     exclusive) and ``spans`` (all of them as start, rank of the kind, end, kind, in that order) to ``docs``.
+    ``ratios`` come from ``markov_ratios``, by default of ``docs`` itself.
 
     A null text is an empty one and has no spans; repeated rows give equal spans; an empty table gives no
     rows; columns of ``docs`` with those names are replaced. Markov spans never overlap base spans.
     """
-    ratios = markov_ratios(docs, sample)
+    ratios = markov_ratios(docs, sample) if ratios is None else ratios
     df = base_spans(docs.drop(*KINDS, "spans"))
     df = _found(df, "markov", RUN, F.lit(True))
     df = df.withColumn("_base", F.concat("assign", "access", "hex"))
@@ -149,9 +150,9 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     return found.select(*(clean.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
-def scanned_documents(docs: DataFrame) -> DataFrame:
+def scanned_documents(docs: DataFrame, ratios: list[float] | None = None) -> DataFrame:
     """What op7 returns."""
-    found = find_secrets(docs)
+    found = find_secrets(docs, ratios)
     write = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["rank"] < 3)
     count = lambda k: F.size(k).cast("long")

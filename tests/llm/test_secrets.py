@@ -38,9 +38,9 @@ def test_markov_spans(spark, docs):
     letters = secrets.ALPHABET
     tokens = ["".join(rng.choices(letters[:62], k=40)) for _ in range(200)]
     words = sorted({w for r in docs.collect() for w in re.findall("[a-z]{20,}", r.text)})
-    rows = docs.select("doc_id", "text").collect()
+    ratios = secrets.markov_ratios(docs)
     made = [(1000 + k, f"see {t} here") for k, t in enumerate(tokens)] + [(5000 + k, f"see {w} here") for k, w in enumerate(words)]
-    got = {r.doc_id: r for r in secrets.scanned_documents(spark.createDataFrame([*map(tuple, rows), *made], "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in secrets.scanned_documents(spark.createDataFrame(made, "doc_id long, text string"), ratios).collect()}
     assert sum(got[1000 + k].spans == "markov:4:44" for k in range(len(tokens))) >= 0.95 * len(tokens)
     assert sum(got[5000 + k].n_markov for k in range(len(words))) <= 0.02 * len(words)
 

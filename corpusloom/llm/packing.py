@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +25,24 @@ from .bpe import in_blocks
 from .common import cut, gapless_rank
 
 SIZE = 2048
-CACHE = 500_000  # words kept from block to block in one Python worker
-BLOCK = 16 << 20
+CACHE = 500_000  # words after which a Python worker starts a new generation; it keeps two
+BLOCK = 12 << 20
+
+
+def _gather(table: list[bytes], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of ``table[k]`` for each k of ``order``, side by side, and how many each has."""
+    size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+    first, taken = (np.cumsum(size) - size)[order], size[order]
+    ids = np.frombuffer(b"".join(table), "<u4")
+    return ids[np.repeat(first - np.cumsum(taken) + taken, taken) + np.arange(taken.sum())], taken
 
 
 class WordEncoder:
-    """Ids by the ``tokenizers`` library, asked once for each run without white space.
+    """Ids by the ``tokenizers`` library, asked once for each word.
 
     The vocabulary's normaliser and splitter never join text across white space, so a text's ids are
-    those of its white-space-separated runs, one after another.
+    those of its white-space-separated runs, one after another. A run of letters with stops or commas
+    after it is the word, in lower case, and its stops.
     """
 
     def __init__(self, path: str):
@@ -39,30 +50,60 @@ class WordEncoder:
 
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, bytes] = {}
-
-    def _ask(self, runs: list[bytes]) -> None:
-        for first in range(0, len(runs), 10_000):
-            part = runs[first : first + 10_000]
-            for r, e in zip(part, self.tool.encode_batch_fast([r.decode("utf-8", "replace") for r in part], add_special_tokens=False)):
-                self.known[r] = np.array(e.ids, "<u4").tobytes()
+        vocabulary = self.tool.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ask(self, words: list[bytes]) -> None:
+        """Learn new words; those of letters alone by many at a time, told apart by their end tokens."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        encode = lambda batch: self.tool.encode_batch_fast(batch, add_special_tokens=False)
+        plain = [k for k, t in enumerate(texts) if t.isalpha()]
+        rest = [k for k, t in enumerate(texts) if not t.isalpha()]
+        for at in range(0, len(plain), 1000):
+            group = plain[at : at + 1000]
+            ids = np.array(encode([" ".join(texts[k] for k in group)])[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(group):
+                raw = ids.tobytes()
+                self.young.update((words[k], raw[a:b]) for k, a, b in zip(group, [0, *stops], stops))
+            else:  # a word fell apart
+                rest += group
+        for at in range(0, len(rest), 5000):
+            group = rest[at : at + 5000]
+            self.young.update((words[k], np.array(e.ids, "<u4").tobytes()) for k, e in zip(group, encode([texts[k] for k in group])))
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        found = list(map(self.young.get, words))
+        new = [w for w, ids in zip(words, found) if ids is None]
+        self.young.update((w, self.old[w]) for w in new if w in self.old)
+        self._ask([w for w in new if w not in self.old])
+        return [self.young[w] if ids is None else ids for w, ids in zip(words, found)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        runs = set()
-        for t in texts:
-            runs.update(t.split())
-        # A plain word before stops or commas is asked for without them and in lower case.
-        parts = {}
-        for r in runs:
-            if r not in self.known:
-                word = r.rstrip(b".,")
-                parts[r] = (word.lower(), r[len(word) :]) if word.isalpha() else (r, b"")
-        self._ask([x for x in {x for p in parts.values() for x in p if x} if x not in self.known])
-        self.known[b""] = b""
-        self.known.update((r, self.known[a] + self.known[b]) for r, (a, b) in parts.items())
-        return [b"".join(map(self.known.__getitem__, t.split())) for t in texts]
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        runs = pc.ascii_split_whitespace(pa.array([t.decode("utf-8", "replace") for t in texts], pa.large_string()))
+        flat = runs.flatten().dictionary_encode()
+        run = flat.dictionary
+        word = pc.utf8_rtrim(run, characters=".,")
+        # Some letters become a letter and a mark: those that normalise so, and the dotted capital I in lower case.
+        letters = pc.and_(pc.utf8_is_alpha(word), pc.equal(pc.utf8_normalize(word, form="NFC"), word))
+        letters = pc.and_not(letters, pc.match_substring(word, "\u0130"))
+        word = pc.if_else(letters, pc.ascii_lower(word), run).dictionary_encode()
+        stops = pc.if_else(letters, pc.struct_field(pc.extract_regex(run, "(?P<t>[.,]*)$"), "t"), "").dictionary_encode()
+        table = [self._known(x.dictionary.cast(pa.large_binary()).to_pylist()) for x in (word, stops)]
+        both = np.stack([word.indices.to_numpy(), stops.indices.to_numpy() + len(table[0])], 1)
+        ids, taken = _gather(table[0] + table[1], both.ravel())
+        size = taken.reshape(-1, 2).sum(1)
+        cuts = np.r_[0, np.cumsum(4 * size)].tolist()
+        raw = ids.tobytes()
+        ids, taken = _gather([raw[a:b] for a, b in zip(cuts, cuts[1:])], flat.indices.to_numpy())
+        cuts = np.r_[0, np.cumsum(4 * taken)][runs.offsets.to_numpy()].tolist()
+        raw = memoryview(ids).cast("B")
+        return [bytes(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 @functools.lru_cache(1)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,13 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample
+from .common import cut, fold, labelled_sample
 
 SAMPLE = 40_000  # at most so many labelled documents are learned from
 FEATURES = 60_000  # at most so many words and stems are kept in the model, largest evidence first
 STEMS = (4, 5, 6, 7, 8)  # letters
 PRIOR = 5.0  # strength of a prior, in documents
-LEAST_Z = 3.5  # by how many deviations a token must differ from its level above
+LEAST_Z = 4.0  # by how many deviations a token must differ from its level above
 DRIFT = 0.05  # what a token costs
 THRESHOLD = 0.7
 SIGNIFICANT = 3.0  # surprise of a passage that counts: one in twenty ordinary texts has one by chance
@@ -88,7 +89,11 @@ class ToxicModel:
             known.clear()
         for w in set(words).difference(known):
             known[w] = next((self.weights[x] for x in levels(w) if x in self.weights), 0.0)
-        return len(words), segments([(i, s) for i, s in enumerate(map(known.__getitem__, words)) if s])
+        found, times = [(i, s) for i, s in enumerate(map(known.__getitem__, words)) if s], Counter()
+        for k, (i, s) in enumerate(found):  # the log-odds speak of documents that have a token: repeats add less and less
+            times[words[i]] += 1
+            found[k] = (i, s / times[words[i]])
+        return len(words), segments(found)
 
     def surprise(self, n: int, score: float) -> float:
         """-log of the chance that ordinary text of ``n`` tokens has a segment of this score."""
@@ -119,6 +124,30 @@ def _restored(weights: dict[str, float], lam: float, k: float, slope: float, shi
     return model
 
 
+def sketch(text: str) -> list[int]:
+    """SKETCH min-hashes of the text's runs of three tokens, or of the whole of a shorter text."""
+    words = tokens(text)
+    runs = set(zip(words, words[1:], words[2:])) or {tuple(words)}
+    h = np.fromiter((zlib.crc32(" ".join(r).encode()) for r in runs), np.uint64, len(runs))
+    return [int((h * np.uint64(a) % np.uint64(4294967291)).min()) for a in (1, 2654435761, 2246822519)]
+
+
+def without_copies(labelled: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of ``labelled`` (doc_id, toxic, text), without documents that share a min-hash with one
+    of a smaller id. Copies of one document are no separate evidence for its words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = np.array([sketch(t or "") for t in b["text"]], np.int64).reshape(-1, 3)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "m0": made[:, 0], "m1": made[:, 1], "m2": made[:, 2]})
+
+    kind = labelled.schema["doc_id"].dataType.simpleString()
+    rows = cut(labelled.select("doc_id", "toxic", "text").mapInPandas(run, f"doc_id {kind}, toxic int, m0 long, m1 long, m2 long"))
+    for m in ("m0", "m1", "m2"):
+        rows = rows.join(rows.groupBy(m).agg(F.min("doc_id").alias("_first")), m).where("doc_id = _first").drop("_first")
+    return rows.select("doc_id", "toxic")
+
+
 def token_counts(labelled: DataFrame) -> DataFrame:
     """(token, c1, c0): in how many toxic and other documents each word and stem occurs."""
 
@@ -174,14 +203,16 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> ToxicModel:
     """Learn from labelled documents outside the held-out fold, at most ``sample``.
 
-    Four fifths of them give the counts, the others the law of segment scores and the curve. ``sample``
+    Of near copies among them one is used. Four fifths give the counts, the others the law of segment scores and the curve. ``sample``
     ids and labels, ``features`` weights and ``sample`` numbers pass through the driver. Without labels
     of both kinds nothing scores.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = labelled_sample(known.where(fold("doc_id", 3) != 1), sample)
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("counted", part < 8)
+    texts = docs.select("doc_id", "text")
+    alone = cut(without_copies(texts.join(F.broadcast(chosen), "doc_id")))
+    rows = texts.join(F.broadcast(alone), "doc_id").withColumn("counted", part < 8)
     n = {r.toxic: r.n for r in rows.where("counted").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return ToxicModel({})

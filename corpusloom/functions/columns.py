@@ -84,6 +84,17 @@ def kind(parent: Column, decorators: Column, name: Column) -> Column:
     return F.when(parent.isNull(), "FUNCTION").otherwise(inner)
 
 
+def class_kind(bases: Column, decorators: Column) -> Column:
+    """What a class is, by its decorators and the last part of its bases' names."""
+    last = F.transform(bases, lambda b: F.substring_index(b, ".", -1))
+    has = lambda *names: F.arrays_overlap(last, F.array(*map(F.lit, names)))
+    marked = F.exists(decorators, lambda d: F.regexp_extract(d, r"^(?:.*\.)?(\w+)(?:\(.*)?$", 1) == "dataclass")
+    return (
+        F.when(marked, "DATACLASS").when(has("Enum", "IntEnum", "StrEnum", "Flag", "IntFlag"), "ENUM").when(has("NamedTuple"), "NAMEDTUPLE")
+        .when(F.exists(last, lambda b: b.isin("BaseException", "Exception") | b.endswith("Error")), "EXCEPTION").otherwise("CLASS")
+    )
+
+
 def required(parameters: Column) -> Column:
     return F.size(F.filter(parameters, lambda p: p["default_value"].isNull() & ~p["is_variadic"]))
 

@@ -58,6 +58,13 @@ def method_map(elements: DataFrame) -> DataFrame:
     return elements.where("element_type = 'METHOD' AND parent_id IS NOT NULL").groupBy("parent_id", "name").agg(F.max_by("element_id", "seq").alias("element_id"))
 
 
+def modules(elements: DataFrame) -> DataFrame:
+    """(module_path, imports, classes, functions, is_package): what each module holds, names sorted."""
+    names = lambda *types: F.sort_array(F.collect_set(F.when(F.col("element_type").isin(*types), F.col("name"))))
+    package = F.max(F.substring_index("file_path", "/", -1) == "__init__.py")
+    return elements.groupBy("module_path").agg(names("IMPORT").alias("imports"), names("CLASS").alias("classes"), names("FUNCTION").alias("functions"), package.alias("is_package"))
+
+
 def postings(elements: DataFrame, tokens: str = "search_tokens") -> DataFrame:
     """(token, element_id), distinct, tokens longer than two only."""
     return elements.select("element_id", F.explode(F.array_distinct(tokens)).alias("token")).where(F.length("token") > 2).select("token", "element_id").distinct()

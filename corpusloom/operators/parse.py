@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +43,8 @@ def elements(parsed: DataFrame, nested: bool = False) -> DataFrame:
         "parent_id": F.when(F.col("parent_name").isNotNull(), C.element_id(F.col("module_path"), F.col("parent_name"))),
         "element_kind": F.when(callable_, C.kind(F.col("parent_name"), F.col("decorators"), F.col("name")))
         .when(F.col("element_type") == "IMPORT", F.when(F.col("is_from_import"), "FROM_IMPORT").otherwise("IMPORT"))
-        .otherwise(F.col("element_type")),
+        .when(F.col("element_type") == "CLASS", C.class_kind(F.col("bases"), F.col("decorators")))
+        .when(F.col("element_type") == "MODULE", F.when(F.substring_index("file_path", "/", -1) == "__init__.py", "PACKAGE").otherwise("MODULE")),
         "qualified_name": F.concat_ws(".", "module_path", "parent_name", "name"),
     })
     return e.withColumn("search_tokens", C.search_tokens())
@@ -63,6 +64,11 @@ def parse_errors(parsed: DataFrame) -> DataFrame:
     return e.select(F.col("file_path").alias("file"), "error.error_type", "error.message", "error.line", "error.column", "error.traceback", "error.code_snippet", "fallback_level", "issues_found")
 
 
+def for_each_error(errors: DataFrame, handle: Callable[[dict], None]) -> None:
+    """Call ``handle`` with every error as a dictionary, in the tasks."""
+    errors.foreach(lambda row: handle(row.asDict(recursive=True)))
+
+
 def parse_outcomes(files: DataFrame, parsed: DataFrame) -> DataFrame:
     """Every file with whether it could be parsed; files without a result have none."""
     done = parsed.select(F.col("file_path").alias("path"), F.col("elements").isNotNull().alias("parsed"), "fallback_level")

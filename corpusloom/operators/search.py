@@ -78,3 +78,16 @@ def trie_order(elements: DataFrame) -> DataFrame:
     first = parts.groupBy("_part").agg(F.min("_seq").alias("_first"))
     found = parts.join(first, "_part").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("_at", "_first"))).alias("_w"))
     return found.select("name", F.transform("_w", lambda x: x["_first"]).alias("walk"))
+
+
+def prefix_walk(elements: DataFrame, start: str, max_results: int) -> DataFrame:
+    """(name, n, walk): like ``prefix_names``, for a walk through a trie whose branches stand as first inserted.
+    Order by ``walk`` for the order of the visit."""
+    own = elements.where(F.col("name").startswith(start))
+    counts = own.groupBy("name").agg(F.countDistinct("element_id").alias("n"))
+    # Names share the walk down to the prefix; the branch after it keeps the order, the prefix itself comes first.
+    named = counts.join(trie_order(own), "name")
+    if max_results <= 0:
+        return named.where(F.col("name") == start)
+    branch = F.get("walk", F.lit(len(start)))
+    return running_sum(named, branch, ["walk"], F.col("n"), "_before", through=False).where(F.col("_before") < max_results).select("name", "n", "walk")

@@ -360,9 +360,9 @@ def q42(spark, sf_dir):
 
 
 @query("q43_even_indents", r"""SELECT doc_id, md5(array_to_string(list_transform(l, lambda x: concat(repeat('    ', CAST(length(x) - length(ltrim(x, ' ')) AS INTEGER)), ltrim(x, ' '))), chr(10))) AS h
-FROM (SELECT doc_id, string_split(concat('a', chr(10), '   b', chr(10), '  ', text), chr(10)) AS l FROM documents WHERE n_chars < 500) t""")
+FROM (SELECT doc_id, string_split(concat('a', chr(10), '   b', chr(10), '  ', text), chr(10)) AS l FROM documents) t""")
 def q43(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("n_chars < 500")
+    docs = read(spark, sf_dir, "documents")
     lines = F.split(F.concat(F.lit("a\n   b\n  "), "text"), "\n")
     return docs.select("doc_id", F.md5(F.array_join(C.even_indents(lines), "\n")).alias("h"))
 
@@ -384,3 +384,29 @@ def q45(spark, sf_dir):
         add_new(e.where(F.col("seq") % 2 == half), folder)
     held = spark.read.parquet(folder).select("element_id", F.when(F.col("seq") % 2 == 0, F.col("seq")).alias("even_seq"))
     return held.join(e.groupBy("element_id").agg(F.min("seq").alias("any_seq")), "element_id")
+
+
+@query("q46_modules", """WITH {E} SELECT module_path, array_to_string(list_sort(list_distinct(list(CASE WHEN element_type = 'IMPORT' THEN name END))), ',') AS imports,
+  array_to_string(list_sort(list_distinct(list(CASE WHEN element_type = 'CLASS' THEN name END))), ',') AS classes,
+  array_to_string(list_sort(list_distinct(list(CASE WHEN element_type = 'FUNCTION' THEN name END))), ',') AS functions, FALSE AS is_package FROM E GROUP BY module_path""")
+def q46(spark, sf_dir):
+    joined = [F.array_join(c, ",").alias(c) for c in ("imports", "classes", "functions")]
+    return index.modules(elements(spark, sf_dir)).select("module_path", *joined, "is_package")
+
+
+@query("q47_trie_prefix", """WITH {E}, o AS (SELECT * FROM E WHERE name LIKE 'red%'), n AS (SELECT name, min(seq) AS s, count(DISTINCT element_id) AS n FROM o GROUP BY name),
+p AS (SELECT name, n, i, substr(name, 1, i) AS part, s FROM (SELECT name, n, s, unnest(range(1, length(name) + 1)) AS i FROM n) x),
+f AS (SELECT part, min(s) AS f FROM p GROUP BY part),
+w AS (SELECT name, any_value(n) AS n, list(f.f ORDER BY i) AS walk FROM p JOIN f ON p.part = f.part GROUP BY name)
+SELECT name, n FROM (SELECT name, n, coalesce(sum(n) OVER (ORDER BY walk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w) x WHERE b < 60""")
+def q47(spark, sf_dir):
+    return search.prefix_walk(elements(spark, sf_dir), "red", 60).select("name", "n")
+
+
+@query("q48_class_kinds", """SELECT kind, count(*) AS n FROM (SELECT CASE WHEN p_size % 5 = 0 THEN 'DATACLASS' WHEN p_size % 5 = 1 THEN 'ENUM' WHEN p_size % 5 = 2 THEN 'EXCEPTION'
+  WHEN p_size % 5 = 3 THEN 'NAMEDTUPLE' ELSE 'CLASS' END AS kind FROM part) t GROUP BY kind""")
+def q48(spark, sf_dir):
+    k = F.col("p_size") % 5
+    base = F.when(k == 1, "enum.IntEnum").when(k == 2, F.concat(F.regexp_replace("p_name", "[^A-Za-z]", "_"), F.lit("Error"))).when(k == 3, "typing.NamedTuple").otherwise("Base")
+    decorators = F.when(k == 0, F.array(F.lit("dataclasses.dataclass(frozen=True)"))).otherwise(F.array().cast("array<string>"))
+    return read(spark, sf_dir, "part").select(C.class_kind(F.array(base), decorators).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

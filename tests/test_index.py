@@ -103,3 +103,33 @@ def test_stream(spark, tmp_path):
 def test_last_used(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("c", 4)], "k string, s long")
     assert [r.k for r in index.last_used(df, "k", "s", 2).collect()] == ["c", "a"]
+
+
+def test_trie_walk_overshoots_like_a_trie(spark):
+    rng = random.Random(9)
+    names = ["".join(rng.choices("ab", k=rng.randint(1, 4))) for _ in range(40)]
+    rows = [(f"{k % 3}.{n}", n, "CLASS", None) for k, n in enumerate(names)]
+    ids = {n: len({i for i, m, *_ in rows if m == n}) for n in names}
+    e = made(spark, rows)
+    order = [r.name for r in search.trie_order(e).orderBy("walk").collect()]
+    for start, most in (("a", 3), ("ab", 5), ("", 11), ("b", 1), ("zz", 4)):
+        want, total = [], 0
+        for n in order:
+            if n.startswith(start) and total < most:
+                want.append((n, ids[n]))
+                total += ids[n]
+        assert [(r.name, r.n) for r in search.prefix_walk(e, start, most).orderBy("walk").collect()] == want
+
+
+def test_build_index(spark, tmp_path):
+    from corpusloom.plans.build import build_index
+
+    for path, code in (("pkg/__init__.py", "class K:\n    def run(self): pass\n"), ("pkg/m.py", "import os\ndef run(): pass\n"), ("bad.py", ")(\n")):
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text(code)
+    elements, errors = build_index(spark, str(tmp_path))
+    got = {r.element_id: r.element_kind for r in elements.collect()}
+    assert got["pkg.run"] == "METHOD" and got["pkg.pkg"] == "PACKAGE" and got["m.run"] == "FUNCTION" and got["bad.bad"] == "MODULE"
+    assert [r.error_type for r in errors.collect()] == ["MultipleFallbackFailure"]
+    held = {r.module_path: r for r in index.modules(elements).collect()}
+    assert held["pkg"].is_package and held["pkg"].classes == ["K"] and held["m"].imports == ["os"] and held["m"].functions == ["run"]

@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     n = {r.toxic: r.n for r in rows.where("counted").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return ToxicModel({})
-    model = ToxicModel(log_odds(token_counts(rows.where("counted")), n[1], n[0], features))
+    model = ToxicModel(log_odds(cut(token_counts(rows.where("counted"))), n[1], n[0], features))
 
     def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

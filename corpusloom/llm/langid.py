@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, labelled_sample
 
-SAMPLE = 4_000  # at most so many labelled documents are learned from
+SAMPLE = 2_400  # at most so many labelled documents are learned from
 SNIPPETS = (40, 160, 600)  # code points; a document gives one of each from its inside
 BUCKETS = 4096
 LEAST_SCORE = 0.35
@@ -50,32 +50,35 @@ def features(text: str) -> np.ndarray:
     return np.bincount(places, minlength=BUCKETS) / max(len(grams), 1)
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 15) -> np.ndarray:
-    """Weights of a linear machine with hinge loss, by dual coordinate descent in a fixed order. y: 1 or -1."""
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
-    norm = np.einsum("ij,ij->i", x, x)
+def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 15) -> np.ndarray:
+    """Weights of a linear machine with hinge loss for some rows of ``x``, by dual coordinate descent in a fixed
+    order. y: 1 or -1 for each of these rows."""
+    w, alpha = np.zeros(x.shape[1], x.dtype), np.zeros(len(rows))
+    norm = np.array([x[i] @ x[i] for i in rows], float)
     order = np.random.default_rng(7)
     for _ in range(rounds):
-        for i in order.permutation(len(x)):
-            if norm[i] > 0:
-                new = min(max(alpha[i] - (y[i] * (w @ x[i]) - 1) / norm[i], 0.0), c)
-                if new != alpha[i]:
-                    w += (new - alpha[i]) * y[i] * x[i]
-                    alpha[i] = new
+        for k in order.permutation(len(rows)):
+            if norm[k] > 0:
+                row = x[rows[k]]
+                new = min(max(alpha[k] - (y[k] * float(w @ row) - 1) / norm[k], 0.0), c)
+                if new != alpha[k]:
+                    w += x.dtype.type((new - alpha[k]) * y[k]) * row
+                    alpha[k] = new
     return w
 
 
 class Machines:
-    """One-versus-one machines between classes; ``chances`` couples their votes."""
+    """One-versus-one machines between classes; ``chances`` couples their votes. They read rows of ``x`` where
+    ``y`` has one of the classes, without copies."""
 
     def __init__(self, classes: list[str], x: np.ndarray, y: np.ndarray):
-        self.classes = classes
+        self.classes = [str(c) for c in classes]
         self.pairs, weights, slopes = list(itertools.combinations(range(len(classes)), 2)), [], []
         for a, b in self.pairs:
-            pick = (y == classes[a]) | (y == classes[b])
-            sign = np.where(y[pick] == classes[a], 1.0, -1.0)
-            w = svm(x[pick], sign)
-            margin, slope = sign * (x[pick] @ w), 1.0
+            rows = np.flatnonzero((y == classes[a]) | (y == classes[b]))
+            sign = np.where(y[rows] == classes[a], 1.0, -1.0)
+            w = svm(x, rows, sign)
+            margin, slope = sign * (x @ w)[rows].astype(float), 1.0
             for _ in range(30):  # logistic slope of the margins, with a weak prior at 1
                 p = 1 / (1 + np.exp(np.clip(slope * margin, -30, 30)))
                 slope = float(np.clip(slope + ((margin * p).sum() - 0.1 * (slope - 1)) / ((margin**2 * p * (1 - p)).sum() + 0.1), 0.05, 20))
@@ -98,14 +101,16 @@ class LanguageModel:
         self.empty = not texts
         if self.empty:
             return
-        x = np.array([features(t) for t in texts], np.float32)
-        y = np.array(langs)
-        self.mean, spread = x.mean(0), x.std(0)
-        self.scale = 1 / np.maximum(spread, np.median(spread[spread > 0]) if (spread > 0).any() else 1.0) / np.sqrt(BUCKETS)
-        x = np.hstack([(x - self.mean) * self.scale, np.ones((len(x), 1), np.float32)])
-        kin = np.array([family(v) for v in langs])
+        x = np.ones((len(texts), BUCKETS + 1), np.float32)  # the last column is the machines' shift
+        for k, t in enumerate(texts):
+            x[k, :BUCKETS] = features(t)
+        y, kin = np.array(langs), np.array([family(v) for v in langs])
+        self.mean, spread = x[:, :BUCKETS].mean(0), x[:, :BUCKETS].std(0)
+        self.scale = 1 / np.maximum(spread, np.median(spread[spread > 0]) if (spread > 0).any() else 1.0) / np.float32(np.sqrt(BUCKETS))
+        x[:, :BUCKETS] -= self.mean
+        x[:, :BUCKETS] *= self.scale
         self.families = Machines(sorted(set(kin)), x, kin)
-        self.within = {f: Machines(sorted(set(y[kin == f])), x[kin == f], y[kin == f]) for f in self.families.classes}
+        self.within = {f: Machines(sorted(set(y[kin == f])), x, y) for f in self.families.classes}
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if self.empty or not text or not _LETTER.search(text):
@@ -116,12 +121,12 @@ class LanguageModel:
         machines = self.within[self.families.classes[f]]
         by_lang = machines.chances(x)
         k = int(by_lang.argmax())
-        return str(machines.classes[k]), float(by_family[f] * by_lang[k])
+        return machines.classes[k], float(by_family[f] * by_lang[k])
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Learn from text and lang of at most ``sample`` documents outside the held-out fold. Of each, three
-    short snippets come to the driver. Without any, every language is ``und``."""
+    short snippets come to the driver, where the machines are fitted to at most 3 * sample rows of BUCKETS numbers. Without any, every language is ``und``."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0))
     chosen = labelled_sample(rows.select("doc_id").distinct(), sample)
     size, place = F.length("text"), F.pmod(F.xxhash64("doc_id"), F.lit(997)) / 997.0

@@ -25,8 +25,8 @@ from .bpe import in_blocks
 from .common import cut, gapless_rank
 
 SIZE = 2048
-CACHE = 500_000  # words after which a Python worker starts a new generation; it keeps two
-BLOCK = 12 << 20
+CACHE = 150_000  # words after which a Python worker starts a new generation; it keeps two
+BLOCK = 6 << 20
 
 
 def _gather(table: list[bytes], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

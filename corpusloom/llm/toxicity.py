@@ -34,7 +34,7 @@ DRIFT = 0.05  # what a token costs
 THRESHOLD = 0.7
 SIGNIFICANT = 3.0  # surprise of a passage that counts: one in twenty ordinary texts has one by chance
 _TOKEN = re.compile(r"[^\W\d_]+")
-_KNOWN = 200_000
+_KNOWN = 100_000  # tokens that a Python worker holds
 
 
 def tokens(text: str) -> list[str]:
@@ -152,12 +152,21 @@ def token_counts(labelled: DataFrame) -> DataFrame:
     """(token, c1, c0): in how many toxic and other documents each word and stem occurs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = (Counter(), Counter())
+
+        def flush() -> pd.DataFrame:
+            keys = list(counts[0] | counts[1])
+            out = pd.DataFrame({"token": keys, "c1": [counts[1][x] for x in keys], "c0": [counts[0][x] for x in keys]})
+            for c in counts:
+                c.clear()
+            return out
+
         for b in batches:
-            counts = (Counter(), Counter())
             for text, toxic in zip(b["text"], b["toxic"]):
                 counts[int(toxic)].update({x for w in set(tokens(text or "")) for x in levels(w)})
-            keys = list(counts[0] | counts[1])
-            yield pd.DataFrame({"token": keys, "c1": [counts[1][x] for x in keys], "c0": [counts[0][x] for x in keys]})
+                if len(counts[0]) + len(counts[1]) > _KNOWN:
+                    yield flush()
+        yield flush()
 
     return labelled.select("text", "toxic").mapInPandas(run, "token string, c1 long, c0 long").groupBy("token").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
 

@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import langid, packing, secrets, simhash, toxicity
+from corpusloom.llm import langid, packing, secrets, shingles, toxicity
 from corpusloom.llm.common import documents, labels, shared_dir
 
 
@@ -28,8 +28,9 @@ def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    stay = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    """Of each group of documents linked at a similarity of 0.8 or more over five-word shingles, the one with
+    the smallest id stays. op8's contract, three words and two bits, binds that query only."""
+    stay = shingles.groups(docs, shingle=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(stay, docs.doc_id.eqNullSafe(stay._id), "left_semi")
 
 

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import cut, fold, labelled_sample
 
 SAMPLE = 40_000  # at most so many labelled documents are learned from
@@ -124,28 +124,17 @@ def _restored(weights: dict[str, float], lam: float, k: float, slope: float, shi
     return model
 
 
-def sketch(text: str) -> list[int]:
-    """SKETCH min-hashes of the text's runs of three tokens, or of the whole of a shorter text."""
-    words = tokens(text)
-    runs = set(zip(words, words[1:], words[2:])) or {tuple(words)}
-    h = np.fromiter((zlib.crc32(" ".join(r).encode()) for r in runs), np.uint64, len(runs))
-    return [int((h * np.uint64(a) % np.uint64(4294967291)).min()) for a in (1, 2654435761, 2246822519)]
+def _split(data: bytes) -> list[bytes]:
+    return [w.encode() for w in tokens(data.decode("utf-8", "replace"))]
 
 
 def without_copies(labelled: DataFrame) -> DataFrame:
-    """(doc_id, toxic) of ``labelled`` (doc_id, toxic, text), without documents that share a min-hash with one
-    of a smaller id. Copies of one document are no separate evidence for its words."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            made = np.array([sketch(t or "") for t in b["text"]], np.int64).reshape(-1, 3)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "m0": made[:, 0], "m1": made[:, 1], "m2": made[:, 2]})
-
-    kind = labelled.schema["doc_id"].dataType.simpleString()
-    rows = cut(labelled.select("doc_id", "toxic", "text").mapInPandas(run, f"doc_id {kind}, toxic int, m0 long, m1 long, m2 long"))
-    for m in ("m0", "m1", "m2"):
-        rows = rows.join(rows.groupBy(m).agg(F.min("doc_id").alias("_first")), m).where("doc_id = _first").drop("_first")
-    return rows.select("doc_id", "toxic")
+    """(doc_id, toxic) of ``labelled`` (doc_id, toxic, text): of each group of one label that is linked at a
+    Jaccard similarity of 0.8 or more over runs of three tokens, the smallest id. Copies of one document are
+    no separate evidence for its words; all other documents stay."""
+    linked = shingles.groups(labelled, shingle=3, percent=80, tag="toxic", split=_split)
+    stay = linked.where("doc_id = component_id").select("doc_id").distinct()
+    return labelled.select("doc_id", "toxic").distinct().join(stay, "doc_id", "left_semi")
 
 
 def token_counts(labelled: DataFrame) -> DataFrame:

@@ -14,12 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample
+from .common import fold
 
-SAMPLE = 2_400  # at most so many labelled documents are learned from
+SAMPLE = 4_000  # at most so many labelled documents are learned from,
+LEAST = 20  # but so many of each language at least, or all that it has
 SNIPPETS = (40, 160, 600)  # code points; a document gives one of each from its inside
 BUCKETS = 4096
 LEAST_SCORE = 0.35
@@ -105,7 +106,8 @@ class LanguageModel:
         for k, t in enumerate(texts):
             x[k, :BUCKETS] = features(t)
         y, kin = np.array(langs), np.array([family(v) for v in langs])
-        self.mean, spread = x[:, :BUCKETS].mean(0), x[:, :BUCKETS].std(0)
+        self.mean = x[:, :BUCKETS].mean(0)
+        spread = np.concatenate([x[:, k : k + 64].std(0) for k in range(0, BUCKETS, 64)])  # in parts: std copies what it is given
         self.scale = 1 / np.maximum(spread, np.median(spread[spread > 0]) if (spread > 0).any() else 1.0) / np.float32(np.sqrt(BUCKETS))
         x[:, :BUCKETS] -= self.mean
         x[:, :BUCKETS] *= self.scale
@@ -124,15 +126,42 @@ class LanguageModel:
         return machines.classes[k], float(by_family[f] * by_lang[k])
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """Learn from text and lang of at most ``sample`` documents outside the held-out fold. Of each, three
-    short snippets come to the driver, where the machines are fitted to at most 3 * sample rows of BUCKETS numbers. Without any, every language is ``und``."""
+def share(sizes: list[int], sample: int = SAMPLE, least: int = LEAST) -> int:
+    """How many documents a language may give: the most with which all give ``sample`` together, and ``least`` anyway."""
+    left = sample
+    for k, n in enumerate(sorted(sizes)):
+        each = left // (len(sizes) - k)
+        if n > each:
+            return max(each, least)
+        left -= n
+    return max(max(sizes, default=0), least)
+
+
+def sampled(rows: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> DataFrame:
+    """(doc_id, lang): the same number of documents of each language, or all that it has, by the smallest hashes
+    of their ids. At most ``sample`` in all, or ``least`` for each language if that is more. ``rows`` must
+    hold distinct pairs. One number for each language passes through the driver."""
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = share(list(sizes.values()), sample, least)
+    # about 1.2 times as many as are wanted are ranked, of a language of any size
+    limits = [(v, min((1 << 63) - 1, int((1 << 64) * min(1.0, (1.2 * most + 100) / n)) - (1 << 63))) for v, n in sizes.items()]
+    low = F.broadcast(rows.sparkSession.createDataFrame(limits, "lang string, _most long"))
+    ranked = rows.withColumn("_hash", F.xxhash64("doc_id")).join(low, "lang").where("_hash <= _most")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "doc_id"))
+    return ranked.withColumn("_place", place).where(F.col("_place") <= most).select("doc_id", "lang")
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> LanguageModel:
+    """Learn from text and lang of documents outside the held-out fold, at most ``sample`` in even shares of the
+    languages, or ``least`` for each language if that is more: every labelled language is learned. Of each
+    document three short snippets come to the driver, where the machines are fitted to rows of BUCKETS
+    numbers for them. Without any, every language is ``und``."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0))
-    chosen = labelled_sample(rows.select("doc_id").distinct(), sample)
+    chosen = sampled(rows.select("doc_id", "lang").distinct(), sample, least)
     size, place = F.length("text"), F.pmod(F.xxhash64("doc_id"), F.lit(997)) / 997.0
     cut = [F.substring("text", (F.greatest(size - n, F.lit(0)) * place).cast("int") + 1, F.lit(n)) for n in SNIPPETS]
-    got = rows.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", F.array(*cut).alias("snippets"))
-    got = sorted(got.orderBy("doc_id").limit(2 * sample).collect(), key=lambda r: (r.doc_id, r.lang))
+    got = rows.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", F.array(*cut).alias("snippets"))
+    got = sorted(got.groupBy("doc_id", "lang").agg(F.min("snippets").alias("snippets")).collect(), key=lambda r: (r.doc_id, r.lang))
     pairs = [(s, r.lang) for r in got for s in dict.fromkeys(r.snippets) if _LETTER.search(s)]
     return LanguageModel([s for s, _ in pairs], [v for _, v in pairs])
 

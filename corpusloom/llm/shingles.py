@@ -42,14 +42,19 @@ def grams(found: list[bytes], shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(r)) for r in runs), np.uint64))
 
 
-def keys(h: np.ndarray, tag: int = 0) -> list[int]:
-    """A hash of each band of min-hashes; none without a shingle."""
+def least_hashes(h: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS min-hashes of a shingle set; none of an empty one."""
     if not len(h):
-        return []
+        return np.zeros(0, np.uint64)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for first in range(0, len(h), _BLOCK):
         np.minimum(least, (h[None, first : first + _BLOCK] * _MIX[0] + _MIX[1]).min(1), out=least)
-    made = [xxhash.xxh64_intdigest(least[k : k + ROWS].tobytes(), tag * BANDS * ROWS + k) for k in range(0, BANDS * ROWS, ROWS)]
+    return least
+
+
+def bands(least: np.ndarray, tag: int = 0) -> list[int]:
+    """A hash of each band of min-hashes; none without a shingle."""
+    made = [xxhash.xxh64_intdigest(least[k : k + ROWS].tobytes(), tag * BANDS * ROWS + k) for k in range(0, len(least), ROWS)]
     return np.array(made, "u8").view("i8").tolist()
 
 
@@ -66,7 +71,7 @@ def _sketches(docs: DataFrame, shingle: int, split: Callable[[bytes], list[bytes
                 part = b.iloc[first : first + 500]
                 sets = [grams(split(t or b""), shingle) for t in part["text"]]
                 node = [_node(h, t) for h, t in zip(sets, part["tag"])]
-                made = [h.view("i8").tolist() if whole else keys(h, t) for h, t in zip(sets, part["tag"])]
+                made = [h.view("i8").tolist() if whole else bands(least_hashes(h), t) for h, t in zip(sets, part["tag"])]
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, "node": node, "n": [len(h) for h in sets], "list": made})
 
     kind = docs.schema["doc_id"].dataType.simpleString()

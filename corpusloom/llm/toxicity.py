@@ -3,11 +3,13 @@
 Log-odds of tokens between toxic and other labelled documents have Dirichlet priors in levels: a word's
 prior has the class shares of its longest stem, a stem's those of the stem one letter shorter, and the
 shortest one's those of the background. A token without counts of its own thus takes what is known of
-its stem; only tokens that differ clearly from their level above stay in the model. Every token costs a
+its stem; all tokens that differ clearly from their level above are in the model. Every token costs a
 little, so that ordinary text has a negative drift, and one linear scan finds all maximal-scoring
-segments. In ordinary text their number above a score s follows K n exp(-lambda s), which is fitted to
-labelled documents that aren't toxic. The significant segments of a document are summed up by their
-log p-values under that law, and a logistic curve turns the sum into a probability.
+segments, however often their words come elsewhere in the text. A segment is then rated by its own
+tokens, repeats within it counting 1, 1/2, 1/3 and so on, because the log-odds speak of documents that have
+a token. In ordinary text the number of segments rated above s follows K n exp(-lambda s) in its tail,
+which is fitted to labelled documents that aren't toxic. The significant segments of a document are
+summed up by their log p-values under that law, and a logistic curve turns the sum into a probability.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,13 +28,14 @@ from . import shingles
 from .common import cut, fold, labelled_sample
 
 SAMPLE = 40_000  # at most so many labelled documents are learned from
-FEATURES = 60_000  # at most so many words and stems are kept in the model, largest evidence first
 STEMS = (4, 5, 6, 7, 8)  # letters
 PRIOR = 5.0  # strength of a prior, in documents
 LEAST_Z = 4.0  # by how many deviations a token must differ from its level above
 DRIFT = 0.05  # what a token costs
 THRESHOLD = 0.7
 SIGNIFICANT = 3.0  # surprise of a passage that counts: one in twenty ordinary texts has one by chance
+TAIL = 0.9  # the law is fitted to the ordinary segments above this quantile of their scores
+ALIKE = 0.75  # share of equal min-hashes at which labelled documents are copies; its error is 0.05 at a similarity of 0.8
 _TOKEN = re.compile(r"[^\W\d_]+")
 _KNOWN = 100_000  # tokens that a Python worker holds
 
@@ -84,16 +87,25 @@ class ToxicModel:
         self._known: dict[str, float] = {}
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+        """The number of tokens, and all maximal-scoring segments (first token, end, rating)."""
         words, known = tokens(text), self._known
         if len(known) > _KNOWN:
             known.clear()
         for w in set(words).difference(known):
             known[w] = next((self.weights[x] for x in levels(w) if x in self.weights), 0.0)
-        found, times = [(i, s) for i, s in enumerate(map(known.__getitem__, words)) if s], Counter()
-        for k, (i, s) in enumerate(found):  # the log-odds speak of documents that have a token: repeats add less and less
-            times[words[i]] += 1
-            found[k] = (i, s / times[words[i]])
-        return len(words), segments(found)
+        found = [(i, s) for i, s in enumerate(map(known.__getitem__, words)) if s]
+        out, k = [], 0
+        for a, b, score in segments(found):
+            while found[k][0] < a:
+                k += 1
+            times: Counter[str] = Counter()
+            while k < len(found) and found[k][0] < b:
+                i, s = found[k]
+                times[words[i]] += 1
+                score -= s - s / times[words[i]]
+                k += 1
+            out.append((a, b, score))
+        return len(words), out
 
     def surprise(self, n: int, score: float) -> float:
         """-log of the chance that ordinary text of ``n`` tokens has a segment of this score."""
@@ -108,8 +120,12 @@ class ToxicModel:
         rated = [(a, b, s, self.surprise(n, s)) for a, b, s in found]
         return n, [x for x in rated if x[3] > SIGNIFICANT]
 
+    @staticmethod
+    def summed(surprises: Iterable[float]) -> float:
+        return math.log1p(sum(x for x in surprises if x > SIGNIFICANT))
+
     def evidence(self, text: str) -> float:
-        return math.log1p(sum(x[3] for x in self.significant(text)[1]))
+        return self.summed(x[3] for x in self.significant(text)[1])
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * evidence + self.shift))))
@@ -129,12 +145,26 @@ def _split(data: bytes) -> list[bytes]:
 
 
 def without_copies(labelled: DataFrame) -> DataFrame:
-    """(doc_id, toxic) of ``labelled`` (doc_id, toxic, text): of each group of one label that is linked at a
-    Jaccard similarity of 0.8 or more over runs of three tokens, the smallest id. Copies of one document are
-    no separate evidence for its words; all other documents stay."""
-    linked = shingles.groups(labelled, shingle=3, percent=80, tag="toxic", split=_split)
-    stay = linked.where("doc_id = component_id").select("doc_id").distinct()
-    return labelled.select("doc_id", "toxic").distinct().join(stay, "doc_id", "left_semi")
+    """The rows of ``labelled`` (doc_id, toxic, text; one for each id) that aren't copies: a row goes if a band of
+    min-hashes of its runs of three tokens leads to the smallest id of its label there, and ALIKE of all their
+    min-hashes are equal. Copies of one document are no separate evidence for its words; others stay,
+    whatever single runs they share."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [shingles.least_hashes(shingles.grams(_split(t or b""), 3)) for t in b["text"]]
+            if made:
+                yield pd.DataFrame({"doc_id": b["doc_id"].array, "toxic": b["toxic"].array, "least": [h.view("i8").tolist() for h in made], "band": [shingles.bands(h, t) for h, t in zip(made, b["toxic"])]})
+
+    schema = f"doc_id {labelled.schema['doc_id'].dataType.simpleString()}, toxic int, least array<long>, band array<long>"
+    prints = cut(labelled.select("doc_id", "toxic", F.col("text").cast("binary").alias("text")).mapInPandas(run, schema))
+    spread = prints.select("doc_id", F.explode("band").alias("band"))
+    first = spread.groupBy("band").agg(F.min("doc_id").alias("first"))
+    pairs = spread.join(first, "band").where("doc_id <> first").select("doc_id", "first").distinct()
+    one, two = prints.select("doc_id", F.col("least").alias("_a")), prints.select(F.col("doc_id").alias("first"), F.col("least").alias("_b"))
+    same = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    gone = pairs.join(one, "doc_id").join(two, "first").where(same >= ALIKE * F.size("_a")).select("doc_id").distinct()
+    return labelled.join(gone, "doc_id", "left_anti")
 
 
 def token_counts(labelled: DataFrame) -> DataFrame:
@@ -143,45 +173,43 @@ def token_counts(labelled: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = (Counter(), Counter())
 
-        def flush() -> pd.DataFrame:
+        def flush() -> Iterator[pd.DataFrame]:
             keys = list(counts[0] | counts[1])
-            out = pd.DataFrame({"token": keys, "c1": [counts[1][x] for x in keys], "c0": [counts[0][x] for x in keys]})
+            if keys:  # an empty frame would have columns without a type
+                yield pd.DataFrame({"token": keys, "c1": [counts[1][x] for x in keys], "c0": [counts[0][x] for x in keys]})
             for c in counts:
                 c.clear()
-            return out
 
         for b in batches:
             for text, toxic in zip(b["text"], b["toxic"]):
                 counts[int(toxic)].update({x for w in set(tokens(text or "")) for x in levels(w)})
                 if len(counts[0]) + len(counts[1]) > _KNOWN:
-                    yield flush()
-        yield flush()
+                    yield from flush()
+        yield from flush()
 
     return labelled.select("text", "toxic").mapInPandas(run, "token string, c1 long, c0 long").groupBy("token").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
 
 
-def log_odds(counts: DataFrame, n1: int, n0: int, features: int = FEATURES) -> dict[str, float]:
-    """The log-odds of the ``features`` tokens with the largest evidence against their level above."""
+def log_odds(counts: DataFrame, n1: int, n0: int) -> dict[str, float]:
+    """The log-odds of all tokens that differ clearly from their level above; ``counts`` is read twice."""
+    plain = F.rtrim(F.col("token"), F.lit("*"))
+    above = F.filter(F.array(*map(F.lit, STEMS)), lambda k: F.length(plain) > k)
+    names = F.transform(above, lambda k: F.struct(k.alias("size"), F.concat(F.substring(plain, F.lit(1), k), F.lit("*")).alias("stem")))
+    spread = counts.select("token", F.explode(names).alias("_up")).select("token", "_up.*")
+    of_stem = counts.where(F.col("token").endswith("*")).withColumnRenamed("token", "stem")
+    ups = spread.join(of_stem, "stem").groupBy("token").agg(F.array_sort(F.collect_list(F.struct("size", "c1", "c0"))).alias("ups"))  # a row for each size at most
 
-    def rated(df: DataFrame, above: Column) -> DataFrame:
-        share = F.exp(above) * n1 / (F.exp(above) * n1 + n0)
-        a, b = F.col("c1") + PRIOR * share, F.col("c0") + PRIOR * (1 - share)
-        odds = F.log(a / n1) - F.log(b / n0)
-        return df.withColumns({"odds": odds, "z": (odds - above) / F.sqrt(1 / a + 1 / b)})
+    def shrunk(c1: Column, c0: Column, level: Column) -> tuple[Column, Column]:
+        share = F.exp(level) * n1 / (F.exp(level) * n1 + n0)
+        a, b = c1 + PRIOR * share, c0 + PRIOR * (1 - share)
+        return F.log(a / n1) - F.log(b / n0), F.sqrt(1 / a + 1 / b)
 
-    stem = F.col("token").endswith("*")
-    every = above = rated(counts.where(stem & (F.length("token") == STEMS[0] + 1)), F.lit(0.0))
-    for size in STEMS[1:]:
-        up = above.select(F.substring("token", 1, size - 1).alias("_up"), F.col("odds").alias("_odds"))
-        own = counts.where(stem & (F.length("token") == size + 1)).withColumn("_up", F.substring("token", 1, size - 1)).join(up, "_up", "left")
-        above = rated(own, F.coalesce("_odds", F.lit(0.0))).select(every.columns)
-        every = every.union(above)
-    up = every.select(F.col("token").alias("_up"), F.col("odds").alias("_odds"))
-    longest = F.least(F.length("token") - 1, F.lit(STEMS[-1]))
-    words = counts.where(~stem).withColumn("_up", F.when(longest >= STEMS[0], F.concat(F.substring(F.col("token"), F.lit(1), longest), F.lit("*")))).join(up, "_up", "left")
-    every = every.union(rated(words, F.coalesce("_odds", F.lit(0.0))).select(every.columns))
-    best = every.where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "token").limit(features)
-    return {r.token: r.odds for r in best.collect()}
+    none = F.array().cast("array<struct<size:int,c1:bigint,c0:bigint>>")
+    level = F.aggregate(F.coalesce("ups", none), F.lit(0.0), lambda up, c: shrunk(c["c1"], c["c0"], up)[0])
+    rated = counts.join(ups, "token", "left").select("token", "c1", "c0", level.alias("level"))
+    odds, error = shrunk(F.col("c1"), F.col("c0"), F.col("level"))
+    best = rated.select("token", odds.alias("odds"), ((odds - F.col("level")) / error).alias("z")).where(F.abs("z") >= LEAST_Z)
+    return {r.token: r.odds for r in best.select("token", "odds").collect()}
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -198,52 +226,80 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(w[0])), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> ToxicModel:
+def labelled_texts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, toxic, text), one row for each of at most ``sample`` labelled ids outside the held-out fold,
+    those with the smallest hashes. Of several labels of an id the largest counts, of several texts the first."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    has = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    chosen = labelled_sample(known.where(fold("doc_id", 3) != 1), sample)
+    rows = has.join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def fit_law(model: ToxicModel, ordinary: DataFrame) -> None:
+    """Set lambda and K from ``ordinary`` (n, found): above a high quantile u the scores of segments are u plus an
+    exponential, and their number is K n exp(-lambda u). Only sums reach the driver."""
+    scores = ordinary.select(F.explode("found").alias("s")).where("s > 0")
+    u = scores.agg(F.percentile_approx("s", TAIL, 10_000)).first()[0]
+    n = ordinary.agg(F.sum("n")).first()[0] or 0
+    if not n:
+        return
+    u = u or 0.0
+    over = scores.where(F.col("s") > u).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s") - u).alias("sum")).first()
+    mean = ((over["sum"] or 0.0) + 0.5) / (over["n"] + 1)  # as with one more score, half a unit above: few scores don't make a steep law
+    model.lam = min(max(1 / mean, 0.2), 5.0)
+    model.k = (over["n"] + 1) * math.exp(model.lam * u) / n
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicModel:
     """Learn from labelled documents outside the held-out fold, at most ``sample``.
 
-    Of near copies among them one is used. Four fifths give the counts, the others the law of segment scores and the curve. ``sample``
-    ids and labels, ``features`` weights and ``sample`` numbers pass through the driver. Without labels
-    of both kinds nothing scores.
+    Of copies among them one is used. Four fifths give the counts, the others the law of segment scores and
+    the curve. ``sample`` ids and labels, the clear tokens of these documents, and ``sample`` numbers pass
+    through the driver. Without labels of both kinds nothing scores.
     """
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = labelled_sample(known.where(fold("doc_id", 3) != 1), sample)
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10))
-    texts = docs.select("doc_id", "text")
-    alone = cut(without_copies(texts.join(F.broadcast(chosen), "doc_id")))
-    rows = texts.join(F.broadcast(alone), "doc_id").withColumn("counted", part < 8)
+    rows = cut(without_copies(cut(labelled_texts(docs, labels, sample))).withColumn("counted", part < 8))
     n = {r.toxic: r.n for r in rows.where("counted").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return ToxicModel({})
-    model = ToxicModel(log_odds(cut(token_counts(rows.where("counted"))), n[1], n[0], features))
+    model = ToxicModel(log_odds(cut(token_counts(rows.where("counted"))), n[1], n[0]))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [model.scan(t or "") for t in b["text"]]
-            yield pd.DataFrame({"toxic": b["toxic"], "n": [m for m, _ in made], "found": [[s for _, _, s in f] for _, f in made]})
-
-    got = rows.where("NOT counted").select("toxic", "text").mapInPandas(scores, "toxic int, n long, found array<double>").toPandas()
-    if not len(got):
-        return model
-    plain = got[got["toxic"] == 0]
-    ordinary = np.array([s for f in plain["found"] for s in f] + [0.5])
-    model.lam = float(np.clip(1 / max(ordinary.mean(), 1e-3), 0.2, 3.0))
-    model.k = max(len(ordinary), 1) / max(int(plain["n"].sum()), 1000)
-    x = np.array([math.log1p(sum(v for v in (model.surprise(m, s) for s in f) if v > SIGNIFICANT)) for m, f in zip(got["n"], got["found"])])
-    model.slope, model.shift = fit_curve(x, got["toxic"].to_numpy(float))
+            made = [sent.value.scan(t or "") for t in b["text"]]
+            if made:
+                yield pd.DataFrame({"toxic": b["toxic"].array, "n": [m for m, _ in made], "found": [[s for _, _, s in f] for _, f in made]})
+
+    held = cut(rows.where("NOT counted").select("toxic", "text").mapInPandas(scan, "toxic int, n long, found array<double>"))
+    fit_law(model, held.where("toxic = 0"))
+    law = ToxicModel({})
+    law.lam, law.k = model.lam, model.k
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"toxic": b["toxic"].array, "x": [law.summed(law.surprise(n, s) for s in f) for n, f in zip(b["n"], b["found"])]})
+
+    got = held.mapInPandas(sums, "toxic int, x double").toPandas()
+    if len(got):
+        model.slope, model.shift = fit_curve(got["x"].to_numpy(float), got["toxic"].to_numpy(float))
     return model
 
 
 def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted, n_passages, passages) of every row; ``passages``: first token, end, score
     and surprise of each significant one. A null text is an empty one; repeated rows give equal rows, an
-    empty table none; further columns are ignored."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
+    empty table none; further columns are ignored. Texts are scanned whole in linear time, however long;
+    a score of exactly ``threshold`` is predicted toxic."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # the clear tokens of at most SAMPLE documents
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = sent.value
         for b in batches:
             found = [tool.significant(t or "")[1] for t in b["text"]]
-            score = [tool.probability(math.log1p(sum(x[3] for x in f))) for f in found]
+            score = [tool.probability(tool.summed(x[3] for x in f)) for f in found]
             rows = [[dict(zip(("first", "end", "score", "surprise"), x)) for x in f] for f in found]
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": score, "predicted": [int(s >= threshold) for s in score], "passages": rows})
 
@@ -253,7 +309,9 @@ def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = THRES
 
 
 def keep_clean(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is below ``threshold``."""
+    """The rows of ``docs``, with all their columns, whose score is below ``threshold``. Null and empty texts stay
+    unless such labelled texts are mostly toxic; repeated rows stay or go together; columns of any name are
+    kept; an empty table stays empty."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def clean(text: pd.Series) -> pd.Series:

@@ -11,99 +11,125 @@ its rank.
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .bpe import in_blocks
 from .common import cut, gapless_rank
 
 SIZE = 2048
-CACHE = 150_000  # words after which a Python worker starts a new generation; it keeps two
+CACHE = 1_000_000  # words and runs of characters that a Python worker knows; with more it starts anew
 BLOCK = 6 << 20
 
 
-def _gather(table: list[bytes], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of ``table[k]`` for each k of ``order``, side by side, and how many each has."""
-    size = np.fromiter(map(len, table), np.int64, len(table)) // 4
-    first, taken = (np.cumsum(size) - size)[order], size[order]
-    ids = np.frombuffer(b"".join(table), "<u4")
-    return ids[np.repeat(first - np.cumsum(taken) + taken, taken) + np.arange(taken.sum())], taken
+class _Known:
+    """Strings and their ids, held in Arrow arrays: some 20 bytes for each, where a dictionary takes 200."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.names = pa.array([], pa.large_string())
+        self.ids, self.first, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def missing(self, names: pa.Array) -> pa.Array:
+        return names.filter(pc.is_null(pc.index_in(names, value_set=self.names)))
+
+    def add(self, names: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
+        self.names = pa.concat_arrays([self.names, names])
+        self.first = np.r_[self.first, len(self.ids) + np.cumsum(size) - size]
+        self.ids, self.size = np.r_[self.ids, ids], np.r_[self.size, size]
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings at these places, side by side, and how many each has."""
+        first, size = self.first[at], self.size[at]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(first - ends + size, size) + np.arange(total)], size
+
+    def places(self, names: pa.Array) -> np.ndarray:
+        return pc.index_in(names, value_set=self.names).to_numpy(zero_copy_only=False)
 
 
 class WordEncoder:
     """Ids by the ``tokenizers`` library, asked once for each word.
 
-    The vocabulary's normaliser and splitter never join text across white space, so a text's ids are
-    those of its white-space-separated runs, one after another. A run of letters with stops or commas
-    after it is the word, in lower case, and its stops.
+    The vocabulary's normaliser and splitter never join text across white space, and its special tokens
+    have none, so a text's ids are those of its white-space-separated runs, one after another. A run of
+    letters with stops or commas after it is the word, in lower case, and its stops.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
         vocabulary = self.tool.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _ask(self, words: list[bytes]) -> None:
-        """Learn new words; those of letters alone by many at a time, told apart by their end tokens."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        encode = lambda batch: self.tool.encode_batch_fast(batch, add_special_tokens=False)
-        plain = [k for k, t in enumerate(texts) if t.isalpha()]
-        rest = [k for k, t in enumerate(texts) if not t.isalpha()]
+        self.words, self.runs = _Known(), _Known()
+
+    def _encode(self, batch: list[str]) -> list:
+        return self.tool.encode_batch_fast(batch, add_special_tokens=False)
+
+    def _learn_words(self, new: pa.Array) -> None:
+        """Those of letters alone by many at a time, told apart by their end tokens."""
+        plain = pc.utf8_is_alpha(new).to_numpy(zero_copy_only=False)
+        texts = new.to_pylist()
+        order, ids, size = [], [], []
+        rest = np.flatnonzero(~plain).tolist()
+        plain = np.flatnonzero(plain).tolist()
         for at in range(0, len(plain), 1000):
             group = plain[at : at + 1000]
-            ids = np.array(encode([" ".join(texts[k] for k in group)])[0].ids, "<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            found = np.array(self._encode([" ".join(texts[k] for k in group)])[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[found]) + 1
             if len(stops) == len(group):
-                raw = ids.tobytes()
-                self.young.update((words[k], raw[a:b]) for k, a, b in zip(group, [0, *stops], stops))
+                order += group
+                ids.append(found)
+                size.append(np.diff(stops, prepend=0))
             else:  # a word fell apart
                 rest += group
         for at in range(0, len(rest), 5000):
             group = rest[at : at + 5000]
-            self.young.update((words[k], np.array(e.ids, "<u4").tobytes()) for k, e in zip(group, encode([texts[k] for k in group])))
-
-    def _known(self, words: list[bytes]) -> list[bytes]:
-        found = list(map(self.young.get, words))
-        new = [w for w, ids in zip(words, found) if ids is None]
-        self.young.update((w, self.old[w]) for w in new if w in self.old)
-        self._ask([w for w in new if w not in self.old])
-        return [self.young[w] if ids is None else ids for w, ids in zip(words, found)]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.young) > CACHE:
-            self.young, self.old = {}, self.young
-        runs = pc.ascii_split_whitespace(pa.array([t.decode("utf-8", "replace") for t in texts], pa.large_string()))
-        flat = runs.flatten().dictionary_encode()
-        run = flat.dictionary
-        word = pc.utf8_rtrim(run, characters=".,")
+            found = [e.ids for e in self._encode([texts[k] for k in group])]
+            order += group
+            ids.append(np.fromiter(itertools.chain.from_iterable(found), "<u4"))
+            size.append(np.fromiter(map(len, found), np.int64, len(found)))
+        if order:
+            self.words.add(new.take(pa.array(order, pa.int64())), np.concatenate(ids), np.concatenate(size))
+
+    def _learn_runs(self, new: pa.Array) -> None:
+        word = pc.utf8_rtrim(new, characters=".,")
         # Some letters become a letter and a mark: those that normalise so, and the dotted capital I in lower case.
         letters = pc.and_(pc.utf8_is_alpha(word), pc.equal(pc.utf8_normalize(word, form="NFC"), word))
         letters = pc.and_not(letters, pc.match_substring(word, "\u0130"))
-        word = pc.if_else(letters, pc.ascii_lower(word), run).dictionary_encode()
-        stops = pc.if_else(letters, pc.struct_field(pc.extract_regex(run, "(?P<t>[.,]*)$"), "t"), "").dictionary_encode()
-        table = [self._known(x.dictionary.cast(pa.large_binary()).to_pylist()) for x in (word, stops)]
-        both = np.stack([word.indices.to_numpy(), stops.indices.to_numpy() + len(table[0])], 1)
-        ids, taken = _gather(table[0] + table[1], both.ravel())
-        size = taken.reshape(-1, 2).sum(1)
-        cuts = np.r_[0, np.cumsum(4 * size)].tolist()
-        raw = ids.tobytes()
-        ids, taken = _gather([raw[a:b] for a, b in zip(cuts, cuts[1:])], flat.indices.to_numpy())
-        cuts = np.r_[0, np.cumsum(4 * taken)][runs.offsets.to_numpy()].tolist()
-        raw = memoryview(ids).cast("B")
-        return [bytes(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
+        stops = pc.if_else(letters, pc.struct_field(pc.extract_regex(new, "(?P<t>[.,]*)$"), "t"), "")
+        word = pc.if_else(letters, pc.ascii_lower(word), new)
+        both = pa.concat_arrays([word, stops])
+        self._learn_words(self.words.missing(pc.unique(both)))
+        ids, size = self.words.gather(np.stack([self.words.places(word), self.words.places(stops)], 1).ravel())
+        self.runs.add(new, ids, size.reshape(-1, 2).sum(1))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts side by side, and the place where each text's begin, with the end."""
+        if len(self.runs.names) > CACHE:
+            self.runs.clear()
+        if len(self.words.names) > CACHE:
+            self.words.clear()
+        runs = pc.ascii_split_whitespace(texts)
+        flat = runs.flatten().dictionary_encode()
+        names = flat.dictionary
+        new = self.runs.missing(names)
+        if len(new):
+            self._learn_runs(new)
+        ids, size = self.runs.gather(self.runs.places(names)[flat.indices.to_numpy()])
+        return ids, np.r_[0, np.cumsum(size)][runs.offsets.to_numpy()]
 
 
 @functools.lru_cache(1)
@@ -112,70 +138,110 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def texts_of(column: pa.Array) -> pa.Array:
+    """Strings from bytes; null is empty, and what isn't UTF-8 is replaced."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    try:
+        return column.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in column.to_pylist()], pa.large_string())
+
+
 def cut_documents(docs: DataFrame, path: str, size: int = SIZE, end: int = 0, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids) of every row: its ids, then ``end``, cut into pieces
     of ``size``. ``ids`` (little-endian unsigned 32-bit integers) is null unless ``with_ids``.
 
-    A null text is an empty one: one piece of length 1. Repeated rows give equal pieces; an empty table
-    gives none; further columns are ignored.
+    Ids are the library's own without special tokens added; the strings of special tokens in a text are those
+    tokens. A null text is an empty one: one piece of length 1. Repeated rows give equal pieces; an empty
+    table gives none; further columns are ignored; a text of any length is encoded whole.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool, stop, step = word_encoder(path), end.to_bytes(4, "little"), 4 * size
-        rows = ((i, t or b"") for b in batches for i, t in zip(b["doc_id"], b["text"]))
-        for part in in_blocks(rows, BLOCK):
-            out = []
-            for (i, _), ids in zip(part, tool.encode([t for _, t in part])):
-                ids += stop
-                for k in range(0, len(ids), step):
-                    x = ids[k : k + step]
-                    out.append((i, k // step, k // 4, len(x) // 4, zlib.crc32(x), x if with_ids else None))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool, stop = word_encoder(path), np.array([end], "<u4").tobytes()
+        for b in batches:
+            lengths = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+            cuts = np.flatnonzero(np.diff(lengths // BLOCK, prepend=0)) + 1 if len(lengths) else []
+            edges = sorted({0, *map(int, cuts), b.num_rows})
+            for lo, hi in zip(edges, edges[1:]):
+                ids, places = tool.encode(texts_of(b.column(1).slice(lo, hi - lo)))
+                raw, rows = memoryview(ids.tobytes()), []
+                for k, (p, q) in enumerate(itertools.pairwise(places.tolist())):
+                    for start in range(0, q - p + 1, size):
+                        n = min(size, q - p + 1 - start)
+                        part = raw[4 * (p + start) : 4 * min(p + start + n, q)]
+                        code = zlib.crc32(part) if start + n <= q - p else zlib.crc32(stop, zlib.crc32(part))
+                        rows.append((k, start // size, start, n, code, (bytes(part) + stop * (start + n > q - p)) if with_ids else None))
+                of, piece, start, n, code, data = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(lo, hi - lo).take(pa.array(of)).cast(id_type), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(code, pa.int64()), pa.array(data, pa.binary())],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+
+
+class Sums:
+    """An index of sums of one, two and three available lengths: a hash of lengths with their counts, and for
+    every sum of two the pairs that make it. Sums of three are a length and a sum of two."""
+
+    def __init__(self, counts: dict[int, int], size: int):
+        self.have = {x: n for x, n in counts.items() if n > 0}
+        self.size, self.pairs = size, {}
+        kinds = sorted(self.have, reverse=True)
+        for a, b in itertools.combinations_with_replacement(kinds, 2):  # a >= b, larger a first
+            if a + b < size:
+                self.pairs.setdefault(a + b, []).append((a, b))
+
+    def can(self, *lengths: int) -> bool:
+        return all(self.have.get(x, 0) >= lengths.count(x) for x in lengths)
+
+    def pair(self, total: int, *beside: int) -> tuple[int, int] | None:
+        """Two available lengths of that sum, beside others; pairs that have run out are forgotten."""
+        found = self.pairs.get(total, [])
+        while found and not self.can(*found[0]):
+            found.pop(0)
+        return next((p for p in found if self.can(*p, *beside)), None)
+
+    def exact(self, length: int) -> tuple[int, ...] | None:
+        """The fewest lengths, up to three, that fill the gap beside ``length`` exactly."""
+        gap = self.size - length
+        if gap == 0:
+            return ()
+        if self.can(gap, length):
+            return (gap,)
+        if two := self.pair(gap, length):
+            return two
+        for c in sorted(x for x in self.have if x < gap - 1)[::-1]:
+            if self.can(c, length) and (two := self.pair(gap - c, c, length)):
+                return (c, *two)
+        return None
+
+    def use(self, lengths: tuple[int, ...]) -> int:
+        """Use the combination as often as the counts allow; how often."""
+        need = {x: lengths.count(x) for x in lengths}
+        times = min(self.have[x] // k for x, k in need.items())
+        for x, k in need.items():
+            self.have[x] -= times * k
+            if not self.have[x]:
+                del self.have[x]
+        return times
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]]:
     """Patterns (how often, lengths) that use every piece of ``counts`` (length to count) once."""
+    sums, patterns = Sums(counts, size), []
+    for length in sorted(counts, reverse=True):
+        while length in sums.have:
+            rest = sums.exact(length)
+            if rest is None:
+                break
+            lengths = (length, *rest)
+            patterns.append((sums.use(lengths), list(lengths)))
     have = np.zeros(size + 1, np.int64)
-    for length, n in counts.items():
-        have[length] += n
-    patterns: list[tuple[int, list[int]]] = []
-
-    def use(lengths: list[int]) -> bool:
-        """Use the combination as often as it can be; whether it could."""
-        need = {x: lengths.count(x) for x in lengths}
-        times = min(int(have[x]) // k for x, k in need.items())
-        for x, k in need.items():
-            have[x] -= times * k
-        if times:
-            patterns.append((times, lengths))
-        return times > 0
-
-    use([size])
-    for length in range(size - 1, 0, -1):
-        gap = size - length
-        if have[length] and gap <= size:
-            use([length, gap])
-        if have[length]:  # pairs: a + b = gap, a >= b
-            a = np.arange((gap + 1) // 2, gap)
-            for x in a[(have[a] > 0) & (have[gap - a] > 0)][::-1].tolist():
-                use([length, x, gap - x])
-                if not have[length]:
-                    break
-        if have[length]:  # triples: c + a + b = gap, c >= a >= b
-            for c in range(gap - 2, (gap + 2) // 3 - 1, -1):
-                if not have[c]:
-                    continue
-                rest = gap - c
-                a = np.arange((rest + 1) // 2, min(c + 1, rest))
-                for x in a[(have[a] > 0) & (have[rest - a] > 0)][::-1].tolist():
-                    use([length, c, x, rest - x])
-                    if not have[length] or not have[c]:
-                        break
-                if not have[length]:
-                    break
+    for length, n in sums.have.items():
+        have[length] = n
     # Best fit, longest first, for all equal bins at once.
     open_bins: dict[int, list[tuple[int, list[int]]]] = {}
     gaps = np.zeros(size + 1, bool)

@@ -1,11 +1,14 @@
 import hashlib
+import itertools
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
+import tokenizers
 
 from corpusloom.llm import bpe, packing
 
@@ -58,11 +61,34 @@ def test_encoded_documents(spark, docs, library):
     assert back == text
 
 
-def test_words_equal_library():
-    tool = packing.word_encoder(WORDS)
-    texts = mixed(4000, 9)
-    for text, ids in zip(texts, tool.encode([t.encode() for t in texts])):
-        assert np.frombuffer(ids, "<u4").tolist() == tool.tool.encode(text, add_special_tokens=False).ids, text
+@pytest.fixture(scope="module")
+def word_library():
+    return tokenizers.Tokenizer.from_file(WORDS)
+
+
+def test_words_equal_library(word_library):
+    """Against an instance of its own, special tokens included."""
+    texts = mixed(4000, 9) + ["a <|endoftext|> b", "x<|endoftext|>.<|startoftext|>Y,", "<|EndOfText|>", "don't, CAN'T..."]
+    for _ in range(2):  # the second time all are known
+        ids, places = packing.word_encoder(WORDS).encode(pa.array(texts, pa.large_string()))
+        for text, a, b in zip(texts, places, places[1:]):
+            assert ids[a:b].tolist() == word_library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_exact_fill_is_found():
+    """A gap is filled by one length, else two, else three, whenever available ones fill it."""
+    rng = random.Random(4)
+    for _ in range(300):
+        counts = {rng.randint(1, 30): rng.randint(1, 3) for _ in range(6)}
+        length = max(counts)
+        if length == 40:
+            continue
+        got = packing.Sums(counts, 40).exact(length)
+        pool = [x for x, n in counts.items() for _ in range(n - (x == length))]
+        ways = [k for k in (1, 2, 3) if any(sum(c) == 40 - length for c in itertools.combinations(pool, k))]
+        assert (got is None) == (not ways)
+        if ways:
+            assert len(got) == ways[0] and sum(got) == 40 - length
 
 
 def test_plan_uses_every_piece():
@@ -81,11 +107,10 @@ def test_plan_uses_every_piece():
             assert bins <= ideal * 11 / 9 + 6 or max(counts) > size / 2
 
 
-def test_packed_documents(spark, docs):
-    tool = packing.word_encoder(WORDS)
+def test_packed_documents(spark, docs, word_library):
     want = {}
     for r in docs.collect():
-        ids = np.array(tool.tool.encode(r.text, add_special_tokens=False).ids + [0], "<u4")
+        ids = np.array(word_library.encode(r.text, add_special_tokens=False).ids + [0], "<u4")
         for k in range(0, len(ids), 2048):
             x = ids[k : k + 2048]
             want[r.doc_id, k // 2048] = (k, len(x), zlib.crc32(x.tobytes()))

@@ -22,11 +22,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A fresh local one is made only
-    where that setting is absent, which is the case in tests on one machine."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a fresh local
+    one is made in local mode, as in tests; a cluster must name one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -68,7 +71,8 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, c
     A group is split by a hash of ``order`` into about sqrt(rows) cells. Cells are counted (map-side
     combined), running sums over the counts give each cell's first rank, and a window inside one cell
     gives the rest. No task sorts more than a cell or a group's list of cells. ``df`` is read twice, so
-    give a checkpointed one. Rows equal in ``order`` are interchangeable.
+    give a checkpointed one. Rows equal in ``order`` are interchangeable and share a cell, so ``order`` should hold
+    what tells rows apart; ranks then don't depend on how rows lie in partitions.
     """
     if cells is None:
         cells = max(1, math.isqrt(rows if rows is not None else df.count()))
@@ -78,3 +82,15 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, c
     offsets = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inside = Window.partitionBy(*keys).orderBy(*order)
     return df.join(offsets, keys).withColumn(name, F.col("_first") + F.row_number().over(inside) - 1).drop("_cell", "_first")
+
+
+def join_hot(many: DataFrame, one: DataFrame, key: str, count: str, rows: int, how: str = "inner", most: int = 500) -> DataFrame:
+    """``many`` joined to ``one`` on ``key``, which is distinct there, though one key may hold any share of ``many``.
+
+    ``count`` is a column of ``one``: how many rows of ``many`` have the key; ``rows`` is their sum. Keys with
+    more than a ``most``-th of it, so fewer than ``most`` of them, are broadcast; the others are shuffled. Both
+    sides are read twice, so give checkpointed ones. ``how``: inner or left_semi.
+    """
+    least = rows // most + 1
+    hot, cold = F.broadcast(one.where(F.col(count) >= least)), one.where(F.col(count) < least)
+    return many.join(hot, key, how).unionByName(many.join(hot.select(key), key, "left_anti").join(cold, key, how))

@@ -1,8 +1,9 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 A line is normalised (lower case, every digit 0, other runs of signs and spaces one space) and hashed
-together with its host. Lines that occur in more than ``max_docs`` documents of one host are removed; a
-document that keeps less than ``min_share`` of its normalised characters is depleted and rejected.
+together with its host. Lines that occur in more than ``max_docs`` distinct documents of one host are
+removed; a document that keeps less than ``min_share`` of its normalised characters is depleted and rejected.
+Texts are read once: a checkpointed table of line hashes and lengths serves the counts and the removals.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, WORD
+from .common import WHITE, WORD, cut, join_hot
 
 MAX_DOCS = 20
 MIN_SHARE = 0.5
@@ -26,70 +27,81 @@ def normalised_lines(text: Column) -> Column:
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
-    """Add the base counts and ``base_failed`` to ``docs``. A null text has no words, characters or lines."""
+    """Add the base counts and ``base_failed`` to ``docs``. A null text has no words, characters or lines; very long
+    texts, ties and repeated rows are nothing special, each row is judged alone; an empty table stays
+    empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
     a = docs.withColumns({"_text": text, "_words": F.regexp_extract_all(text, F.lit(WORD), 0)})
     a = a.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace("_text", SYMBOLS, "")).cast("long"),
-        "_lines": F.filter(F.split("_text", "\n"), lambda x: x.rlike(f"[^{WHITE}]")),
+        "_full": F.filter(F.split("_text", "\n"), lambda x: x.rlike(f"[^{WHITE}]")),
         # Windows sorted by hash, so that equal ones stand side by side.
         "_windows": F.expr("CASE WHEN size(_words) < 3 THEN array() ELSE sort_array(transform(sequence(0, size(_words) - 3), i -> struct(xxhash64(_words[i], _words[i + 1], _words[i + 2]) AS h, i AS i))) END"),
     })
     a = a.withColumn("_same", F.expr("zip_with(_windows, slice(_windows, 2, size(_windows)), (a, b) -> a.h = b.h)"))
     a = a.withColumn("_repeats", F.expr("sort_array(transform(filter(_windows, (x, k) -> _same[k] OR (k > 0 AND _same[k - 1])), x -> x.i))"))
     covered = "aggregate(_repeats, named_struct('n', 0L, 'e', 0), (s, p) -> named_struct('n', s.n + p + 3 - greatest(p, s.e), 'e', p + 3), s -> s.n)"
-    a = a.withColumns({"n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "n_repeat_words": F.expr(covered)})
+    a = a.withColumns({"n_dup_lines": (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"), "n_repeat_words": F.expr(covered)})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return a.withColumn("base_failed", failed).drop("_text", "_words", "_lines", "_windows", "_same", "_repeats")
+    return a.withColumn("base_failed", failed).drop("_text", "_words", "_full", "_windows", "_same", "_repeats")
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
-    """(doc_id, _hash, removed, removed_chars): for each document with a line above the limit, the places
-    of its removed lines (from 0) and their normalised length. Nulls in ``host`` are one host."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_hash"), F.col(host).alias("_host"), normalised_lines(F.coalesce("text", F.lit(""))).alias("_lines"))
-    hashed = F.transform("_lines", lambda x: F.when(x != "", F.xxhash64(x, "_host")))
-    counted = rows.select(F.explode(F.array_distinct(hashed)).alias("_line")).where("_line IS NOT NULL")
-    often = counted.groupBy("_line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_docs).select("_line")
-    placed = rows.select("doc_id", "_hash", "_host", F.posexplode("_lines").alias("_at", "_text")).where("_text <> ''")
-    placed = placed.select("doc_id", "_hash", F.xxhash64("_text", "_host").alias("_line"), "_at", F.length("_text").alias("_chars"))
-    gone = placed.join(often, "_line").dropDuplicates(["doc_id", "_hash", "_at"])
-    return gone.groupBy("doc_id", "_hash").agg(F.sort_array(F.collect_list("_at")).alias("removed"), F.sum("_chars").alias("removed_chars"))
+def measured(docs: DataFrame, host: str = "source") -> DataFrame:
+    """Add the base counts, ``line_chars``, ``_doc`` (the id), ``_row`` (a number for each row) and ``_lines``:
+    (hash, chars) of each line, where the hash covers host and line and is null without a letter or digit.
+    Checkpointed, so the row numbers stay what they are."""
+    lines = F.transform(normalised_lines(F.coalesce("text", F.lit(""))), lambda x: F.struct(F.when(x != "", F.xxhash64(x, F.col(host))).alias("hash"), F.length(x).alias("chars")))
+    made = base_rules(docs.withColumns({"_doc": F.col("doc_id"), "_lines": lines}))
+    total = F.aggregate("_lines", F.lit(0).cast("long"), lambda s, x: s + x["chars"])
+    return made.withColumns({"line_chars": total, "_row": F.monotonically_increasing_id()})
 
 
-def line_frequency(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """Base rules and line frequency: every row of ``docs`` with the base counts, ``base_failed``,
-    ``removed`` (places of removed lines), ``line_chars``, ``removed_chars``, ``clean_text`` and ``kept``.
+def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(_row, removed, removed_chars): for each of ``rows`` (_row, _doc, _lines; checkpointed) with a line above the
+    limit, the places of its removed lines (from 0) and their normalised length. A line common to any share
+    of the documents is counted and joined in parts."""
+    each = rows.select("_row", "_doc", F.posexplode("_lines").alias("_at", "_x")).select("_row", "_doc", "_at", F.col("_x.hash").alias("_line"), F.col("_x.chars").alias("_chars")).where("_line IS NOT NULL")
+    seen = each.groupBy("_line").agg(F.countDistinct("_doc").alias("_docs"), F.count(F.lit(1)).alias("_n"))
+    often = cut(seen.where(F.col("_docs") > max_docs).select("_line", "_n"))
+    total = often.agg(F.sum("_n")).first()[0] or 0
+    gone = join_hot(each.drop("_doc"), often, "_line", "_n", total)
+    return gone.groupBy("_row").agg(F.sort_array(F.collect_list("_at")).alias("removed"), F.sum("_chars").alias("removed_chars"))
+
 
-    Every row counts as a document of its own, repeated rows included; a line counts once a document.
-    Empty and null texts fail the base rules; a text without letters and digits has no lines to lose;
-    an empty table gives no rows; columns of ``docs`` with the names of new ones are replaced. Very long
-    texts are arrays of one row, and are never exploded into words.
+def line_frequency(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE, with_text: bool = True) -> DataFrame:
+    """Base rules and line frequency: every row of ``docs`` with the base counts, ``base_failed``,
+    ``removed`` (places of removed lines), ``line_chars``, ``removed_chars``, ``kept`` and, ``with_text``,
+    ``clean_text``; without it ``docs``' text and host go as well, and only the rest is held in between.
+
+    Documents are distinct doc_ids: rows that repeat an id count once for a line, rows with a null id not at
+    all, though they lose frequent lines too. A null host is a host of its own. Empty and null texts fail the
+    base rules; a text without letters and digits has no lines to lose; an empty table gives no rows; columns
+    of ``docs`` with the names of new ones are replaced. A line in exactly ``max_docs`` documents stays. Very
+    long texts are arrays of one row, and are never exploded into words.
     """
-    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_chars", "removed", "removed_chars", "kept", "clean_text")
-    docs = docs.drop(*new)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    chars = F.aggregate(F.transform(normalised_lines(text), F.length), F.lit(0).cast("long"), lambda s, x: s + x)
-    stats = base_rules(docs).withColumns({"line_chars": chars, "_hash": F.xxhash64("text")})
-    lost = frequent_lines(docs, host, max_docs).withColumnsRenamed({"doc_id": "_id", "_hash": "_h"})
-    out = stats.join(lost, stats.doc_id.eqNullSafe(lost._id) & (stats._hash == lost._h), "left")
+    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_chars", "removed", "removed_chars", "kept", "clean_text", "_row", "_doc", "_lines")
+    base = measured(docs.drop(*new), host)
+    base = cut(base if with_text else base.drop("text", host))
+    out = base.drop("_lines", "_doc").join(frequent_lines(base.select("_row", "_doc", "_lines"), max_docs), "_row", "left")
     out = out.withColumns({"removed": F.coalesce("removed", F.array().cast("array<int>")), "removed_chars": F.coalesce("removed_chars", F.lit(0)).cast("long")})
-    left = F.col("line_chars") - F.col("removed_chars")
-    out = out.withColumn("kept", ~F.col("base_failed") & (left >= min_share * F.col("line_chars")))
-    lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed")
-    out = out.withColumn("_split", lines).withColumn("clean_text", F.array_join(F.transform(stay, lambda i: F.col("_split")[i]), "\n"))
-    return out.drop("_id", "_h", "_hash", "_split")
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("line_chars") - F.col("removed_chars") >= min_share * F.col("line_chars")))
+    if with_text:
+        lines = F.split("text", "\n")
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed")
+        out = out.withColumn("_split", lines).withColumn("clean_text", F.array_join(F.transform(stay, lambda i: F.col("_split")[i]), "\n")).drop("_split")
+    return out.drop("_row")
 
 
 def judged_documents(docs: DataFrame) -> DataFrame:
     """What op1 returns."""
-    return line_frequency(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_chars", "removed_chars")
+    made = line_frequency(docs.select("doc_id", "text", "source"), with_text=False)
+    return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_chars", "removed_chars")
 
 
 ORACLE = rf"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 t AS (SELECT doc_id, i, concat_ws(' ', words[i], words[i + 1], words[i + 2]) AS g
@@ -100,8 +112,9 @@ n AS (SELECT doc_id, source, string_split(trim(regexp_replace(regexp_replace(reg
   '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), '[0-9]', '0', 'g'), ' *\n *', chr(10), 'g'), ' '), chr(10)) AS l FROM d),
 e AS (SELECT doc_id, source, unnest(l) AS line FROM n),
 o AS (SELECT source, line FROM e WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT doc_id) > {MAX_DOCS}),
-r AS (SELECT doc_id, CAST(sum(length(line)) AS BIGINT) AS line_chars,
-  CAST(coalesce(sum(length(line)) FILTER (WHERE (source, line) IN (SELECT (source, line) FROM o)), 0) AS BIGINT) AS removed_chars FROM e GROUP BY doc_id),
+r AS (SELECT doc_id, CAST(sum(length(e.line)) AS BIGINT) AS line_chars,
+  CAST(coalesce(sum(length(e.line)) FILTER (WHERE o.line IS NOT NULL), 0) AS BIGINT) AS removed_chars
+  FROM e LEFT JOIN o ON e.line = o.line AND e.source IS NOT DISTINCT FROM o.source GROUP BY doc_id),
 b AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words

@@ -49,3 +49,30 @@ def test_frequent_line_goes(spark):
 def test_oracle(spark, duck, docs):
     got = sorted(map(tuple, quality.judged_documents(docs).collect()))
     assert got == sorted(duck.sql(quality.ORACLE).fetchall())
+
+
+def test_repeated_rows_and_null_hosts(spark, duck):
+    """Rows that repeat a document count once for its lines, rows without an id not at all; nulls and empty
+    hosts are two hosts. The SQL says the same where ids don't repeat."""
+    body = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    text = lambda k: body(k) + "\nsubscribe to our letter now"
+    rows = [(1, text(1), "h")] * 25 + [(k, text(k), "h") for k in range(2, 10)]
+    schema = "doc_id long, text string, source string"
+    assert all(r.kept and r.removed == [] for r in quality.line_frequency(spark.createDataFrame(rows, schema)).collect())
+    rows += [(k, text(k), "h") for k in range(10, 22)] + [(None, text(0), "h")]
+    assert all(r.kept and r.removed == [1] for r in quality.line_frequency(spark.createDataFrame(rows, schema)).collect())
+    split = [(k, text(k), None if k % 2 else "") for k in range(40)]
+    assert all(r.removed == [] for r in quality.line_frequency(spark.createDataFrame(split, schema)).collect())
+    split += [(k, text(k), None) for k in range(40, 50)]
+    made = spark.createDataFrame(split, schema)
+    held = made.toPandas()  # noqa: F841
+    sql = quality.ORACLE.replace("FROM documents", "FROM held")
+    assert sorted(map(tuple, quality.judged_documents(made).collect())) == sorted(__import__("duckdb").sql(sql).fetchall())
+    assert {r.doc_id for r in quality.line_frequency(made).collect() if r.removed} == {r[0] for r in split if r[2] is None}
+
+
+def test_line_in_every_document(spark):
+    """A line that all rows share is split over tasks and goes everywhere."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat(repeat(concat(translate(id, '0123456789', 'abcdefghij'), ' '), 60), '\n', 'the same old line') AS text", "'h' AS source")
+    got = quality.line_frequency(docs.repartition(16)).agg(F.count("*"), F.sum(F.size("removed"))).first()
+    assert tuple(got) == (3000, 3000)

@@ -20,14 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hot
 from .components import components
 
 BANDS, ROWS = 20, 4
 STARS = 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-_BLOCK = 1 << 12
+_BLOCK, _BITS = 1 << 12, 1 << 18
 
 
 def words(data: bytes) -> list[bytes]:
@@ -58,41 +58,55 @@ def bands(least: np.ndarray, tag: int = 0) -> list[int]:
     return np.array(made, "u8").view("i8").tolist()
 
 
-def _node(h: np.ndarray, tag: int) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), tag)).view(np.int64))
+def majority(h: np.ndarray) -> int:
+    """Signed SimHash of distinct shingle hashes; 0 without one."""
+    total = np.zeros(64, np.int64)
+    for first in range(0, len(h), _BITS):
+        part = h[first : first + _BITS].astype("<u8")
+        total += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(h), bitorder="little").view("<i8")[0])
 
 
-def _sketches(docs: DataFrame, shingle: int, split: Callable[[bytes], list[bytes]], whole: bool) -> DataFrame:
-    """(doc_id, node, n, list): the shingle set's name and size, and its keys or the ``whole`` set."""
+def _sketches(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
+    """(doc_id, text_hash, node, n, fp, list): the shingle set's name, size and SimHash, and its keys or the
+    ``whole`` set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for first in range(0, len(b), 500):
                 part = b.iloc[first : first + 500]
-                sets = [grams(split(t or b""), shingle) for t in part["text"]]
-                node = [_node(h, t) for h, t in zip(sets, part["tag"])]
-                made = [h.view("i8").tolist() if whole else bands(least_hashes(h), t) for h, t in zip(sets, part["tag"])]
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "node": node, "n": [len(h) for h in sets], "list": made})
+                sets = [grams(words(t or b""), shingle) for t in part["text"]]
+                node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], "u8").view("i8")
+                made = [h.view("i8").tolist() if whole else bands(least_hashes(h)) for h in sets]
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "text_hash": part["text_hash"].array, "node": node, "n": [len(h) for h in sets], "fp": [0 if whole else majority(h) for h in sets], "list": made})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "tag", "text").mapInPandas(run, f"doc_id {kind}, node long, n int, list array<long>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInPandas(run, f"doc_id {kind}, text_hash long, node long, n int, fp long, list array<long>")
 
 
-def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, tag: str | None = None, split: Callable[[bytes], list[bytes]] = words) -> DataFrame:
-    """(doc_id, component_id) of every document: linked are those whose shingle sets have a Jaccard similarity
-    of ``percent`` or more, and equal values in ``tag``, a column of small integers; component_id is the
-    smallest doc_id reachable. Texts without a word have equal sets. A null doc_id never names a component unless it holds no other.
+def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, more_keys: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(doc_id, text_hash, component, component_id) of every row: linked are texts whose shingle sets have a Jaccard
+    similarity of ``percent`` or more; component is a number, component_id the smallest doc_id reachable.
+
+    ``more_keys`` gives further bucket keys (node, key) for the distinct sets (node, fp, ...). Texts without a word,
+    null ones too, have equal sets; a shorter text is one shingle; repeated rows and equal sets are one node,
+    however many there are; an empty table gives no rows; further columns are ignored. A similarity of exactly
+    ``percent`` links. A null doc_id never names a component unless it holds no other.
     """
-    docs = docs.select("doc_id", (F.col(tag).cast("int") if tag else F.lit(0)).alias("tag"), F.col("text").cast("binary").alias("text"))
-    prints = cut(_sketches(docs, shingle, split, False))
-    classes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("list").alias("keys")))
-    spread = classes.select("node", "n", F.explode("keys").alias("key"))
+    docs = docs.select("doc_id", "text")
+    prints = cut(_sketches(docs, shingle, False))
+    classes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("list").alias("keys"), F.count(F.lit(1)).alias("rows")))
+    spread = classes.select("node", F.explode("keys").alias("key"))
+    if more_keys is not None:
+        spread = spread.union(more_keys(classes))
+    spread = spread.join(classes.select("node", "n"), "node")
     sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = cut(spread.join(sizes, "key"))
     degree = met.groupBy("node").agg(F.sum("size").alias("degree"))
     members = met.join(degree, "node").select("key", "node", "n", "degree", F.col("node").alias("root"))
     wanted = classes.join(degree, "node", "left_semi").select(F.col("rep").alias("_rep")).distinct()
-    sets = _sketches(docs.join(wanted, docs.doc_id.eqNullSafe(F.col("_rep")), "left_semi"), shingle, split, True)
+    sets = _sketches(docs.join(wanted, docs.doc_id.eqNullSafe(F.col("_rep")), "left_semi"), shingle, True)
     sets = cut(sets.join(degree, "node", "left_semi").select("node", "n", "list").dropDuplicates(["node"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -121,6 +135,7 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, tag: str | None
         tree = cut(components(edges))
     member = tree.join(classes, "node").select("node", "root", "rep")
     least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = member.join(least, "root").select("node", "component_id")
-    component = classes.join(named, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.select("doc_id", "node").join(component, "node").select("doc_id", "component_id")
+    named = member.join(least, "root").select("node", "root", "component_id")
+    component = cut(classes.join(named, "node", "left").select("node", "rows", F.coalesce("root", "node").alias("component"), F.coalesce("component_id", "rep").alias("component_id")))
+    total = component.agg(F.sum("rows")).first()[0] or 0
+    return join_hot(prints.select("doc_id", "text_hash", "node"), component, "node", "rows", total).select("doc_id", "text_hash", "component", "component_id")

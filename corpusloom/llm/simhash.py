@@ -7,13 +7,16 @@ consecutive segments are equal, which is the key of the index, and the longer pr
 candidates before the full Hamming check.
 
 Buckets of up to BUCKET distinct fingerprints are paired off. Fuller ones would give pairs with the
-square of their size, so their fingerprints take another exact way: each lists itself and its 64
-neighbours at one bit, and two fingerprints within two bits meet in such a list. A list holds 65
-fingerprints at most and gives a star, so the work stays linear in the fingerprints.
+square of their size, so their keys grow along the ring: the third segment has one error at most, so of its
+four parts three are equal, which makes four longer keys; of what is still full, the third and fourth
+segments have one error together, and seven of their eight parts are equal. Only buckets that stay full
+after that, thousands of fingerprints within a few bits of each other, list every fingerprint's neighbours
+at one bit, of which two fingerprints within two bits share one. No link is lost on the way.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from . import shingles
+from .common import cut, join_hot
 from .components import components
 
 WIDTHS = (13, 13, 13, 13, 12)
 TAU = 2
 BUCKET = 16
+PARTS = (4, 8)  # of the segments that have one error together, all parts but one are equal
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCK = 1 << 18
 
@@ -82,31 +87,59 @@ def _turned(x: str, off: int) -> str:
     return x if off == 0 else f"(shiftrightunsigned({x}, {off}) | shiftleft({x}, {64 - off}))"
 
 
-def links(prints: DataFrame) -> DataFrame:
+def _grown(level: int) -> str:
+    """SQL: the longer keys of ``fp`` in ``start``, one for each part that is left out."""
+    cases = []
+    for i, (off, exact, longer) in enumerate(_starts()):
+        span, parts = longer[level][0] - exact, PARTS[level]
+        edges = [exact + span * k // parts for k in range(parts + 1)]
+        keep = [(1 << edges[-1]) - 1 & ~((1 << hi) - (1 << lo)) for lo, hi in zip(edges, edges[1:])]
+        signed = lambda m: m - (1 << 64) if m >> 63 else m
+        cases.append(f"WHEN {i} THEN array({', '.join(f'xxhash64({_turned("fp", off)} & {signed(m)}L, {i}, {k}, {level})' for k, m in enumerate(keep))})")
+    return f"CASE start {' '.join(cases)} END"
+
+
+def links(prints: DataFrame, shares: dict[str, int] | None = None) -> DataFrame:
     """Edges (u, v) between distinct fingerprints within TAU bits, enough to connect all that are linked.
 
-    ``prints``: (fp), distinct. Pairs of thin buckets come one by one, those of full buckets as stars.
+    ``prints``: (fp), distinct. Pairs of thin buckets come one by one, those of buckets that stay full as stars.
+    ``shares``, if given, gets the number of rows that each kind of key had to hold.
     """
     starts = _starts()
-    keys = ", ".join(f"({_turned('fp', off)} & {(1 << exact) - 1}L) * {len(starts)} + {i}" for i, (off, exact, _) in enumerate(starts))
-    spread = prints.select("fp", F.explode(F.expr(f"array({keys})")).alias("bucket"))
-    sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(spread.join(sizes, "bucket"))
-
     chain = " ".join(
         f"WHEN {i} THEN " + " AND ".join(f"bit_count({_turned('(a ^ b)', off)} & {(1 << bits) - 1}L) <= {budget}" for bits, budget in longer)
         for i, (off, _, longer) in enumerate(starts)
     )
-    near = f"(CASE bucket % {len(starts)} {chain} END) AND bit_count(a ^ b) <= {TAU}"
-    thin = members.where(F.col("n") <= BUCKET).groupBy("bucket").agg(F.collect_list("fp").alias("fps"))
-    pairs = thin.select(F.explode(F.expr(f"flatten(transform(fps, (a, k) -> transform(filter(slice(fps, k + 2, {BUCKET}), b -> {near}), b -> struct(a AS u, b AS v))))")).alias("e")).select("e.u", "e.v")
-
-    flips = ", ".join(str(1 << k) + "L" for k in range(63))
-    full = members.where(F.col("n") > BUCKET).select("fp").distinct()
-    around = full.select("fp", F.explode(F.expr(f"transform(array(0L, {flips}, shiftleft(1L, 63)), m -> fp ^ m)")).alias("near"))
-    stars = around.groupBy("near").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    star = stars.select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).where("u <> v").distinct()
-    return pairs.union(star)
+    near = f"(CASE start {chain} END) AND bit_count(a ^ b) <= {TAU}"
+    keys = ", ".join(f"{_turned('fp', off)} & {(1 << exact) - 1}L" for off, exact, _ in starts)
+    rows = prints.select("fp", F.posexplode(F.expr(f"array({keys})")).alias("start", "bucket"))
+    found = []
+    for level in range(len(PARTS) + 1):
+        sizes = rows.groupBy("start", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        members = cut(rows.join(sizes, ["start", "bucket"]))
+        if shares is not None:
+            shares[f"keys {level}"] = members.count()
+        thin = members.where(F.col("n") <= BUCKET).groupBy("start", "bucket").agg(F.collect_list("fp").alias("fps"))
+        pairs = F.expr(f"flatten(transform(fps, (a, k) -> transform(filter(slice(fps, k + 2, {BUCKET}), b -> {near}), b -> struct(a AS u, b AS v))))")
+        found.append(thin.select(F.explode(pairs).alias("e")).select("e.u", "e.v"))
+        full = members.where(F.col("n") > BUCKET).select("fp", "start").distinct()
+        if full.isEmpty():
+            break
+        if level < len(PARTS):
+            rows = full.select("fp", "start", F.explode(F.expr(_grown(level))).alias("bucket"))
+        else:
+            flips = ", ".join(str(1 << k) + "L" for k in range(63))
+            around = full.select("fp").distinct().select("fp", F.explode(F.expr(f"transform(array(0L, {flips}, shiftleft(1L, 63)), m -> fp ^ m)")).alias("near"))
+            if shares is not None:
+                shares["neighbours"] = around.count()
+            stars = around.groupBy("near").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+            found.append(stars.select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).where("u <> v"))
+    return functools.reduce(DataFrame.union, found).distinct()
+
+
+def _components(fps: DataFrame) -> DataFrame:
+    """(fp, root) of every fingerprint that has a link."""
+    return components(links(fps)).select(F.col("node").alias("fp"), "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -115,14 +148,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts are lower-cased in A-Z, words are runs of non-white-space, shingles are three words; documents
     link when fingerprints differ in at most two bits, and component_id is the smallest doc_id reachable.
     Null and empty texts have fingerprint zero and link like any other; shorter texts have one shingle;
-    repeated rows and equal texts share a fingerprint, which is treated once; an empty table gives no
-    rows; further columns are ignored. A null doc_id never names a component unless it holds no other.
+    repeated rows and equal texts share a fingerprint, which is treated once, however many share it; an empty
+    table gives no rows; further columns are ignored. A fingerprint bit set in exactly half the shingles is 0.
+    A null doc_id never names a component unless it holds no other.
     """
     prints = cut(fingerprints(docs))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    tree = cut(components(links(classes.select("fp"))))
-    member = tree.join(classes, tree.node == classes.fp).select("node", "root", "rep")
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    tree = cut(_components(classes.select("fp")))
+    member = tree.join(classes, "fp").select("fp", "root", "rep")
     least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = member.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    component = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.join(component, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = member.join(least, "root").select("fp", "component_id")
+    component = cut(classes.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "rep").alias("component_id")))
+    rows = component.agg(F.sum("n")).first()[0] or 0
+    return join_hot(prints, component, "fp", "n", rows).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, text_hash, component) of every row: the documents linked at a Jaccard similarity of ``percent`` or
+    more over word shingles, whole sets compared; ``component`` is any number.
+
+    Candidates come from the pigeonring links of SimHash fingerprints over the same shingles, and, because pairs
+    at 0.8 lie 5 to 10 bits apart, from banded min-hashes as well (``shingles.groups``). Nulls, ties and repeated
+    rows are as there.
+    """
+
+    def keys(classes: DataFrame) -> DataFrame:
+        tree = cut(_components(classes.select("fp").distinct()))
+        root = classes.join(tree, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+        return root.select("node", F.xxhash64("root", F.lit("simhash")).alias("key"))
+
+    return shingles.groups(docs, shingle, percent, more_keys=keys)
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one document of each group of ``similar_documents``: the row with the smallest
+    doc_id, and of several texts with that id the one with the smallest hash; nulls come last. Rows that repeat id
+    and text are one. Columns of any name are kept; an empty table stays empty."""
+    linked = cut(similar_documents(docs, shingle, percent))
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("k"))
+    stay = first.select(F.coalesce("k.doc_id", F.lit(0)).alias("_id"), F.col("k.z").alias("_null"), F.col("k.text_hash").alias("_hash")).distinct()
+    keys = ["_id", "_null", "_hash"]
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.xxhash64("text").alias("_hash"))
+    one = rows.groupBy(*keys).agg(F.first("_row").alias("_row"))  # before the join: repeats end on the map side
+    return one.join(stay, keys, "left_semi").select("_row.*")

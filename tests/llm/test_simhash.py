@@ -72,3 +72,38 @@ def test_components(spark):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     want = groups(700, pairs)
     assert all(got[a] == want[a] for p in pairs for a in p if p[0] != p[1])
+
+
+def test_full_buckets_grow_their_keys(spark):
+    """Hundreds of fingerprints that share two segments, some within two bits: links equal brute force, and no
+    neighbours are listed; thousands around one centre do need them, and stay whole."""
+    rng = random.Random(12)
+    low = rng.getrandbits(26)
+    spread = {low | rng.getrandbits(38) << 26 for _ in range(600)}
+    spread |= {x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for x in list(spread)[:150]}
+    dense = {rng.getrandbits(64)}
+    centre = next(iter(dense))
+    dense |= {centre ^ (1 << a) ^ (1 << b) for a in range(45) for b in range(a)}
+    for prints, listed in ((spread, False), (dense, True)):
+        signed = [(x - (1 << 64) if x >> 63 else x,) for x in prints]
+        shares = {}
+        got = simhash.links(spark.createDataFrame(signed, "fp long"), shares).collect()
+        bits = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+        assert all(bits(r.u, r.v) <= 4 for r in got) and ("neighbours" in shares) == listed and "keys 1" in shares
+        root = {x: x for (x,) in signed}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        def merged(pairs):
+            root.update({x: x for x in root})
+            for a, b in pairs:
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+            return {x: find(x) for x in root}
+
+        mine = merged((r.u, r.v) for r in got)
+        flat = [x for (x,) in signed]
+        assert mine == merged((a, b) for k, a in enumerate(flat) for b in flat[k + 1 :] if bits(a, b) <= 2)

@@ -1,8 +1,11 @@
 """A corpus pipeline: toxicity, language, near-duplicates, secrets, packing.
 
-Each stage is written as Parquet into the shared folder and read again as the next one's documents. All
-but the last return the columns of ``documents``. Documents are told apart by doc_id: rows that repeat
-one stay or go together.
+Each stage is written as Parquet into the shared folder and read again as the next one's documents. All but
+the last return the columns of ``documents``.
+
+Null texts, empty tables, repeated rows, ties and very long texts are handled row by row as the operators say:
+toxicity and language judge a text whatever its id, near-duplicates keep one row of equal or linked ones,
+secrets and packing keep every row. Columns beyond those of ``documents`` pass all stages but the last.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import langid, packing, secrets, shingles, toxicity
+from corpusloom.llm import langid, packing, secrets, simhash, toxicity
 from corpusloom.llm.common import documents, labels, shared_dir
 
 
@@ -28,10 +31,9 @@ def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at a similarity of 0.8 or more over five-word shingles, the one with
-    the smallest id stays. op8's contract, three words and two bits, binds that query only."""
-    stay = shingles.groups(docs, shingle=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs.doc_id.eqNullSafe(stay._id), "left_semi")
+    """Of each group of documents linked at a similarity of 0.8 or more over five-word shingles, one stays: the row
+    with the smallest id. op8's contract, three words and two bits, binds that query only."""
+    return simhash.one_of_each(docs, shingle=5, percent=80)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +59,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The rows of the last stage. Each stage's table is deleted once the next one is written."""
+    docs, before = documents(spark, sf_dir), None
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+        written = f"{folder}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(written)
+        docs = spark.read.parquet(written)
+        if before:
+            _delete(spark, before)
+        before = written
     return docs

@@ -21,7 +21,7 @@ from .common import fold
 
 SAMPLE = 4_000  # at most so many labelled documents are learned from,
 LEAST = 20  # but so many of each language at least, or all that it has
-SNIPPETS = (40, 160, 600)  # code points; a document gives one of each from its inside
+SNIPPETS = (40, 160)  # code points; a document gives its whole text and one of each from its inside, for short texts
 BUCKETS = 4096
 LEAST_SCORE = 0.35
 
@@ -98,13 +98,16 @@ class Machines:
 
 
 class LanguageModel:
-    def __init__(self, texts: list[str], langs: list[str]):
-        self.empty = not texts
+    """``rows``: places and values of the features of each training text; ``langs``: its language."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str]):
+        self.empty = not rows
         if self.empty:
             return
-        x = np.ones((len(texts), BUCKETS + 1), np.float32)  # the last column is the machines' shift
-        for k, t in enumerate(texts):
-            x[k, :BUCKETS] = features(t)
+        x = np.zeros((len(rows), BUCKETS + 1), np.float32)
+        x[:, BUCKETS] = 1  # the machines' shift
+        for k, (places, values) in enumerate(rows):
+            x[k, places] = values
         y, kin = np.array(langs), np.array([family(v) for v in langs])
         self.mean = x[:, :BUCKETS].mean(0)
         spread = np.concatenate([x[:, k : k + 64].std(0) for k in range(0, BUCKETS, 64)])  # in parts: std copies what it is given
@@ -153,22 +156,38 @@ def sampled(rows: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> DataFr
 
 def train(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> LanguageModel:
     """Learn from text and lang of documents outside the held-out fold, at most ``sample`` in even shares of the
-    languages, or ``least`` for each language if that is more: every labelled language is learned. Of each
-    document three short snippets come to the driver, where the machines are fitted to rows of BUCKETS
-    numbers for them. Without any, every language is ``und``."""
+    languages, or ``least`` for each language if that is more: every labelled language is learned. Tasks reduce
+    each document's whole text, and two snippets of it, to the features that occur; these come to the driver,
+    where the machines are fitted. Of several texts of one id and language the first counts. Without any
+    document every language is ``und``."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0))
     chosen = sampled(rows.select("doc_id", "lang").distinct(), sample, least)
-    size, place = F.length("text"), F.pmod(F.xxhash64("doc_id"), F.lit(997)) / 997.0
-    cut = [F.substring("text", (F.greatest(size - n, F.lit(0)) * place).cast("int") + 1, F.lit(n)) for n in SNIPPETS]
-    got = rows.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", F.array(*cut).alias("snippets"))
-    got = sorted(got.groupBy("doc_id", "lang").agg(F.min("snippets").alias("snippets")).collect(), key=lambda r: (r.doc_id, r.lang))
-    pairs = [(s, r.lang) for r in got for s in dict.fromkeys(r.snippets) if _LETTER.search(s)]
-    return LanguageModel([s for s, _ in pairs], [v for _, v in pairs])
+    texts = rows.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(997)) / 997.0
+    parts = [F.substring("text", (F.greatest(F.length("text") - n, F.lit(0)) * place).cast("int") + 1, F.lit(n)) for n in SNIPPETS]
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, lang, part in zip(b["doc_id"], b["lang"], b["parts"]):
+                for t in dict.fromkeys(part):
+                    if _LETTER.search(t):
+                        x = features(t)
+                        places = np.flatnonzero(x)
+                        out.append((i, lang, places.astype("<u2").tobytes(), x[places].astype("<f4").tobytes()))
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "lang", "places", "found"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = texts.select("doc_id", "lang", F.array("text", *parts).alias("parts")).mapInPandas(reduced, f"doc_id {kind}, lang string, places binary, found binary").toPandas()
+    got = got.sort_values(["doc_id", "lang", "places", "found"]) if len(got) else got
+    return LanguageModel([(np.frombuffer(p, "<u2"), np.frombuffer(v, "<f4")) for p, v in zip(got["places"], got["found"])], list(got["lang"]))
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score) of every row. A text that is null or has no letter is ``und`` with score
-    0; repeated rows give equal rows, an empty table none; further columns are ignored."""
+    0; repeated rows give equal rows, an empty table none; further columns are ignored. Texts are read whole, in
+    time linear in their length; of equally likely languages the first by name is taken."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +201,9 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_told(docs: DataFrame, model: LanguageModel, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language can be told with a score of ``least``."""
+    """The rows of ``docs``, with all their columns, whose language can be told with a score of ``least`` or more.
+    Null, empty and letterless texts go; repeated rows stay or go together; columns of any name are kept; an
+    empty table stays empty; long texts are read whole."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def told(text: pd.Series) -> pd.Series:

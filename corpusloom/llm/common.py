@@ -94,3 +94,9 @@ def join_hot(many: DataFrame, one: DataFrame, key: str, count: str, rows: int, h
     least = rows // most + 1
     hot, cold = F.broadcast(one.where(F.col(count) >= least)), one.where(F.col(count) < least)
     return many.join(hot, key, how).unionByName(many.join(hot.select(key), key, "left_anti").join(cold, key, how))
+
+
+def if_small(df: DataFrame, rows: int, most: int = 500_000) -> DataFrame:
+    """``df``, to be broadcast if its ``rows`` (of a few numbers each, some MB in all) are at most ``most``; beyond
+    that a join shuffles."""
+    return F.broadcast(df) if rows <= most else df

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot
+from .common import cut, if_small, join_hot
 from .components import components
 
 BANDS, ROWS = 20, 4
@@ -89,7 +89,7 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, more_keys: Call
     """(doc_id, text_hash, component, component_id) of every row: linked are texts whose shingle sets have a Jaccard
     similarity of ``percent`` or more; component is a number, component_id the smallest doc_id reachable.
 
-    ``more_keys`` gives further bucket keys (node, key) for the distinct sets (node, fp, ...). Texts without a word,
+    ``more_keys`` gives further bucket keys (node, n, key) for the distinct sets (node, n, fp, ...). Texts without a word,
     null ones too, have equal sets; a shorter text is one shingle; repeated rows and equal sets are one node,
     however many there are; an empty table gives no rows; further columns are ignored. A similarity of exactly
     ``percent`` links. A null doc_id never names a component unless it holds no other.
@@ -97,16 +97,15 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, more_keys: Call
     docs = docs.select("doc_id", "text")
     prints = cut(_sketches(docs, shingle, False))
     classes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("list").alias("keys"), F.count(F.lit(1)).alias("rows")))
-    spread = classes.select("node", F.explode("keys").alias("key"))
+    spread = classes.select("node", "n", F.explode("keys").alias("key"))
     if more_keys is not None:
-        spread = spread.union(more_keys(classes))
-    spread = spread.join(classes.select("node", "n"), "node")
+        spread = spread.union(more_keys(classes).select("node", "n", "key"))
     sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = cut(spread.join(sizes, "key"))
     degree = met.groupBy("node").agg(F.sum("size").alias("degree"))
     members = met.join(degree, "node").select("key", "node", "n", "degree", F.col("node").alias("root"))
-    wanted = classes.join(degree, "node", "left_semi").select(F.col("rep").alias("_rep")).distinct()
-    sets = _sketches(docs.join(wanted, docs.doc_id.eqNullSafe(F.col("_rep")), "left_semi"), shingle, True)
+    wanted = cut(classes.join(degree, "node", "left_semi").select(F.col("rep").alias("_rep")).distinct())
+    sets = _sketches(docs.join(if_small(wanted, wanted.count()), docs.doc_id.eqNullSafe(F.col("_rep")), "left_semi"), shingle, True)
     sets = cut(sets.join(degree, "node", "left_semi").select("node", "n", "list").dropDuplicates(["node"]))
 
     def linked(pairs: DataFrame) -> DataFrame:

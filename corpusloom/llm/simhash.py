@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import cut, join_hot
+from .common import cut, if_small, join_hot
 from .components import components
 
 WIDTHS = (13, 13, 13, 13, 12)
@@ -174,8 +174,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
 
     def keys(classes: DataFrame) -> DataFrame:
         tree = cut(_components(classes.select("fp").distinct()))
-        root = classes.join(tree, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
-        return root.select("node", F.xxhash64("root", F.lit("simhash")).alias("key"))
+        root = classes.select("node", "n", "fp").join(tree, "fp", "left")
+        return root.select("node", "n", F.xxhash64(F.coalesce("root", "fp"), F.lit("simhash")).alias("key"))
 
     return shingles.groups(docs, shingle, percent, more_keys=keys)
 
@@ -184,10 +184,14 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     """The rows of ``docs`` with one document of each group of ``similar_documents``: the row with the smallest
     doc_id, and of several texts with that id the one with the smallest hash; nulls come last. Rows that repeat id
     and text are one. Columns of any name are kept; an empty table stays empty."""
-    linked = cut(similar_documents(docs, shingle, percent))
-    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("k"))
-    stay = first.select(F.coalesce("k.doc_id", F.lit(0)).alias("_id"), F.col("k.z").alias("_null"), F.col("k.text_hash").alias("_hash")).distinct()
-    keys = ["_id", "_null", "_hash"]
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.xxhash64("text").alias("_hash"))
-    one = rows.groupBy(*keys).agg(F.first("_row").alias("_row"))  # before the join: repeats end on the map side
-    return one.join(stay, keys, "left_semi").select("_row.*")
+    keys = ["_null", "_id", "_hash"]  # in the order of the choice
+    linked = similar_documents(docs, shingle, percent).select(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"), "component")
+    texts = cut(linked.groupBy("component", *keys).agg(F.count(F.lit(1)).alias("n")))
+    first = texts.groupBy("component").agg(F.min(F.struct(*keys)).alias("first"))
+    rated = texts.join(first, "component").select(*keys, "n", (F.struct(*keys) == F.col("first")).alias("stays"))
+    moved = cut(rated.where("NOT stays OR n > 1"))  # all other rows stay as they are
+    moved = if_small(moved, moved.count())
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64("text").alias("_hash"))
+    alone = rows.join(moved, keys, "left_anti").select("_row.*")
+    repeated = rows.join(moved.where("stays"), keys, "left_semi").groupBy(*keys).agg(F.first("_row").alias("_row")).select("_row.*")
+    return alone.unionByName(repeated)

@@ -145,26 +145,27 @@ def _split(data: bytes) -> list[bytes]:
 
 
 def without_copies(labelled: DataFrame) -> DataFrame:
-    """The rows of ``labelled`` (doc_id, toxic, text; one for each id) that aren't copies: a row goes if a band of
-    min-hashes of its runs of three tokens leads to the smallest id of its label there, and ALIKE of all their
-    min-hashes are equal. Copies of one document are no separate evidence for its words; others stay,
-    whatever single runs they share."""
+    """(doc_id, toxic, text_hash) of the ids in ``labelled`` (doc_id, toxic, text) that aren't copies; of several texts of
+    an id the one with the smallest hash counts. An id goes if a band of min-hashes of its runs of three tokens
+    leads to the smallest id of its label there, and ALIKE of all their min-hashes are equal. Copies of one
+    document are no separate evidence for its words; others stay, whatever single runs they share."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             made = [shingles.least_hashes(shingles.grams(_split(t or b""), 3)) for t in b["text"]]
             if made:
-                yield pd.DataFrame({"doc_id": b["doc_id"].array, "toxic": b["toxic"].array, "least": [h.view("i8").tolist() for h in made], "band": [shingles.bands(h, t) for h, t in zip(made, b["toxic"])]})
+                yield pd.DataFrame({"doc_id": b["doc_id"].array, "toxic": b["toxic"].array, "text_hash": b["text_hash"].array, "least": [h.view("i8").tolist() for h in made], "band": [shingles.bands(h, t) for h, t in zip(made, b["toxic"])]})
 
-    schema = f"doc_id {labelled.schema['doc_id'].dataType.simpleString()}, toxic int, least array<long>, band array<long>"
-    prints = cut(labelled.select("doc_id", "toxic", F.col("text").cast("binary").alias("text")).mapInPandas(run, schema))
+    schema = f"doc_id {labelled.schema['doc_id'].dataType.simpleString()}, toxic int, text_hash long, least array<long>, band array<long>"
+    rows = labelled.select("doc_id", "toxic", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")).mapInPandas(run, schema)
+    prints = cut(rows.groupBy("doc_id").agg(F.min(F.struct("text_hash", "toxic", "least", "band")).alias("p")).select("doc_id", "p.*"))
     spread = prints.select("doc_id", F.explode("band").alias("band"))
     first = spread.groupBy("band").agg(F.min("doc_id").alias("first"))
     pairs = spread.join(first, "band").where("doc_id <> first").select("doc_id", "first").distinct()
     one, two = prints.select("doc_id", F.col("least").alias("_a")), prints.select(F.col("doc_id").alias("first"), F.col("least").alias("_b"))
     same = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     gone = pairs.join(one, "doc_id").join(two, "first").where(same >= ALIKE * F.size("_a")).select("doc_id").distinct()
-    return labelled.join(gone, "doc_id", "left_anti")
+    return prints.select("doc_id", "toxic", "text_hash").join(gone, "doc_id", "left_anti")
 
 
 def token_counts(labelled: DataFrame) -> DataFrame:
@@ -227,13 +228,14 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, toxic, text), one row for each of at most ``sample`` labelled ids outside the held-out fold,
-    those with the smallest hashes. Of several labels of an id the largest counts, of several texts the first."""
+    """(doc_id, toxic, text), one row for each of at most ``sample`` labelled ids outside the held-out fold, those
+    with the smallest hashes, without copies. Of several labels of an id the largest counts."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    has = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     chosen = labelled_sample(known.where(fold("doc_id", 3) != 1), sample)
-    rows = has.join(F.broadcast(chosen), "doc_id")
-    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = docs.select("doc_id", "text")
+    stay = without_copies(texts.join(F.broadcast(chosen), "doc_id"))
+    rows = texts.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(stay), ["doc_id", "text_hash"])
+    return rows.groupBy("doc_id", "toxic").agg(F.first("text").alias("text"))  # rows may repeat
 
 
 def fit_law(model: ToxicModel, ordinary: DataFrame) -> None:
@@ -259,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicMode
     through the driver. Without labels of both kinds nothing scores.
     """
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10))
-    rows = cut(without_copies(cut(labelled_texts(docs, labels, sample))).withColumn("counted", part < 8))
+    rows = cut(labelled_texts(docs, labels, sample).withColumn("counted", part < 8))
     n = {r.toxic: r.n for r in rows.where("counted").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return ToxicModel({})

@@ -32,12 +32,14 @@ def uncontrolled(code: Column) -> Column:
 
 def even_indents(lines: Column) -> Column:
     """Lines with indents of a multiple of four. Units are the divisors of each indent from the second line on
-    that go into it ten times at most; with more than one of them, the smallest is a level."""
-    width = lambda x: F.length(x) - F.length(F.ltrim(x, F.lit(" ")))
+    that go into it ten times at most; with more than one of them, the smallest is a level. Lines of white
+    space only count for nothing and stay as they are."""
+    bare = lambda x: F.regexp_replace(x, r"^\s+", "")
+    width = lambda x: F.when(bare(x) != "", F.length(x) - F.length(bare(x))).otherwise(0)
     own = F.filter(F.transform(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), width), lambda w: w > 0)
     units = F.array_distinct(F.flatten(F.transform(own, lambda w: F.filter(F.sequence(F.lit(1), w), lambda j: (w % j == 0) & (w / j <= 10)))))
     level = lambda x: F.floor(width(x) / F.array_min(units)).cast("int")
-    return F.when(F.size(units) > 1, F.transform(lines, lambda x: F.concat(F.repeat(F.lit(TAB), level(x)), F.ltrim(x, F.lit(" "))))).otherwise(lines)
+    return F.when(F.size(units) > 1, F.transform(lines, lambda x: F.when(width(x) > 0, F.concat(F.repeat(F.lit(TAB), level(x)), bare(x))).otherwise(x))).otherwise(lines)
 
 
 def snippet(code: Column, line: Column) -> Column:
@@ -153,9 +155,12 @@ def element_json() -> Column:
     c = F.col
     common = [c("name"), c("element_type").alias("type"), c("file_path"), F.array("line_start", "line_end").alias("line_range"), c("docstring"), c("decorators"), c("module_path")]
     kinds = c("element_kind")
+    parameter = lambda p: F.struct(p["name"].alias("name"), p["type_annotation"].alias("type"), p["default_value"].alias("default"), *(p[x].alias(x) for x in ("is_keyword_only", "is_positional_only", "is_variadic", "description")))
+    signature = F.struct(F.transform("signature.parameters", parameter).alias("parameters"), *(c(f"signature.{x}").alias(x) for x in ("return_type", "is_async", "is_generator", "is_abstract")))
+    nothing = F.array().cast("array<string>")
     function = [
-        c("signature"), (c("element_type") == "METHOD").alias("is_method"), (kinds == "STATICMETHOD").alias("is_static"), (kinds == "CLASSMETHOD").alias("is_class_method"),
-        (kinds == "PROPERTY").alias("is_property"), (kinds == "CONSTRUCTOR").alias("is_constructor"),
+        signature.alias("signature"), (c("element_type") == "METHOD").alias("is_method"), (kinds == "STATICMETHOD").alias("is_static"), (kinds == "CLASSMETHOD").alias("is_class_method"),
+        (kinds == "PROPERTY").alias("is_property"), (kinds == "CONSTRUCTOR").alias("is_constructor"), F.lit(False).alias("is_overridden"), F.lit(False).alias("is_override"), nothing.alias("calls"), nothing.alias("called_by"),
     ]
     of_class = [c("bases"), c("methods"), c("attributes")]
     of_import = [c("source_module").alias("source"), c("import_names").alias("imports"), c("import_aliases").alias("aliases"), c("is_from_import")]

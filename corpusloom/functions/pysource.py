@@ -175,11 +175,11 @@ def sanitize(code: str) -> tuple[str, int, bool]:
         fixed = _CONTROL.sub(" ", fixed)
         changed += fixed != line
         out.append(fixed)
-    widths = [len(x) - len(x.lstrip(" ")) for x in out]
+    widths = [len(x) - len(x.lstrip()) if x.strip() else 0 for x in out]
     units = {j for w in widths[1:] for j in range(1, w + 1) if w % j == 0 and w // j <= 10}
     if len(units) > 1:
         unit = min(units)
-        even = [" " * (INDENT * (w // unit)) + x[w:] for x, w in zip(out, widths)]
+        even = [" " * (INDENT * (w // unit)) + x[w:] if w else x for x, w in zip(out, widths)]
         changed += sum(a != b for a, b in zip(even, out))
         out = even
     return "\n".join(out), changed, text != code or changed > 0
@@ -205,7 +205,8 @@ def salvage(code: str, path: str) -> Iterator[dict]:
                 at = t.start[0]
                 row = _element(name=t.string, element_type=kind, line_start=at, line_end=at, module_path=module, parent_name=owner, depth_in_functions=inside, is_mock=True)
                 if kind != "CLASS":
-                    row["signature"] = {"parameters": [], "return_type": None, "is_async": False, "is_generator": False, "is_abstract": False}
+                    own = ast.arguments(posonlyargs=[], args=[ast.arg("self")] * (owner is not None and t.string == "__init__"), kwonlyargs=[], kw_defaults=[], defaults=[])
+                    row["signature"] = {"parameters": _parameters(own), "return_type": None, "is_async": False, "is_generator": False, "is_abstract": False}
                 yield row
                 scopes.append((depth + 1, want, t.string))
                 want = None
@@ -226,6 +227,11 @@ def stub(path: str, error: dict) -> dict:
     return _element(name=module, element_type="MODULE", line_start=1, line_end=1, module_path=module, docstring=text, is_mock=True)
 
 
+def _plain(error: dict) -> str:
+    """The message without the place that Python adds to it."""
+    return re.sub(r" \([^()]*, line \d+\)$", "", error["message"])
+
+
 def parse_with_fallbacks(path: str, data: bytes) -> dict:
     """A row of PARSED by the chain: as it is (0), other encodings (1), sanitised (keeps 1, else 2), tokens (3), stub (4)."""
     row = parse_safely(path, data)
@@ -234,7 +240,7 @@ def parse_with_fallbacks(path: str, data: bytes) -> dict:
     error = row["error"]
     undecodable = error["error_type"] == "UnicodeDecodeError"
     level = 1 if undecodable else 2
-    issues = [error["message"] if undecodable else f"Syntax error at line {error['line']}: {error['message']}" if error["error_type"] == "SyntaxError" else error["message"]]
+    issues = [error["message"] if undecodable else f"Syntax error at line {error['line']}: {_plain(error)}" if error["error_type"] == "SyntaxError" else error["message"]]
     codes = [data.decode("utf-8", "replace")] if not undecodable else []
     for name in encodings(data) if undecodable else []:
         try:
@@ -245,14 +251,14 @@ def parse_with_fallbacks(path: str, data: bytes) -> dict:
         elements, failed = _tree(code, path)
         if elements is not None:
             return row | {"elements": elements, "fallback_level": level, "issues_found": issues}
-        issues.append(f"Failed with encoding {name}: {failed['message']}")
+        issues.append(f"Failed with encoding {name}: {_plain(failed)}")
     codes = codes or [data.decode("utf-8", "replace")]
     clean, lines, changed = sanitize(codes[0])
     if changed:
         elements, failed = _tree(clean, path)
         if elements is not None:
             return row | {"elements": elements, "fallback_level": level, "issues_found": issues, "sanitized_lines": lines}
-        issues.append(f"Failed after sanitization: {failed['message']}")
+        issues.append(f"Failed after sanitization: {_plain(failed)}")
     found = list(salvage(clean, path))
     if found:
         return row | {"elements": found, "fallback_level": 3, "issues_found": issues, "sanitized_lines": lines}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -33,3 +34,17 @@ def memory_budget(files: DataFrame, order: str, estimate, budget: int) -> DataFr
     """Add ``memory_warning``: whether the estimates up to and with this row exceed the budget. No row goes."""
     summed = running_sum(files, by_value(order, files), [order], estimate, "_total")
     return summed.withColumn("memory_warning", F.col("_total") > budget).drop("_total")
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write each row (path relative to ``root``, content) as a file, in the tasks. ``root`` is a folder that all of
+    them mount. A repeated task writes the same bytes again."""
+
+    def put(rows) -> None:
+        for r in rows:
+            path = os.path.join(root, r.path)
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as f:
+                f.write(bytes(r.content or b""))
+
+    files.select("path", "content").foreachPartition(put)

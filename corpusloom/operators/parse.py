@@ -64,6 +64,13 @@ def parse_errors(parsed: DataFrame) -> DataFrame:
     return e.select(F.col("file_path").alias("file"), "error.error_type", "error.message", "error.line", "error.column", "error.traceback", "error.code_snippet", "fallback_level", "issues_found")
 
 
+def first_errors(errors: DataFrame) -> DataFrame:
+    """The error of the lowest line of each file; one without a line comes last."""
+    columns = errors.columns
+    place = F.struct(F.col("line").isNull(), F.col("line"), F.col("error_type"), F.col("message"))
+    return errors.groupBy("file").agg(F.min_by(F.struct(*columns), place).alias("_e")).select("_e.*").select(*columns)
+
+
 def for_each_error(errors: DataFrame, handle: Callable[[dict], None]) -> None:
     """Call ``handle`` with every error as a dictionary, in the tasks."""
     errors.foreach(lambda row: handle(row.asDict(recursive=True)))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import running_sum
+from .ordered import by_value, running_sum
 
 EXACT, PREFIX, INSIDE = 5, 2, 1
 
@@ -65,29 +65,20 @@ def prefix_names(elements: DataFrame, start: str, max_results: int) -> DataFrame
     own = elements.where(F.col("name").startswith(start)).groupBy("name").agg(F.countDistinct("element_id").alias("n"))
     if max_results <= 0:
         return own.where(F.col("name") == start)
-    # Names in order, by their next two characters: a bucket keeps that order.
-    bucket = F.substring("name", 1, len(start) + 2)
-    return running_sum(own, bucket, ["name"], F.col("n"), "_before", through=False).where(F.col("_before") < max_results).select("name", "n")
+    return running_sum(own, by_value("name", own), ["name"], F.col("n"), "_before", through=False).where(F.col("_before") < max_results).select("name", "n")
 
 
-def trie_order(elements: DataFrame) -> DataFrame:
-    """(name, walk): a sort key that gives names in the order of a trie whose branches stand as they were first
-    inserted: for each length of prefix, the first seq of a name with that prefix."""
-    names = elements.groupBy("name").agg(F.min("seq").alias("_seq"))
-    parts = names.select("name", "_seq", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring(F.col("name"), F.lit(1), i))).alias("_at", "_part"))
-    first = parts.groupBy("_part").agg(F.min("_seq").alias("_first"))
-    found = parts.join(first, "_part").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("_at", "_first"))).alias("_w"))
-    return found.select("name", F.transform("_w", lambda x: x["_first"]).alias("walk"))
+def prefix_page(elements: DataFrame, start: str, after: str | None, size: int) -> DataFrame:
+    """(name, n): the next ``size`` names with the prefix in name order, after a given one; n counts their ids."""
+    own = elements.where(F.col("name").startswith(start))
+    if after is not None:
+        own = own.where(F.col("name") > after)
+    return own.groupBy("name").agg(F.countDistinct("element_id").alias("n")).orderBy("name").limit(size)
 
 
-def prefix_walk(elements: DataFrame, start: str, max_results: int) -> DataFrame:
-    """(name, n, walk): like ``prefix_names``, for a walk through a trie whose branches stand as first inserted.
-    Order by ``walk`` for the order of the visit."""
-    own = elements.where(F.col("name").startswith(start))
-    counts = own.groupBy("name").agg(F.countDistinct("element_id").alias("n"))
-    # Names share the walk down to the prefix; the branch after it keeps the order, the prefix itself comes first.
-    named = counts.join(trie_order(own), "name")
-    if max_results <= 0:
-        return named.where(F.col("name") == start)
-    branch = F.get("walk", F.lit(len(start)))
-    return running_sum(named, branch, ["walk"], F.col("n"), "_before", through=False).where(F.col("_before") < max_results).select("name", "n", "walk")
+def prefix_fanout(elements: DataFrame, depth: int = 3) -> DataFrame:
+    """(prefix, names): how many distinct names lie below each prefix of up to ``depth`` characters. Names are counted by
+    their longest prefix first, so the rows of the shorter ones come from few."""
+    cut = elements.select("name").distinct().groupBy(F.substring("name", 1, depth).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    each = cut.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("p")), lambda k: F.substring(F.col("p"), F.lit(1), k))).alias("prefix"), "n")
+    return each.groupBy("prefix").agg(F.sum("n").alias("names"))

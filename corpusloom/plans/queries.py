@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..model import SIGNATURE
 from ..operators import files as files_
 from ..operators import index, ordered, parse, search, store
 
@@ -155,7 +156,7 @@ def q18(spark, sf_dir):
     return files_.memory_budget(docs, "doc_id", F.col("n_chars") * 2 + 100, 1_000_000).select("doc_id", "memory_warning")
 
 
-@query("q19_lru_content", "SELECT user_id, max(event_id) AS last_seq FROM events GROUP BY user_id ORDER BY last_seq DESC LIMIT 20")
+@query("q19_recent_keys", "SELECT user_id, max(event_id) AS last_seq FROM events GROUP BY user_id ORDER BY last_seq DESC LIMIT 20")
 def q19(spark, sf_dir):
     return index.last_used(read(spark, sf_dir, "events"), "user_id", "event_id", 20)
 
@@ -269,7 +270,10 @@ def q29(spark, sf_dir):
 
 def scratch(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
 
 
@@ -347,10 +351,9 @@ def q40(spark, sf_dir):
     return search.prefix(elements(spark, sf_dir), "b", 30)
 
 
-@query("q41_trie_walk", """WITH {E}, n AS (SELECT name, min(seq) AS s FROM E GROUP BY name), p AS (SELECT name, s, i, substr(name, 1, i) AS part FROM (SELECT name, s, unnest(range(1, length(name) + 1)) AS i FROM n) x),
-f AS (SELECT part, min(s) AS f FROM p GROUP BY part) SELECT name, array_to_string(list(f.f ORDER BY i), '/') AS walk FROM p JOIN f ON p.part = f.part GROUP BY name""")
+@query("q41_prefix_fanout", """WITH {E} SELECT substr(name, 1, i) AS prefix, count(DISTINCT name) AS names FROM (SELECT name, unnest(range(1, 4)) AS i FROM E) t WHERE i <= length(name) GROUP BY 1""")
 def q41(spark, sf_dir):
-    return search.trie_order(elements(spark, sf_dir)).select("name", F.array_join(F.transform("walk", lambda x: x.cast("string")), "/").alias("walk"))
+    return search.prefix_fanout(elements(spark, sf_dir), 3)
 
 
 @query("q42_utf8_probe", "SELECT doc_id, doc_id % 3 <> 0 AS valid FROM documents WHERE text IS NOT NULL")
@@ -359,7 +362,7 @@ def q42(spark, sf_dir):
     return read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", C.utf8_valid(content).alias("valid"))
 
 
-@query("q43_even_indents", r"""SELECT doc_id, md5(array_to_string(list_transform(l, lambda x: concat(repeat('    ', CAST(length(x) - length(ltrim(x, ' ')) AS INTEGER)), ltrim(x, ' '))), chr(10))) AS h
+@query("q43_even_indents", r"""SELECT doc_id, md5(array_to_string(list_transform(l, lambda x: CASE WHEN trim(x, ' ') = '' THEN x ELSE concat(repeat('    ', CAST(length(x) - length(ltrim(x, ' ')) AS INTEGER)), ltrim(x, ' ')) END), chr(10))) AS h
 FROM (SELECT doc_id, string_split(concat('a', chr(10), '   b', chr(10), '  ', text), chr(10)) AS l FROM documents) t""")
 def q43(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
@@ -370,7 +373,7 @@ def q43(spark, sf_dir):
 @query("q44_element_json", """WITH {E} SELECT DISTINCT element_id, concat('{"name":"', name, '","type":"', element_type, '","parent":"', parent_name, '"}') AS j FROM E WHERE element_type = 'CLASS'""")
 def q44(spark, sf_dir):
     e = elements(spark, sf_dir).where("element_type = 'CLASS'").withColumns({"docstring": F.lit(None).cast("string"), "decorators": F.array().cast("array<string>"), "bases": F.array().cast("array<string>"), "methods": F.array().cast("array<string>"), "attributes": F.create_map().cast("map<string,string>"), "line_start": F.lit(1), "line_end": F.lit(2), "element_kind": F.lit("CLASS")})
-    whole = e.withColumns({c: F.lit(None).cast(t) for c, t in (("signature", "struct<x:int>"), ("source_module", "string"), ("import_names", "array<string>"), ("import_aliases", "map<string,string>"), ("is_from_import", "boolean"))}).select("element_id", C.element_json().alias("j"))
+    whole = e.withColumns({c: F.lit(None).cast(t) for c, t in (("signature", SIGNATURE), ("source_module", "string"), ("import_names", "array<string>"), ("import_aliases", "map<string,string>"), ("is_from_import", "boolean"))}).select("element_id", C.element_json().alias("j"))
     back = F.from_json("j", "name string, type string, parent string")
     return whole.select("element_id", F.to_json(back).alias("j")).distinct()
 
@@ -394,13 +397,9 @@ def q46(spark, sf_dir):
     return index.modules(elements(spark, sf_dir)).select("module_path", *joined, "is_package")
 
 
-@query("q47_trie_prefix", """WITH {E}, o AS (SELECT * FROM E WHERE name LIKE 'red%'), n AS (SELECT name, min(seq) AS s, count(DISTINCT element_id) AS n FROM o GROUP BY name),
-p AS (SELECT name, n, i, substr(name, 1, i) AS part, s FROM (SELECT name, n, s, unnest(range(1, length(name) + 1)) AS i FROM n) x),
-f AS (SELECT part, min(s) AS f FROM p GROUP BY part),
-w AS (SELECT name, any_value(n) AS n, list(f.f ORDER BY i) AS walk FROM p JOIN f ON p.part = f.part GROUP BY name)
-SELECT name, n FROM (SELECT name, n, coalesce(sum(n) OVER (ORDER BY walk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w) x WHERE b < 60""")
+@query("q47_prefix_page", "WITH {E} SELECT name, count(DISTINCT element_id) AS n FROM E WHERE name LIKE 'red%' AND name > 'red f' GROUP BY name ORDER BY name LIMIT 5")
 def q47(spark, sf_dir):
-    return search.prefix_walk(elements(spark, sf_dir), "red", 60).select("name", "n")
+    return search.prefix_page(elements(spark, sf_dir), "red", "red f", 5)
 
 
 @query("q48_class_kinds", """SELECT kind, count(*) AS n FROM (SELECT CASE WHEN p_size % 5 = 0 THEN 'DATACLASS' WHEN p_size % 5 = 1 THEN 'ENUM' WHEN p_size % 5 = 2 THEN 'EXCEPTION'
@@ -410,3 +409,133 @@ def q48(spark, sf_dir):
     base = F.when(k == 1, "enum.IntEnum").when(k == 2, F.concat(F.regexp_replace("p_name", "[^A-Za-z]", "_"), F.lit("Error"))).when(k == 3, "typing.NamedTuple").otherwise("Base")
     decorators = F.when(k == 0, F.array(F.lit("dataclasses.dataclass(frozen=True)"))).otherwise(F.array().cast("array<string>"))
     return read(spark, sf_dir, "part").select(C.class_kind(F.array(base), decorators).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q49_crawl", """SELECT concat('d', CAST(k % 7 AS VARCHAR), '/', name) AS path, size, CASE WHEN k % 5 = 1 THEN 'encoding' END AS skipped FROM (SELECT p_partkey AS k,
+  concat('m', CAST(p_partkey AS VARCHAR), '.py') AS name, CAST(length(p_name) + 4 + CASE WHEN p_partkey % 5 = 1 THEN 1 ELSE 0 END AS BIGINT) AS size FROM part) t WHERE k % 5 <> 2 AND k % 7 <> 3""")
+def q49(spark, sf_dir):
+    """A tree written from parts (a fifth not UTF-8, a fifth not Python, a folder that is never entered), crawled."""
+    from ..sources.pytree import read_tree
+
+    k, root = F.col("p_partkey"), scratch(spark).removeprefix("file:")
+    text = F.concat(F.lit("# "), "p_name", F.lit(" \n")).cast("binary")
+    tree = read(spark, sf_dir, "part").select(
+        F.concat(F.when(k % 7 == 3, "build").otherwise(F.concat(F.lit("d"), k % 7)), F.lit("/m"), k, F.when(k % 5 == 2, ".txt").otherwise(".py")).alias("path"),
+        F.when(k % 5 == 1, F.concat(text, F.unhex(F.lit("FF")))).otherwise(text).alias("content"),
+    )
+    files_.write_tree(tree, root)
+    found = read_tree(spark, root, emit="all")
+    return found.select(F.substring_index("path", "/", -2).alias("path"), "size", "skipped")
+
+
+@query("q50_typed_tokens", """WITH {S}, t AS (
+  SELECT 'FUNCTION' AS element_type, [concat(word, '_top'), 'doc', concat(word, '.'), module, 'a', 'b', 'deco'] AS l FROM S
+  UNION ALL SELECT 'FUNCTION', ['cond', module] FROM S UNION ALL SELECT 'METHOD', ['run', module, 'self', 'rest'] FROM S
+  UNION ALL SELECT 'METHOD', ['make', module, 'x', 'int', 'str', 'staticmethod'] FROM S
+  UNION ALL SELECT 'CLASS', [concat('c_', word), module, 'base', 'run', 'make', 'limit', 'int'] FROM S
+  UNION ALL SELECT 'IMPORT', ['os', module] FROM S UNION ALL SELECT 'IMPORT', [word, module, 'a', 'b', 'c'] FROM S
+  UNION ALL SELECT 'MODULE', list_concat([module], list_filter(string_split_regex(lower(doc), '\\s+'), lambda x: length(x) > 2)) FROM S)
+SELECT element_type, token, count(*) AS n FROM (SELECT element_type, unnest(list_distinct(l)) AS token FROM t) x GROUP BY 1, 2""")
+def q50(spark, sf_dir):
+    e = parse.elements(parse.parse_files(sources(spark, sf_dir)))
+    return e.select("element_type", F.explode("search_tokens").alias("token")).groupBy("element_type", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q51_typed_json", """WITH {S}, r AS (
+  SELECT concat(module, '.', word, '_top') AS element_id, 'FUNCTION' AS type, 'false' AS is_method, 'false' AS is_static, 'false' AS is_async, 'a' AS p0, CAST(size AS VARCHAR) AS d1, '[]' AS calls, CAST(NULL AS VARCHAR) AS base, CAST(NULL AS VARCHAR) AS attribute, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS alias, CAST(NULL AS VARCHAR) AS parent FROM S
+  UNION ALL SELECT concat(module, '.cond'), 'FUNCTION', 'false', 'false', 'false', NULL, NULL, '[]', NULL, NULL, NULL, NULL, NULL FROM S
+  UNION ALL SELECT concat(module, '.run'), 'METHOD', 'true', 'false', 'true', 'self', NULL, '[]', NULL, NULL, NULL, NULL, concat('C_', word) FROM S
+  UNION ALL SELECT concat(module, '.make'), 'METHOD', 'true', 'true', 'false', 'x', NULL, '[]', NULL, NULL, NULL, NULL, concat('C_', word) FROM S
+  UNION ALL SELECT concat(module, '.C_', word), 'CLASS', NULL, NULL, NULL, NULL, NULL, NULL, 'Base', 'int', NULL, NULL, NULL FROM S
+  UNION ALL SELECT concat(module, '.os'), 'IMPORT', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'os', NULL, NULL FROM S
+  UNION ALL SELECT concat(module, '.', word), 'IMPORT', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, word, 'b', NULL FROM S
+  UNION ALL SELECT concat(module, '.', module), 'MODULE', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM S) SELECT * FROM r""")
+def q51(spark, sf_dir):
+    e = parse.elements(parse.parse_files(sources(spark, sf_dir))).select("element_id", C.element_json().alias("j"))
+    at = lambda path, name: F.get_json_object("j", path).alias(name)
+    return e.select(
+        "element_id", at("$.type", "type"), at("$.is_method", "is_method"), at("$.is_static", "is_static"), at("$.signature.is_async", "is_async"), at("$.signature.parameters[0].name", "p0"), at("$.signature.parameters[1].default", "d1"),
+        at("$.calls", "calls"), at("$.bases[0]", "base"), at("$.attributes.limit", "attribute"), at("$.source", "source"), at("$.aliases.a", "alias"), at("$.parent", "parent"),
+    )
+
+
+@query("q52_postings", ORACLE_SQL["q21_token_index"])
+def q52(spark, sf_dir):
+    docs = text_tokens(read(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "element_id")
+    return index.token_counts(index.postings(docs, "tokens"))
+
+
+@query("q53_search_postings", ORACLE_SQL["q22_search"].replace("SELECT doc_id, CAST", "SELECT doc_id AS element_id, CAST"))
+def q53(spark, sf_dir):
+    docs = text_tokens(read(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "element_id")
+    return search.search_postings(index.postings(docs, "tokens"), "the and tion of where", 50)
+
+
+@query("q54_children_of", "WITH {E} SELECT element_id, min(seq) AS seq FROM E WHERE parent_id = (SELECT min(parent_id) FROM E) GROUP BY element_id")
+def q54(spark, sf_dir):
+    e = elements(spark, sf_dir)
+    return index.children(e, e.agg(F.min("parent_id")).first()[0]).select("element_id", "seq")
+
+
+@query("q55_parse_udtf", """WITH {S} SELECT k, name, element_type, CAST(line AS INTEGER) AS line_start, is_async FROM (
+  SELECT k, concat(word, '_top') AS name, 'FUNCTION' AS element_type, 6 AS line, FALSE AS is_async FROM S UNION ALL SELECT k, 'inner', 'FUNCTION', 8, FALSE FROM S
+  UNION ALL SELECT k, 'run', 'METHOD', 14, FALSE FROM S UNION ALL SELECT k, 'run', 'METHOD', 16, TRUE FROM S UNION ALL SELECT k, 'make', 'METHOD', 19, FALSE FROM S UNION ALL SELECT k, 'cond', 'FUNCTION', 22, FALSE FROM S) t""")
+def q55(spark, sf_dir):
+    parse.register_parse(spark)
+    sources(spark, sf_dir).createOrReplaceTempView("corpusloom_sources")
+    return spark.sql("SELECT p_partkey AS k, e.name, e.element_type, e.line_start, e.is_async FROM corpusloom_sources, LATERAL parse_defs(code) e WHERE e.element_type IN ('FUNCTION', 'METHOD')")
+
+
+@query("q56_parse_outcomes", "SELECT concat('src/m', CAST(p_partkey AS VARCHAR), '.py') AS path, p_partkey % 5 = 0 AS parsed, CASE WHEN p_partkey % 5 = 0 THEN CAST(0 AS INTEGER) END AS fallback_level FROM part")
+def q56(spark, sf_dir):
+    files = broken_sources(spark, sf_dir)
+    return parse.parse_outcomes(files, parse.parse_files(files))
+
+
+@query("q57_stub_modules", """SELECT concat('stub:src/', name, '.py') AS element_id, name, CAST(1 AS INTEGER) AS line_start, concat('ERROR: This module could not be parsed.', chr(10), 'Error type: SyntaxError', chr(10)) AS head
+FROM (SELECT concat('m', CAST(p_partkey AS VARCHAR)) AS name, p_partkey % 5 AS k FROM part) t WHERE k >= 2""")
+def q57(spark, sf_dir):
+    errors = parse.first_errors(parse.parse_errors(parse.parse_files(broken_sources(spark, sf_dir)))).where("error_type = 'SyntaxError'")
+    return parse.stub_modules(errors).select("element_id", "name", "line_start", F.regexp_extract("docstring", r"^([^\n]*\n[^\n]*\n)", 1).alias("head"))
+
+
+@query("q58_byte_order_mark", "SELECT doc_id, md5(text) AS h FROM documents WHERE text IS NOT NULL")
+def q58(spark, sf_dir):
+    marked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\ufeff"), "text")).otherwise(F.col("text"))
+    return read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.md5(C.without_bom(marked)).alias("h"))
+
+
+@query("q59_budget_estimate", "SELECT doc_id, sum(length(source) * 2 + 100 + CASE WHEN doc_id % 3 = 0 THEN 10240 ELSE n_chars * 2 END) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) > 500000 AS memory_warning FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL")
+def q59(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").where("source IS NOT NULL AND n_chars IS NOT NULL").select("doc_id", "source", "n_chars")
+    size = F.when(F.col("doc_id") % 3 != 0, F.col("n_chars"))
+    return files_.memory_budget(docs, "doc_id", C.budget_bytes(F.col("source"), size), 500_000).select("doc_id", "memory_warning")
+
+
+@query("q60_salvaged_tokens", """WITH {S}, r AS (SELECT k, module, word FROM S WHERE k % 5 = 3)
+SELECT concat(module, '.', name) AS element_id, element_type, CAST(line AS INTEGER) AS line_start, parent FROM (
+  SELECT module, concat(word, '_top') AS name, 'FUNCTION' AS element_type, 6 AS line, CAST(NULL AS VARCHAR) AS parent FROM r UNION ALL SELECT module, concat('C_', word), 'CLASS', 12, NULL FROM r
+  UNION ALL SELECT module, 'run', 'METHOD', 16, concat('C_', word) FROM r UNION ALL SELECT module, 'make', 'METHOD', 19, concat('C_', word) FROM r
+  UNION ALL SELECT module, 'cond', 'FUNCTION', 22, NULL FROM r UNION ALL SELECT module, 'Broken', 'CLASS', 23, NULL FROM r) t""")
+def q60(spark, sf_dir):
+    parsed = parse.parse_files(broken_sources(spark, sf_dir), fallbacks=True).where("fallback_level = 3")
+    return parse.elements(parsed).select("element_id", "element_type", "line_start", F.col("parent_name").alias("parent"))
+
+
+@query("q61_store_postings", "WITH {E} SELECT lower(name) AS token, count(DISTINCT element_id) AS n FROM E WHERE length(name) > 2 GROUP BY 1")
+def q61(spark, sf_dir):
+    folder = scratch(spark)
+    store.save(index.first_wins(elements(spark, sf_dir)).withColumn("search_tokens", F.array(F.lower("name"), F.lit("it"))), folder)
+    return index.token_counts(store.load(spark, folder, "postings"))
+
+
+@query("q62_build", """WITH {S} SELECT element_type, count(DISTINCT id) AS n FROM (
+  SELECT 'MODULE' AS element_type, module AS id FROM S UNION ALL SELECT 'IMPORT', concat(module, i) FROM S, (VALUES ('a'), ('b')) v(i) UNION ALL SELECT 'CLASS', module FROM S
+  UNION ALL SELECT 'FUNCTION', concat(module, i) FROM S, (VALUES ('a'), ('b')) v(i) UNION ALL SELECT 'METHOD', concat(module, i) FROM S, (VALUES ('a'), ('b')) v(i)) t GROUP BY 1""")
+def q62(spark, sf_dir):
+    from .build import build_index
+
+    root = scratch(spark).removeprefix("file:")
+    files_.write_tree(sources(spark, sf_dir).select("path", "content"), root)
+    built, _ = build_index(spark, root)
+    return built.groupBy("element_type").agg(F.count(F.lit(1)).alias("n"))

@@ -59,3 +59,11 @@ def test_batches_and_budget(spark):
     warned = files.memory_budget(df, "seq", F.lit(10), 1000).where("NOT memory_warning").count()
     assert warned == 100
     assert files.in_batches(df.where("seq < 0"), "seq").count() == 0
+
+
+@pytest.mark.parametrize("key", ["xxhash64(id)", "id * id * id", "IF(id = 7, 9000000000000000000, id)", "CAST(id AS string)", "concat('stem', CAST(id AS string))"])
+def test_order_of_any_key(spark, key):
+    """Hashed, skewed, far-out and string keys: numbers without gaps in the key's order."""
+    df = spark.range(0, 3000).selectExpr(f"{key} AS seq")
+    got = files.in_batches(df, "seq", 100).orderBy("seq").collect()
+    assert [r.batch_id for r in got] == [k // 100 for k in range(3000)]

@@ -53,31 +53,8 @@ def test_prefix(spark):
     assert walk("ba", 100) == walk("ba", 3) == [("ba", 1), ("bar", 1), ("baz", 2)]
     assert walk("ba", 1) == walk("ba", 0) == [("ba", 1)] and walk("BA", 9) == [] and len(walk("", 100)) == 4
     assert search.prefix(e, "", None).count() == 5 and search.prefix(e, "ba", 2).count() == 2
-    order = [r.name for r in search.trie_order(e).orderBy("walk").collect()]
-    assert order == ["ba", "bar", "baz", "qux"]
-
-
-def test_trie_order_model(spark):
-    rng = random.Random(5)
-    names = ["".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(60)]
-    root = {}
-    for n in names:
-        node = root
-        for c in n:
-            node = node.setdefault(c, {})
-        node[""] = {}
-    want = []
-
-    def visit(node, sofar):
-        if "" in node:
-            want.append(sofar)
-        for c, below in node.items():
-            if c:
-                visit(below, sofar + c)
-
-    visit(root, "")
-    e = made(spark, [(f"m.{n}", n, "CLASS", None) for n in names])
-    assert [r.name for r in search.trie_order(e).orderBy("walk").collect()] == want
+    assert [r.name for r in search.prefix_page(e, "ba", "ba", 5).collect()] == ["bar", "baz"]
+    assert {r.prefix: r.names for r in search.prefix_fanout(e, 2).collect()} == {"b": 3, "ba": 3, "q": 1, "qu": 1}
 
 
 def test_store(spark, tmp_path):
@@ -105,20 +82,20 @@ def test_last_used(spark):
     assert [r.k for r in index.last_used(df, "k", "s", 2).collect()] == ["c", "a"]
 
 
-def test_trie_walk_overshoots_like_a_trie(spark):
+def test_prefix_names_model(spark):
+    """Names of one stem and of many, against a plain walk in name order."""
     rng = random.Random(9)
-    names = ["".join(rng.choices("ab", k=rng.randint(1, 4))) for _ in range(40)]
-    rows = [(f"{k % 3}.{n}", n, "CLASS", None) for k, n in enumerate(names)]
-    ids = {n: len({i for i, m, *_ in rows if m == n}) for n in names}
+    names = sorted({"stem_" * 3 + "".join(rng.choices("ab", k=rng.randint(1, 6))) for _ in range(60)} | {"".join(rng.choices("abc", k=3)) for _ in range(20)})
+    rows = [(f"{j}.{n}", n, "CLASS", None) for n in names for j in range(rng.randint(1, 3))]
     e = made(spark, rows)
-    order = [r.name for r in search.trie_order(e).orderBy("walk").collect()]
-    for start, most in (("a", 3), ("ab", 5), ("", 11), ("b", 1), ("zz", 4)):
+    for start, most in (("stem_", 30), ("", 25), ("a", 3), ("zz", 4)):
         want, total = [], 0
-        for n in order:
+        for n in names:
             if n.startswith(start) and total < most:
-                want.append((n, ids[n]))
-                total += ids[n]
-        assert [(r.name, r.n) for r in search.prefix_walk(e, start, most).orderBy("walk").collect()] == want
+                k = sum(r[1] == n for r in rows)
+                want.append((n, k))
+                total += k
+        assert sorted((r.name, r.n) for r in search.prefix_names(e, start, most).collect()) == want
 
 
 def test_build_index(spark, tmp_path):

@@ -128,3 +128,39 @@ def test_json(spark):
     assert rows["run"]["parent"] == "C" and rows["run"]["is_method"] and rows["run"]["docstring"] is None
     assert "parent" not in rows["top"] and rows["top"]["line_range"] == [4, 7]
     assert rows["C"]["methods"] == ["run"] and rows["os"]["source"] == "os"
+
+
+def test_blank_lines_keep_out_of_indents(spark):
+    """In the helper of the parse tasks and as columns: lines of white space don't make units and stay as they are."""
+    from corpusloom.functions import columns, pysource
+
+    for lines in (["if x:", "   a", "  ", "      b", ""], ["if x:", "   a", " ", "   b"], ["x", "", "y"], ["if x:", "\ta", "\t\tb", "\t"]):
+        fixed = pysource.sanitize("\n".join(lines))[0].split("\n")
+        assert [f for x, f in zip(lines, fixed) if not x.strip()] == [x for x in lines if not x.strip()]
+        got = spark.createDataFrame([(lines,)], "l array<string>").select(columns.even_indents(F.col("l"))).first()[0]
+        assert got == fixed
+
+
+def test_salvaged_constructor_has_self():
+    from corpusloom.functions import pysource
+
+    found = {e["name"]: e for e in pysource.salvage("class A:\n    def __init__(self, x):\n        pass\n    def f(self):\n        pass\nclass B(:\n", "m.py")}
+    assert [p["name"] for p in found["__init__"]["signature"]["parameters"]] == ["self"] and found["f"]["signature"]["parameters"] == []
+
+
+def test_first_error_of_each_file(spark):
+    from corpusloom.operators import parse
+
+    rows = [("a", "SyntaxError", "late", 9), ("a", "SyntaxError", "early", 2), ("a", "RecursionError", "none", None), ("b", "UnicodeDecodeError", "none", None)]
+    got = parse.first_errors(spark.createDataFrame(rows, "file string, error_type string, message string, line int")).collect()
+    assert {(r.file, r.message) for r in got} == {("a", "early"), ("b", "none")}
+
+
+def test_handler_sees_every_error(spark, tmp_path):
+    from corpusloom.operators import parse
+
+    def handle(error):
+        (tmp_path / error["file"]).write_text(error["message"])
+
+    parse.for_each_error(spark.createDataFrame([("a", "one"), ("b", "two")], "file string, message string"), handle)
+    assert sorted((p.name, p.read_text()) for p in tmp_path.iterdir()) == [("a", "one"), ("b", "two")]

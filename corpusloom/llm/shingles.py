@@ -6,8 +6,10 @@ less. Every candidate is compared by its whole shingle sets, and none is capped.
 
 Comparing all pairs of a bucket would grow with the square of its size. So in each of STARS rounds only one
 document of a bucket, the one that shares most buckets with others, is compared with the rest; a bucket
-is done once its documents are in one component. What is left after that is compared pair by pair, as
-far as the two are not in one component already.
+is done once its documents are in one component. The documents of what is left are joined by prefix filtering,
+which is exact: a set's shingles are put in one order, rare ones first, and two sets at the least similarity
+share one of the first few, early enough in both. Unlinked copies of one text meet only there, not in the
+buckets, and their first shingles are those in which they differ.
 """
 
 from __future__ import annotations
@@ -86,6 +88,20 @@ def _sketches(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
     return rows.mapInPandas(run, f"doc_id {kind}, text_hash long, node long, n int, fp long, list array<long>")
 
 
+def _prefix_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """(a, m, b, n): all pairs of sets (node, n, root, list) of different roots that may reach ``percent``, m and n
+    their sizes. Each of the two has a shingle of the other among its first n - ceil(percent * n / 100) + 1, and the
+    first that they share leaves enough shingles behind it in both."""
+    each = rest.select("node", "n", "root", F.explode("list").alias("t"))
+    often = each.groupBy("t").agg(F.count(F.lit(1)).alias("rows"))
+    order = each.join(often, "t").groupBy("node", "n", "root").agg(F.array_sort(F.collect_list(F.struct("rows", "t"))).alias("found"))
+    first = order.select("node", "n", "root", F.posexplode(F.expr(f"slice(found, 1, n - cast(ceil({percent} * n / 100) AS int) + 1)")).alias("at", "x"))
+    keys = cut(first.where("x.rows > 1").select("node", "n", "root", "at", F.col("x.t").alias("t")))
+    other = keys.selectExpr("t", "node AS a", "n AS m", "root AS _root", "at AS _at")
+    enough = f"{100 + percent} * least(m - _at, n - at) >= {percent} * (m + n)"
+    return keys.withColumnRenamed("node", "b").join(other, "t").where(f"a < b AND root <> _root AND {enough}").select("a", "m", "b", "n")
+
+
 def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, more_keys: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, text_hash, component, component_id) of every row: linked are texts whose shingle sets have a Jaccard
     similarity of ``percent`` or more; component is a number, component_id the smallest doc_id reachable.
@@ -130,8 +146,7 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, more_keys: Call
             pairs = members.join(centre, "key").where("c.root <> root").selectExpr("c.node AS a", "c.n AS m", "node AS b", "n")
             members = members.join(centre, "key").where("c.node <> node").select(members.columns)
         else:
-            other = members.selectExpr("key", "node AS a", "n AS m", "root AS _root")
-            pairs = members.withColumnRenamed("node", "b").join(other, "key").where("a < b AND root <> _root")
+            pairs = _prefix_pairs(members.select("node", "root").distinct().join(sets, "node"), percent)
         found = linked(pairs)
         edges = found if edges is None else edges.union(found)
         tree = cut(components(edges))

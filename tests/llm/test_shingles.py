@@ -52,6 +52,34 @@ def test_large_groups(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == plain(rows)[0]
 
 
+def test_unlinked_copies(spark, monkeypatch):
+    """Copies too far from one text and from each other to link, though they meet in its buckets, and copies of these
+    at about 0.8: what the stars leave is joined by prefix filtering, and few of its pairs are listed."""
+    rng, calls, join = random.Random(9), [], shingles._prefix_pairs
+    centre, made = [f"w{k}" for k in range(300)], []
+    for _ in range(120):
+        far = list(centre)
+        for p in rng.sample(range(300), 10):
+            far[p] = f"x{rng.random()}"
+        made.append(far)
+        near = list(far)
+        for p in rng.sample(range(300), rng.randint(4, 8)):
+            near[p] = f"y{rng.random()}"
+        made.append(near)
+    rows = [(k, " ".join(w)) for k, w in enumerate(made)]
+
+    def counted(rest, percent):
+        pairs = join(rest, percent)
+        calls.append((rest.count(), pairs.distinct().count()))
+        return pairs
+
+    monkeypatch.setattr(shingles, "_prefix_pairs", counted)
+    got = shingles.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    want, pairs = plain(rows)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want and 20 < pairs < 120
+    assert calls and calls[0][0] > 50 and calls[0][1] < calls[0][0] ** 2 / 20
+
+
 def test_edges(spark, edge, nothing):
     got = {(r.doc_id, r.component_id) for r in shingles.groups(edge).collect()}
     assert {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (None, 3)} <= got

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 WHITE = r"\x20\x09-\x0D"
 WORD = rf"[^{WHITE}]+"
 
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -40,6 +43,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose rows will go to Python workers in Arrow batches of about BATCH_BYTES: by rows alone a batch of long texts
+    would be many MB, held several times over. The session's setting is changed unless the user has one."""
+    if df.sparkSession.conf.get(_BATCH_CONF, None) is None:
+        df.sparkSession.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df
+
+
 def fold(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the rule that keeps rows out of training."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

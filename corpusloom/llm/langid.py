@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, small_batches
 
 SAMPLE = 4_000  # at most so many labelled documents are learned from,
 LEAST = 20  # but so many of each language at least, or all that it has
@@ -179,7 +179,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Language
                 yield pd.DataFrame(out, columns=["doc_id", "lang", "places", "found"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = texts.select("doc_id", "lang", F.array("text", *parts).alias("parts")).mapInPandas(reduced, f"doc_id {kind}, lang string, places binary, found binary").toPandas()
+    got = small_batches(texts).select("doc_id", "lang", F.array("text", *parts).alias("parts")).mapInPandas(reduced, f"doc_id {kind}, lang string, places binary, found binary").toPandas()
     got = got.sort_values(["doc_id", "lang", "places", "found"]) if len(got) else got
     return LanguageModel([(np.frombuffer(p, "<u2"), np.frombuffer(v, "<f4")) for p, v in zip(got["places"], got["found"])], list(got["lang"]))
 
@@ -197,7 +197,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": [v for v, _ in made], "score": [s for _, s in made]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    return small_batches(docs).select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def keep_told(docs: DataFrame, model: LanguageModel, least: float = LEAST_SCORE) -> DataFrame:
@@ -210,7 +210,7 @@ def keep_told(docs: DataFrame, model: LanguageModel, least: float = LEAST_SCORE)
         tool = sent.value
         return pd.Series([v != "und" and s >= least for v, s in map(tool.predict, text)], dtype=bool)
 
-    return docs.where(F.pandas_udf(told, "boolean")("text"))
+    return small_batches(docs).where(F.pandas_udf(told, "boolean")("text"))
 
 
 def identified_documents(docs: DataFrame) -> DataFrame:

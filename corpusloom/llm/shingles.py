@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, if_small, join_hot
+from .common import cut, if_small, join_hot, small_batches
 from .components import components
 
 BANDS, ROWS = 20, 4
@@ -84,7 +84,7 @@ def _sketches(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, "text_hash": part["text_hash"].array, "node": node, "n": [len(h) for h in sets], "fp": [0 if whole else majority(h) for h in sets], "list": made})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    rows = small_batches(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     return rows.mapInPandas(run, f"doc_id {kind}, text_hash long, node long, n int, fp long, list array<long>")
 
 

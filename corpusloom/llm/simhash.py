@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import cut, if_small, join_hot
+from .common import cut, if_small, join_hot, small_batches
 from .components import components
 
 WIDTHS = (13, 13, 13, 13, 12)
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(run, f"doc_id {kind}, fp long")
+    return small_batches(docs).select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(run, f"doc_id {kind}, fp long")
 
 
 def _starts() -> list[tuple[int, int, list[tuple[int, int]]]]:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import cut, fold, labelled_sample
+from .common import cut, fold, labelled_sample, small_batches
 
 SAMPLE = 40_000  # at most so many labelled documents are learned from
 STEMS = (4, 5, 6, 7, 8)  # letters
@@ -157,7 +157,7 @@ def without_copies(labelled: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": b["doc_id"].array, "toxic": b["toxic"].array, "text_hash": b["text_hash"].array, "least": [h.view("i8").tolist() for h in made], "band": [shingles.bands(h, t) for h, t in zip(made, b["toxic"])]})
 
     schema = f"doc_id {labelled.schema['doc_id'].dataType.simpleString()}, toxic int, text_hash long, least array<long>, band array<long>"
-    rows = labelled.select("doc_id", "toxic", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")).mapInPandas(run, schema)
+    rows = small_batches(labelled).select("doc_id", "toxic", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")).mapInPandas(run, schema)
     prints = cut(rows.groupBy("doc_id").agg(F.min(F.struct("text_hash", "toxic", "least", "band")).alias("p")).select("doc_id", "p.*"))
     spread = prints.select("doc_id", F.explode("band").alias("band"))
     first = spread.groupBy("band").agg(F.min("doc_id").alias("first"))
@@ -307,7 +307,7 @@ def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = THRES
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, score double, predicted int, passages array<struct<first:int,end:int,score:double,surprise:double>>"
-    return docs.select("doc_id", "text").mapInPandas(run, schema).withColumn("n_passages", F.size("passages"))
+    return small_batches(docs).select("doc_id", "text").mapInPandas(run, schema).withColumn("n_passages", F.size("passages"))
 
 
 def keep_clean(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -320,7 +320,7 @@ def keep_clean(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD)
         tool = sent.value
         return pd.Series([tool.probability(tool.evidence(t or "")) < threshold for t in text], dtype=bool)
 
-    return docs.where(F.pandas_udf(clean, "boolean")("text"))
+    return small_batches(docs).where(F.pandas_udf(clean, "boolean")("text"))
 
 
 def judged_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from .components import components
 
 BANDS, ROWS = 20, 4
 STARS = 2
-SMALL = 4_000_000  # hashes, 32 MB: candidates' sets up to this size are broadcast
+SMALL = 1_000_000  # hashes, 8 MB: the sets of one side of the candidate pairs up to this size are broadcast
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK, _BITS = 1 << 12, 1 << 18
@@ -124,14 +124,18 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, more_keys: Call
     wanted = cut(classes.join(degree, "node", "left_semi").select(F.col("rep").alias("_rep")).distinct())
     sets = _sketches(docs.join(if_small(wanted, wanted.count()), docs.doc_id.eqNullSafe(F.col("_rep")), "left_semi"), shingle, True)
     sets = cut(sets.join(degree, "node", "left_semi").select("node", "n", "list").dropDuplicates(["node"]))
-    hashes = sets.agg(F.sum("n")).first()[0] or 0
-    small = F.broadcast if hashes <= SMALL else lambda df: df  # beyond that the sets are shuffled to the pairs
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where(f"100 * least(m, n) >= {percent} * greatest(m, n)").selectExpr("least(a, b) AS u", "greatest(a, b) AS v").distinct()
-        one, two = sets.selectExpr("node AS u", "n AS nu", "list AS lu"), sets.selectExpr("node AS v", "n AS nv", "list AS lv")
-        both = pairs.join(small(one), "u").join(small(two), "v").withColumn("both", F.size(F.array_intersect("lu", "lv")))
-        return cut(both.where(f"100 * both >= {percent} * (nu + nv - both)").select("u", "v"))
+        """The pairs that reach ``percent``. Sets go to the pairs by a shuffle, those of b first, as few centres serve
+        many pairs; a side whose sets are small in all is broadcast."""
+        both = pairs = cut(pairs.where(f"100 * least(m, n) >= {percent} * greatest(m, n)").select("a", "b").distinct())
+        for side in ("b", "a"):
+            used = pairs.select(F.col(side).alias("node")).distinct()
+            hashes = sets.select("node", "n").join(used, "node").agg(F.sum("n")).first()[0] or 0
+            these = F.broadcast(sets.join(used, "node", "left_semi")) if hashes <= SMALL else sets
+            both = both.join(these.selectExpr(f"node AS {side}", f"n AS n{side}", f"list AS l{side}"), side)
+        both = both.withColumn("both", F.size(F.array_intersect("la", "lb")))
+        return cut(both.where(f"100 * both >= {percent} * (na + nb - both)").selectExpr("least(a, b) AS u", "greatest(a, b) AS v"))
 
     edges = tree = None
     for k in range(STARS + 1):

@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 import corpus_pipeline as pipeline
 from corpusloom.llm import shingles
 
@@ -34,8 +36,11 @@ def test_stage_against_all_pairs(spark):
     assert stay.columns == docs.columns and {r.doc_id for r in stay.collect()} == set(want.values())
 
 
-def test_large_groups(spark):
-    """Copies around one text and a chain of texts, in buckets of far more than a pair, and unrelated texts."""
+@pytest.mark.parametrize("small", [0, shingles.SMALL])
+def test_large_groups(spark, monkeypatch, small):
+    """Copies around one text and a chain of texts, in buckets of far more than a pair, and unrelated texts; with
+    sets shuffled to the pairs, and broadcast."""
+    monkeypatch.setattr(shingles, "SMALL", small)
     rng = random.Random(4)
     text = lambda: [f"w{rng.randrange(5000)}" for _ in range(200)]
     made, centre, walk = [], text(), text()

@@ -51,41 +51,67 @@ def features(text: str) -> np.ndarray:
     return np.bincount(places, minlength=BUCKETS) / max(len(grams), 1)
 
 
-def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 15) -> np.ndarray:
+class Sparse:
+    """Rows of (places, values). What the machines see is each value less its column's mean, times its scale; that is
+    never laid out, because 12,000 rows of features would be 200 MB."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], mean: np.ndarray, scale: np.ndarray):
+        self.rows, self.mean, self.scale, self.weight = rows, mean, scale, scale**2
+        far = mean * self.weight
+        self.centre = float(mean @ far)
+        self.cross = np.array([-(v @ far[p]) for p, v in rows])
+        self.norm = np.array([v.astype(float) ** 2 @ self.weight[p] for p, v in rows]) + 2 * self.cross + self.centre
+
+    @staticmethod
+    def of(x: np.ndarray) -> Sparse:
+        return Sparse([(np.arange(x.shape[1]), row) for row in x], np.zeros(x.shape[1]), np.ones(x.shape[1]))
+
+
+def svm(x: Sparse, rows: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
     """Weights of a linear machine with hinge loss for some rows of ``x``, by dual coordinate descent in a fixed
-    order. y: 1 or -1 for each of these rows."""
-    w, alpha = np.zeros(x.shape[1], x.dtype), np.zeros(len(rows))
-    norm = np.array([x[i] @ x[i] for i in rows], float)
+    order, and its values for these rows. y: 1 or -1 for each of them. The weights are ``sparse / scale`` less
+    ``shift`` times the scaled mean, so that a step costs the features of one text."""
+    alpha, sparse, shift, along = np.zeros(len(rows)), np.zeros(len(x.mean)), 0.0, 0.0
+
+    def value(i: int) -> float:
+        p, v = x.rows[i]
+        return float(sparse[p] @ v) + along + shift * (x.cross[i] + x.centre)
+
     order = np.random.default_rng(7)
     for _ in range(rounds):
         for k in order.permutation(len(rows)):
-            if norm[k] > 0:
-                row = x[rows[k]]
-                new = min(max(alpha[k] - (y[k] * float(w @ row) - 1) / norm[k], 0.0), c)
-                if new != alpha[k]:
-                    w += x.dtype.type((new - alpha[k]) * y[k]) * row
-                    alpha[k] = new
-    return w
+            i = rows[k]
+            if x.norm[i] <= 0:
+                continue
+            new = min(max(alpha[k] - (y[k] * value(i) - 1) / x.norm[i], 0.0), c)
+            if new != alpha[k]:
+                step, (p, v) = (new - alpha[k]) * y[k], x.rows[i]
+                sparse[p] += step * x.weight[p] * v
+                along += step * x.cross[i]
+                shift += step
+                alpha[k] = new
+    return sparse / x.scale - shift * x.mean * x.scale, np.array([value(i) for i in rows])
 
 
 class Machines:
     """One-versus-one machines between classes; ``chances`` couples their votes. They read rows of ``x`` where
     ``y`` has one of the classes, without copies."""
 
-    def __init__(self, classes: list[str], x: np.ndarray, y: np.ndarray):
+    def __init__(self, classes: list[str], x: Sparse | np.ndarray, y: np.ndarray):
+        x = Sparse.of(x) if isinstance(x, np.ndarray) else x
         self.classes = [str(c) for c in classes]
         self.pairs, weights, slopes = list(itertools.combinations(range(len(classes)), 2)), [], []
         for a, b in self.pairs:
             rows = np.flatnonzero((y == classes[a]) | (y == classes[b]))
             sign = np.where(y[rows] == classes[a], 1.0, -1.0)
-            w = svm(x, rows, sign)
-            margin, slope = sign * (x @ w)[rows].astype(float), 1.0
+            w, values = svm(x, rows, sign)
+            margin, slope = sign * values, 1.0
             for _ in range(30):  # logistic slope of the margins, with a weak prior at 1
                 p = 1 / (1 + np.exp(np.clip(slope * margin, -30, 30)))
                 slope = float(np.clip(slope + ((margin * p).sum() - 0.1 * (slope - 1)) / ((margin**2 * p * (1 - p)).sum() + 0.1), 0.05, 20))
-            weights.append(w)
+            weights.append(w.astype(np.float32))
             slopes.append(slope)
-        self.weights = np.stack(weights, 1) if weights else np.zeros((x.shape[1], 0))
+        self.weights = np.stack(weights, 1) if weights else np.zeros((len(x.mean), 0))
         self.slopes = np.array(slopes)
 
     def chances(self, x: np.ndarray) -> np.ndarray:
@@ -98,22 +124,22 @@ class Machines:
 
 
 class LanguageModel:
-    """``rows``: places and values of the features of each training text; ``langs``: its language."""
+    """``rows``: places and values of the features of each training text, last a one at BUCKETS, the machines' shift;
+    ``langs``: its language."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str]):
         self.empty = not rows
         if self.empty:
             return
-        x = np.zeros((len(rows), BUCKETS + 1), np.float32)
-        x[:, BUCKETS] = 1  # the machines' shift
-        for k, (places, values) in enumerate(rows):
-            x[k, places] = values
+        total, square = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+        for p, v in rows:
+            total[p] += v
+            square[p] += v.astype(float) ** 2
+        self.mean = (total / len(rows))[:BUCKETS]
+        spread = np.sqrt(np.maximum((square / len(rows))[:BUCKETS] - self.mean**2, 0.0))
+        self.scale = 1 / np.maximum(spread, np.median(spread[spread > 0]) if (spread > 0).any() else 1.0) / np.sqrt(BUCKETS)
+        x = Sparse(rows, np.append(self.mean, 0.0), np.append(self.scale, 1.0))
         y, kin = np.array(langs), np.array([family(v) for v in langs])
-        self.mean = x[:, :BUCKETS].mean(0)
-        spread = np.concatenate([x[:, k : k + 64].std(0) for k in range(0, BUCKETS, 64)])  # in parts: std copies what it is given
-        self.scale = 1 / np.maximum(spread, np.median(spread[spread > 0]) if (spread > 0).any() else 1.0) / np.float32(np.sqrt(BUCKETS))
-        x[:, :BUCKETS] -= self.mean
-        x[:, :BUCKETS] *= self.scale
         self.families = Machines(sorted(set(kin)), x, kin)
         self.within = {f: Machines(sorted(set(y[kin == f])), x, y) for f in self.families.classes}
 
@@ -172,7 +198,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Language
             for i, lang, part in zip(b["doc_id"], b["lang"], b["parts"]):
                 for t in dict.fromkeys(part):
                     if _LETTER.search(t):
-                        x = features(t)
+                        x = np.append(features(t), 1.0)
                         places = np.flatnonzero(x)
                         out.append((i, lang, places.astype("<u2").tobytes(), x[places].astype("<f4").tobytes()))
             if out:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif, langid, licenses, packing, quality, secrets, shards, simhash, toxicity
-from .common import documents, labels
+from . import bpe, dialogs, gif, langid, lexical, licenses, packing, quality, secrets, shards, simhash, toxicity, warc
+from .common import documents, labels, table
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op10_exact_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op12_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(spark, table(spark, sf_dir, "pages"))
+
+
+def op13_dialog_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogs.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_gif_media": op2_gif_media,
@@ -63,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_license_digests": op9_license_digests,
     "op10_exact_fit_packing": op10_exact_fit_packing,
+    "op11_norm_buckets": op11_norm_buckets,
+    "op12_warc_archives": op12_warc_archives,
+    "op13_dialog_repair": op13_dialog_repair,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_frequency": quality.ORACLE, "op9_license_digests": licenses.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_line_frequency": quality.ORACLE, "op9_license_digests": licenses.oracle(), "op11_norm_buckets": lexical.ORACLE, "op12_warc_archives": warc.ORACLE}

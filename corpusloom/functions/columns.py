@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ TAB = "    "
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which is computed once: what a lambda reads is otherwise computed again for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 # --- source text -------------------------------------------------------------------------------------
 
 
@@ -150,17 +157,20 @@ def search_tokens() -> Column:
     )
 
 
-def element_json() -> Column:
-    """A row of ``elements`` as JSON, with the keys of its type. Nulls stay, but ``parent`` appears only if set."""
+def element_json(links: bool = False) -> Column:
+    """A row of ``elements`` as JSON, with the keys of its type. Nulls stay, but ``parent`` appears only if set. Calls and
+    overrides are those of ``links.with_links`` if ``links``, and empty otherwise."""
     c = F.col
     common = [c("name"), c("element_type").alias("type"), c("file_path"), F.array("line_start", "line_end").alias("line_range"), c("docstring"), c("decorators"), c("module_path")]
     kinds = c("element_kind")
     parameter = lambda p: F.struct(p["name"].alias("name"), p["type_annotation"].alias("type"), p["default_value"].alias("default"), *(p[x].alias(x) for x in ("is_keyword_only", "is_positional_only", "is_variadic", "description")))
     signature = F.struct(F.transform("signature.parameters", parameter).alias("parameters"), *(c(f"signature.{x}").alias(x) for x in ("return_type", "is_async", "is_generator", "is_abstract")))
     nothing = F.array().cast("array<string>")
+    over = [c(x) if links else F.lit(False).alias(x) for x in ("is_overridden", "is_override")]
+    calls = [c(x) if links else nothing.alias(x) for x in ("calls", "called_by")]
     function = [
         signature.alias("signature"), (c("element_type") == "METHOD").alias("is_method"), (kinds == "STATICMETHOD").alias("is_static"), (kinds == "CLASSMETHOD").alias("is_class_method"),
-        (kinds == "PROPERTY").alias("is_property"), (kinds == "CONSTRUCTOR").alias("is_constructor"), F.lit(False).alias("is_overridden"), F.lit(False).alias("is_override"), nothing.alias("calls"), nothing.alias("called_by"),
+        (kinds == "PROPERTY").alias("is_property"), (kinds == "CONSTRUCTOR").alias("is_constructor"), *over, *calls,
     ]
     of_class = [c("bases"), c("methods"), c("attributes")]
     of_import = [c("source_module").alias("source"), c("import_names").alias("imports"), c("import_aliases").alias("aliases"), c("is_from_import")]

@@ -12,6 +12,8 @@ import traceback
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+from ..model import ALL_FAILED, STUB, STUB_CODE, STUB_COLUMN, STUB_LINE, TOO_DEEP, UNDECODABLE, UNEXPECTED
+
 RECURSION_LIMIT = 3000
 INDENT = 4
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
@@ -25,8 +27,8 @@ def module_name(path: str) -> str:
 
 def _element(**values) -> dict:
     row = dict.fromkeys(("name", "element_type", "line_start", "line_end", "module_path", "parent_name", "docstring", "signature", "source_module", "is_from_import"))
-    row |= {k: [] for k in ("decorators", "bases", "methods", "attributes", "import_names", "import_aliases")}
-    return row | {"depth_in_functions": 0, "is_mock": False} | values
+    row |= {k: [] for k in ("decorators", "bases", "methods", "attributes", "import_names", "import_aliases", "calls")}
+    return row | {"depth_in_functions": 0, "is_mock": False, "scope": ""} | values
 
 
 def _pairs(items: dict[str, str | None]) -> list[dict]:
@@ -77,14 +79,41 @@ def _attributes(node: ast.ClassDef) -> dict[str, str | None]:
     return found
 
 
+def _dotted(node: ast.expr) -> str:
+    """A called name as written: a name, attributes of it, or of ``super()``; of anything else the attribute only."""
+    if isinstance(node, ast.Name):
+        return node.id
+    if isinstance(node, ast.Attribute):
+        return f"{_dotted(node.value)}.{node.attr}"
+    return "super()" if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "super" else "?"
+
+
+def _calls(body: list[ast.stmt]) -> list[dict]:
+    """The calls that run in a body itself. Of definitions in it only what their heads compute does."""
+    found, todo = [], list(reversed(body))
+    while todo:
+        n = todo.pop()
+        if isinstance(n, ast.Call):
+            found.append({"name": _dotted(n.func), "line": n.lineno})
+        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            inner = [*n.decorator_list, *n.args.defaults, *filter(None, n.args.kw_defaults)]
+        elif isinstance(n, ast.ClassDef):
+            inner = [*n.decorator_list, *n.bases, *(k.value for k in n.keywords)]
+        else:
+            inner = list(ast.iter_child_nodes(n))
+        todo += reversed(inner)
+    return found
+
+
 def elements_of(tree: ast.Module, path: str, lines: int) -> list[dict]:
     """The module, and its imports, classes, methods and functions in source order, nested ones included."""
     module = module_name(path)
-    rows = [_element(name=module, element_type="MODULE", line_start=1, line_end=lines, module_path=module, docstring=ast.get_docstring(tree))]
+    rows = [_element(name=module, element_type="MODULE", line_start=1, line_end=lines, module_path=module, docstring=ast.get_docstring(tree), calls=_calls(tree.body))]
 
-    def walk(node: ast.AST, owner: str | None, depth: int) -> None:
+    def walk(node: ast.AST, owner: str | None, depth: int, scope: str) -> None:
+        inner = lambda name: f"{scope}.{name}" if scope else name
         for x in ast.iter_child_nodes(node):
-            at = {"line_start": getattr(x, "lineno", None), "line_end": getattr(x, "end_lineno", None) or -1, "module_path": module, "depth_in_functions": depth}
+            at = {"line_start": getattr(x, "lineno", None), "line_end": getattr(x, "end_lineno", None) or -1, "module_path": module, "depth_in_functions": depth, "scope": scope}
             if isinstance(x, ast.Import):
                 for a in x.names:
                     rows.append(_element(**at, name=a.name, element_type="IMPORT", parent_name=owner, source_module=a.name, import_names=[a.name], import_aliases=_pairs({a.name: a.asname} if a.asname else {}), is_from_import=False))
@@ -93,20 +122,20 @@ def elements_of(tree: ast.Module, path: str, lines: int) -> list[dict]:
                 rows.append(_element(**at, name=source, element_type="IMPORT", parent_name=owner, source_module=source, import_names=[a.name for a in x.names], import_aliases=_pairs({a.name: a.asname for a in x.names if a.asname}), is_from_import=True))
             elif isinstance(x, ast.ClassDef):
                 methods = list(dict.fromkeys(m.name for m in x.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))))
-                rows.append(_element(**at, name=x.name, element_type="CLASS", parent_name=owner, docstring=ast.get_docstring(x), decorators=[ast.unparse(d) for d in x.decorator_list], bases=[ast.unparse(b) for b in x.bases], methods=methods, attributes=_pairs(_attributes(x))))
-                walk(x, x.name, depth)
+                rows.append(_element(**at, name=x.name, element_type="CLASS", parent_name=owner, docstring=ast.get_docstring(x), decorators=[ast.unparse(d) for d in x.decorator_list], bases=[ast.unparse(b) for b in x.bases], methods=methods, attributes=_pairs(_attributes(x)), calls=_calls(x.body)))
+                walk(x, x.name, depth, inner(x.name))
             elif isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 decorators = [ast.unparse(d) for d in x.decorator_list]
                 signature = {
                     "parameters": _parameters(x.args), "return_type": ast.unparse(x.returns) if x.returns else None, "is_async": isinstance(x, ast.AsyncFunctionDef),
                     "is_generator": _yields(x), "is_abstract": any(d.rpartition(".")[2] == "abstractmethod" for d in decorators),
                 }
-                rows.append(_element(**at, name=x.name, element_type="METHOD" if owner else "FUNCTION", parent_name=owner, docstring=ast.get_docstring(x), decorators=decorators, signature=signature))
-                walk(x, None, depth + 1)
+                rows.append(_element(**at, name=x.name, element_type="METHOD" if owner else "FUNCTION", parent_name=owner, docstring=ast.get_docstring(x), decorators=decorators, signature=signature, calls=_calls(x.body)))
+                walk(x, None, depth + 1, f"{inner(x.name)}.<locals>")
             else:
-                walk(x, owner, depth)
+                walk(x, owner, depth, scope)
 
-    walk(tree, None, 0)
+    walk(tree, None, 0, "")
     return rows
 
 
@@ -138,9 +167,9 @@ def _tree(code: str, path: str) -> tuple[list[dict], None] | tuple[None, dict]:
     except SyntaxError as e:
         return None, error | {"error_type": "SyntaxError", "message": str(e), "line": e.lineno, "column": e.offset, "code_snippet": snippet(code, e.lineno)}
     except RecursionError as e:
-        return None, error | {"error_type": "RecursionError", "message": f"Maximum recursion depth exceeded: {e}"}
+        return None, error | {"error_type": "RecursionError", "message": f"{TOO_DEEP}{e}"}
     except Exception as e:  # null bytes, memory: whatever one file does must not stop the job
-        return None, error | {"error_type": type(e).__name__, "message": f"Unexpected error during parsing: {e}", "traceback": traceback.format_exc()}
+        return None, error | {"error_type": type(e).__name__, "message": f"{UNEXPECTED}{e}", "traceback": traceback.format_exc()}
 
 
 def parse_safely(path: str, data: bytes) -> dict:
@@ -148,7 +177,7 @@ def parse_safely(path: str, data: bytes) -> dict:
     try:
         elements, error = _tree(data.decode("utf-8"), path)
     except UnicodeDecodeError as e:
-        elements, error = None, {"error_type": "UnicodeDecodeError", "message": f"Unicode decode error: {e}", "line": None, "column": None, "traceback": None, "code_snippet": None}
+        elements, error = None, {"error_type": "UnicodeDecodeError", "message": f"{UNDECODABLE}{e}", "line": None, "column": None, "traceback": None, "code_snippet": None}
     return {"file_path": path, "elements": elements, "error": error, "fallback_level": 0 if elements is not None else None, "issues_found": [], "sanitized_lines": 0}
 
 
@@ -185,44 +214,64 @@ def sanitize(code: str) -> tuple[str, int, bool]:
     return "\n".join(out), changed, text != code or changed > 0
 
 
+def _indent(line: str) -> int:
+    wide = line.expandtabs(8)
+    return len(wide) - len(wide.lstrip())
+
+
 def salvage(code: str, path: str) -> Iterator[dict]:
-    """Placeholders for the functions, classes and methods that the token stream still shows, up to where it breaks."""
-    module, depth, scopes, want = module_name(path), 0, [], None  # scopes: (depth of the body, kind, name)
-    try:
-        for t in tokenize.generate_tokens(io.StringIO(code).readline):
-            if t.type == tokenize.INDENT:
-                depth += 1
-            elif t.type == tokenize.DEDENT:
-                depth -= 1
-                while scopes and scopes[-1][0] > depth:
-                    scopes.pop()
-            elif t.type == tokenize.NAME and want:
-                while scopes and scopes[-1][0] > depth:
-                    scopes.pop()
-                owner = scopes[-1][2] if scopes and scopes[-1][1] == "class" else None
-                inside = sum(kind == "def" for _, kind, _ in scopes)
-                kind = "CLASS" if want == "class" else "METHOD" if owner else "FUNCTION"
-                at = t.start[0]
-                row = _element(name=t.string, element_type=kind, line_start=at, line_end=at, module_path=module, parent_name=owner, depth_in_functions=inside, is_mock=True)
-                if kind != "CLASS":
-                    own = ast.arguments(posonlyargs=[], args=[ast.arg("self")] * (owner is not None and t.string == "__init__"), kwonlyargs=[], kw_defaults=[], defaults=[])
-                    row["signature"] = {"parameters": _parameters(own), "return_type": None, "is_async": False, "is_generator": False, "is_abstract": False}
-                yield row
-                scopes.append((depth + 1, want, t.string))
-                want = None
-            elif t.type == tokenize.NAME and t.string in ("def", "class"):
-                want = t.string
-            elif t.type not in (tokenize.NL, tokenize.COMMENT):
-                want = None
-    except (tokenize.TokenError, SyntaxError):
-        return
+    """Placeholders for the functions, classes and methods that the token stream still shows. Where it breaks, or a
+    definition starts inside brackets that were never closed, the scan starts again: at that definition, or at the next line
+    that is indented no deeper than the broken statement. What a definition belongs to follows from indents alone."""
+    module, scopes, lines, at = module_name(path), [], io.StringIO(code).readlines(), 0  # scopes: (indent, kind, name)
+
+    def placeholder(t: tokenize.TokenInfo, line: int, kind: str) -> dict:
+        owner = scopes[-1][2] if scopes and scopes[-1][1] == "class" else None
+        type_ = "CLASS" if kind == "class" else "METHOD" if owner else "FUNCTION"
+        scope = ".".join(name + ".<locals>" * (k == "def") for _, k, name in scopes)
+        row = _element(name=t.string, element_type=type_, line_start=line, line_end=line, module_path=module, parent_name=owner, depth_in_functions=sum(k == "def" for _, k, _ in scopes), is_mock=True, scope=scope)
+        if type_ != "CLASS":
+            own = ast.arguments(posonlyargs=[], args=[ast.arg("self")] * (owner is not None and t.string == "__init__"), kwonlyargs=[], kw_defaults=[], defaults=[])
+            row["signature"] = {"parameters": _parameters(own), "return_type": None, "is_async": False, "is_generator": False, "is_abstract": False}
+        scopes.append((_indent(lines[line - 1]), kind, t.string))
+        return row
+
+    while at < len(lines):
+        rest = iter(range(at, len(lines)))
+        want, brackets, depth, seen, fresh, again = None, 0, 0, at, True, len(lines)
+        try:
+            for t in tokenize.generate_tokens(lambda: lines[next(rest)]):
+                line = at + t.start[0]
+                if t.type in (tokenize.NL, tokenize.COMMENT, tokenize.INDENT, tokenize.DEDENT):
+                    continue
+                if t.type == tokenize.NAME and t.string in ("def", "class") and brackets and line - 1 > at:
+                    again = line - 1
+                    break
+                if fresh and t.type != tokenize.NEWLINE and line <= len(lines):
+                    depth = _indent(lines[line - 1])
+                    while scopes and scopes[-1][0] >= depth:
+                        scopes.pop()
+                fresh = t.type == tokenize.NEWLINE
+                seen = at + t.end[0]
+                if t.type == tokenize.NAME and want:
+                    yield placeholder(t, line, want)
+                want = t.string if t.type == tokenize.NAME and t.string in ("def", "class") and not want else None
+                if t.type == tokenize.OP:
+                    brackets = max(0, brackets + (t.string in "([{") - (t.string in ")]}"))
+        except IndentationError as e:  # back to a level that a scan from within doesn't know
+            again = max(at + 1, at + (e.lineno or 1) - 1)
+        except (tokenize.TokenError, SyntaxError):
+            again = max(at + 1, seen)
+            while again < len(lines) and (not lines[again].strip() or _indent(lines[again]) > depth):
+                again += 1
+        at = again
 
 
 def stub(path: str, error: dict) -> dict:
     """A module element that stands for a file which couldn't be parsed, with the error as its docstring."""
-    place = "" if not error["line"] else f"Location: Line {error['line']}" + (f", Column {error['column']}" if error["column"] else "") + "\n"
-    code = f"\nCode context:\n{error['code_snippet']}\n" if error["code_snippet"] else ""
-    text = f"ERROR: This module could not be parsed.\nError type: {error['error_type']}\nMessage: {error['message']}\n{place}{code}"
+    place = "" if not error["line"] else f"{STUB_LINE}{error['line']}" + (f"{STUB_COLUMN}{error['column']}" if error["column"] else "") + "\n"
+    code = f"{STUB_CODE}{error['code_snippet']}\n" if error["code_snippet"] else ""
+    text = STUB.format(**error) + place + code
     module = module_name(path)
     return _element(name=module, element_type="MODULE", line_start=1, line_end=1, module_path=module, docstring=text, is_mock=True)
 
@@ -262,5 +311,5 @@ def parse_with_fallbacks(path: str, data: bytes) -> dict:
     found = list(salvage(clean, path))
     if found:
         return row | {"elements": found, "fallback_level": 3, "issues_found": issues, "sanitized_lines": lines}
-    final = error | {"error_type": "MultipleFallbackFailure", "message": f"All parsing approaches failed: {', '.join(issues)}"}
+    final = error | {"error_type": "MultipleFallbackFailure", "message": f"{ALL_FAILED}{', '.join(issues)}"}
     return row | {"elements": [stub(path, error)], "error": final, "fallback_level": 4, "issues_found": issues, "sanitized_lines": lines}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.pytree import EXCLUDED
+from ..shared import mounted
 from .ordered import by_value, row_numbers, running_sum
 
 
@@ -38,7 +39,8 @@ def memory_budget(files: DataFrame, order: str, estimate, budget: int) -> DataFr
 
 def write_tree(files: DataFrame, root: str) -> None:
     """Write each row (path relative to ``root``, content) as a file, in the tasks. ``root`` is a folder that all of
-    them mount. A repeated task writes the same bytes again."""
+    them mount; a store that only Spark reads is refused. A repeated task writes the same bytes again."""
+    root = mounted(root)
 
     def put(rows) -> None:
         for r in rows:

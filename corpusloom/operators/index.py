@@ -104,7 +104,3 @@ def in_file(elements: DataFrame, path: str) -> DataFrame:
 def in_module(elements: DataFrame, module: str) -> DataFrame:
     return first_wins(elements.where(F.col("module_path") == module))
 
-
-def last_used(accesses: DataFrame, key: str, seq: str, capacity: int) -> DataFrame:
-    """(key, last_seq): what a least-recently-used cache of that capacity holds after the accesses."""
-    return accesses.groupBy(key).agg(F.max(seq).alias("last_seq")).orderBy(F.desc("last_seq"), key).limit(capacity)

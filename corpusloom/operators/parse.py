@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from ..functions import columns as C
 from ..functions.pysource import parse_safely, parse_with_fallbacks
-from ..model import PARSED
+from ..model import PARSED, STUB, STUB_CODE, STUB_COLUMN, STUB_LINE
 
 
-def parse_files(files: DataFrame, fallbacks: bool = False) -> DataFrame:
+def parse_files(files: DataFrame, fallbacks: bool = False, partitions: int | None = None) -> DataFrame:
     """A row of PARSED for each file (path, content); with ``fallbacks`` through the whole chain. A null
-    content is an empty file; a file that can't be parsed is a row with an error, never a failure."""
+    content is an empty file; a file that can't be parsed is a row with an error, never a failure. A small table in few
+    partitions is dealt out to ``partitions``, since parsing costs more than moving it."""
     parse = parse_with_fallbacks if fallbacks else parse_safely
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -24,20 +25,27 @@ def parse_files(files: DataFrame, fallbacks: bool = False) -> DataFrame:
             if len(b):
                 yield pd.DataFrame([parse(p or "", c or b"") for p, c in zip(b["path"], b["content"])])
 
+    if partitions:
+        files = files.repartition(partitions)
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(run, PARSED)
 
 
+def _last_of_name(rows: Column) -> Column:
+    """Of the callables of one name in a file's elements the last. The array is sorted by name and place, so that it is
+    the one before another name: no shuffle, and the file is parsed once."""
+    callable_ = lambda e: e["element_type"].isin("FUNCTION", "METHOD")
+    ordered = F.array_sort(F.transform(F.filter(rows, callable_), lambda e: F.struct(e["name"].alias("name"), e["line_start"].alias("line"), e["line_end"].alias("end"), e.alias("e"))))
+    last = C.bound(ordered, lambda o: F.transform(F.filter(o, lambda x, i: F.get(o, i + 1).isNull() | (F.get(o, i + 1)["name"] != x["name"])), lambda x: x["e"]))
+    return F.concat(F.filter(rows, lambda e: ~callable_(e)), last)
+
+
 def elements(parsed: DataFrame, nested: bool = False) -> DataFrame:
     """The ``elements`` table. Functions defined in functions are left out unless ``nested``; of functions of
     one name in a file the last one stays; seq follows path and line."""
-    e = parsed.select("file_path", F.explode("elements").alias("e")).select("file_path", "e.*")
+    rows = F.col("elements") if nested else F.filter("elements", lambda e: e["depth_in_functions"] == 0)
+    e = parsed.select("file_path", F.explode(_last_of_name(rows)).alias("e")).select("file_path", "e.*")
     e = e.withColumns({"attributes": F.map_from_entries("attributes"), "import_aliases": F.map_from_entries("import_aliases")})
-    if not nested:
-        e = e.where("depth_in_functions = 0")
     callable_ = F.col("element_type").isin("FUNCTION", "METHOD")
-    rest = e.where(~callable_)
-    last = e.where(callable_).groupBy("file_path", F.col("name").alias("_name")).agg(F.max_by(F.struct(*e.columns), F.struct("line_start", "line_end")).alias("e")).select("e.*")
-    e = rest.unionByName(last)
     e = e.withColumns({
         "element_id": C.element_id(F.col("module_path"), F.col("name")),
         "parent_id": F.when(F.col("parent_name").isNotNull(), C.element_id(F.col("module_path"), F.col("parent_name"))),
@@ -87,9 +95,10 @@ def stub_modules(errors: DataFrame) -> DataFrame:
     path = F.col("file")
     stem = F.regexp_replace(F.substring_index(path, "/", -1), r"(?<=.)\.[^.]*$", "")
     module = F.when(stem == "__init__", F.substring_index(F.substring_index(path, "/", -2), "/", 1)).otherwise(stem)
-    place = F.when(F.col("line") > 0, F.concat(F.lit("Location: Line "), F.col("line"), F.coalesce(F.when(F.col("column") > 0, F.concat(F.lit(", Column "), F.col("column"))), F.lit("")), F.lit("\n")))
-    code = F.concat(F.lit("\nCode context:\n"), F.col("code_snippet"), F.lit("\n"))
-    text = F.concat(F.lit("ERROR: This module could not be parsed.\nError type: "), "error_type", F.lit("\nMessage: "), "message", F.lit("\n"), F.coalesce(place, F.lit("")), F.coalesce(code, F.lit("")))
+    place = F.when(F.col("line") > 0, F.concat(F.lit(STUB_LINE), F.col("line"), F.coalesce(F.when(F.col("column") > 0, F.concat(F.lit(STUB_COLUMN), F.col("column"))), F.lit("")), F.lit("\n")))
+    code = F.concat(F.lit(STUB_CODE), F.col("code_snippet"), F.lit("\n"))
+    head = F.replace(F.replace(F.lit(STUB), F.lit("{error_type}"), F.col("error_type")), F.lit("{message}"), F.col("message"))
+    text = F.concat(head, F.coalesce(place, F.lit("")), F.coalesce(code, F.lit("")))
     return errors.select(F.concat(F.lit("stub:"), path).alias("element_id"), module.alias("name"), F.lit("MODULE").alias("element_type"), path.alias("file_path"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), module.alias("module_path"), text.alias("docstring"), "error_type")
 
 

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import index, parse
+from ..operators import parse
+from ..shared import written
 from ..sources.pytree import read_tree
 
 
-def number(elements: DataFrame) -> DataFrame:
-    """Add ``seq``: a number that orders rows as path and line do within an element_id, which is where order
-    decides. It needs no order over the whole table."""
-    return elements.withColumn("seq", F.row_number().over(Window.partitionBy("element_id").orderBy("file_path", "line_start")).cast("long"))
+def first_of_id(elements: DataFrame) -> DataFrame:
+    """The first row of each element_id by path and line, combined before the shuffle, since ids are
+    made of file stems and many files share some."""
+    columns = elements.columns
+    return elements.groupBy("element_id").agg(F.min_by(F.struct(*columns), F.struct("file_path", "line_start")).alias("_e")).select("_e.*").select(*columns, F.lit(1).cast("long").alias("seq"))
 
 
 def build_index(spark: SparkSession, *roots: str, fallbacks: bool = True, **options: str) -> tuple[DataFrame, DataFrame]:
     """(elements, parse errors) of all Python files below ``roots``: crawled, parsed once, one row for each id."""
     files = read_tree(spark, *roots, **options)
-    parsed = parse.parse_files(files, fallbacks).persist()
-    return index.first_wins(number(parse.elements(parsed))), parse.parse_errors(parsed)
+    parsed = written(parse.parse_files(files, fallbacks), "parsed")
+    return first_of_id(parse.elements(parsed)), parse.parse_errors(parsed)

@@ -6,8 +6,6 @@ The tables hold no source code, so elements are rows of ``part``, files and sear
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..model import SIGNATURE
 from ..operators import files as files_
-from ..operators import index, ordered, parse, search, store
+from ..operators import index, links, ordered, parse, search, store
+from ..shared import mounted, scratch, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -156,11 +155,6 @@ def q18(spark, sf_dir):
     return files_.memory_budget(docs, "doc_id", F.col("n_chars") * 2 + 100, 1_000_000).select("doc_id", "memory_warning")
 
 
-@query("q19_recent_keys", "SELECT user_id, max(event_id) AS last_seq FROM events GROUP BY user_id ORDER BY last_seq DESC LIMIT 20")
-def q19(spark, sf_dir):
-    return index.last_used(read(spark, sf_dir, "events"), "user_id", "event_id", 20)
-
-
 @query("q20_reference_projection", "WITH {E} SELECT element_id, element_type, name, module_path, file_path FROM E")
 def q20(spark, sf_dir):
     return index.references(elements(spark, sf_dir))
@@ -233,7 +227,12 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT module, 'cond', 'FUNCTION', 22, 22, NULL, NULL, 'FUNCTION' FROM S)
 SELECT concat(module, '.', name) AS element_id, name, element_type, element_kind, CAST(line_start AS INTEGER) AS line_start, CAST(least(line_end, 22) AS INTEGER) AS line_end, parent_name, docstring FROM r""")
 def q27(spark, sf_dir):
-    return parse.elements(parse.parse_files(sources(spark, sf_dir))).select("element_id", "name", "element_type", "element_kind", "line_start", "line_end", "parent_name", "docstring")
+    return parse.elements(parsed(sources(spark, sf_dir))).select("element_id", "name", "element_type", "element_kind", "line_start", "line_end", "parent_name", "docstring")
+
+
+def parsed(files: DataFrame, fallbacks: bool = False) -> DataFrame:
+    """The sources come from one small file; they are dealt out to the cores."""
+    return parse.parse_files(files, fallbacks, files.sparkSession.sparkContext.defaultParallelism)
 
 
 def broken_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +251,7 @@ def broken_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q28_fallback_levels", "SELECT CAST(p_partkey % 5 AS INTEGER) AS fallback_level, count(*) AS files FROM part GROUP BY 1")
 def q28(spark, sf_dir):
-    return parse.fallback_levels(parse.parse_files(broken_sources(spark, sf_dir), fallbacks=True))
+    return parse.fallback_levels(parsed(broken_sources(spark, sf_dir), fallbacks=True))
 
 
 _TREE = """SELECT doc_id, n_chars AS size, doc_id % 11 = 0 AS is_symlink,
@@ -268,15 +267,6 @@ def q29(spark, sf_dir):
     return files_.crawl_filter(tree, 10_000).select("doc_id", "path")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    base = base or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
-
-
 @query("q30_store_roundtrip", "WITH {E} SELECT element_id, min(seq) AS seq, min_by(file_path, seq) AS file_path FROM E GROUP BY element_id")
 def q30(spark, sf_dir):
     folder = scratch(spark)
@@ -311,7 +301,7 @@ def q33(spark, sf_dir):
 
 @query("q34_signatures", "WITH {S} SELECT concat(module, '.', word, '_top') AS element_id, 1 AS required, FALSE AS variadic, FALSE AS is_async, FALSE AS is_generator, CAST(size AS VARCHAR) AS last_default FROM S UNION ALL SELECT concat(module, '.run'), 1, TRUE, TRUE, TRUE, NULL FROM S")
 def q34(spark, sf_dir):
-    e = parse.elements(parse.parse_files(sources(spark, sf_dir))).where("name = 'run' OR name LIKE '%!_top' ESCAPE '!'")
+    e = parse.elements(parsed(sources(spark, sf_dir))).where("name = 'run' OR name LIKE '%!_top' ESCAPE '!'")
     p = F.col("signature.parameters")
     own = F.filter(p, lambda x: x["name"] != "self")
     return e.select("element_id", C.required(F.filter(p, lambda x: x["name"].isin("self", "a"))).alias("required"), C.variadic(p).alias("variadic"), "signature.is_async", "signature.is_generator", F.element_at(own, -1)["default_value"].alias("last_default"))
@@ -320,13 +310,13 @@ def q34(spark, sf_dir):
 @query("q35_parse_errors", """WITH b AS (SELECT concat('src/m', CAST(p_partkey AS VARCHAR(20)), '.py') AS file, p_partkey % 5 AS k FROM part)
 SELECT file, CASE k WHEN 1 THEN 'UnicodeDecodeError' ELSE 'SyntaxError' END AS error_type, CAST(CASE k WHEN 2 THEN 23 WHEN 3 THEN 23 WHEN 4 THEN 1 END AS INTEGER) AS line FROM b WHERE k > 0""")
 def q35(spark, sf_dir):
-    return parse.parse_errors(parse.parse_files(broken_sources(spark, sf_dir))).select("file", "error_type", "line")
+    return parse.parse_errors(parsed(broken_sources(spark, sf_dir))).select("file", "error_type", "line")
 
 
 @query("q36_compat_view", """WITH {S} SELECT concat('None.', name) AS element_id, CAST(line AS INTEGER) AS line_start, is_async, count(*) AS files FROM (
   SELECT concat(word, '_top') AS name, 6 AS line, FALSE AS is_async FROM S UNION ALL SELECT 'run', 16, TRUE FROM S UNION ALL SELECT 'make', 19, FALSE FROM S UNION ALL SELECT 'cond', 22, FALSE FROM S) t GROUP BY name, line, is_async""")
 def q36(spark, sf_dir):
-    e = parse.compat_elements(parse.parse_files(sources(spark, sf_dir)))
+    e = parse.compat_elements(parsed(sources(spark, sf_dir)))
     return e.groupBy("element_id", "line_start", "is_async").agg(F.count(F.lit(1)).alias("files"))
 
 
@@ -417,7 +407,7 @@ def q49(spark, sf_dir):
     """A tree written from parts (a fifth not UTF-8, a fifth not Python, a folder that is never entered), crawled."""
     from ..sources.pytree import read_tree
 
-    k, root = F.col("p_partkey"), scratch(spark).removeprefix("file:")
+    k, root = F.col("p_partkey"), mounted(scratch(spark))
     text = F.concat(F.lit("# "), "p_name", F.lit(" \n")).cast("binary")
     tree = read(spark, sf_dir, "part").select(
         F.concat(F.when(k % 7 == 3, "build").otherwise(F.concat(F.lit("d"), k % 7)), F.lit("/m"), k, F.when(k % 5 == 2, ".txt").otherwise(".py")).alias("path"),
@@ -437,7 +427,7 @@ def q49(spark, sf_dir):
   UNION ALL SELECT 'MODULE', list_concat([module], list_filter(string_split_regex(lower(doc), '\\s+'), lambda x: length(x) > 2)) FROM S)
 SELECT element_type, token, count(*) AS n FROM (SELECT element_type, unnest(list_distinct(l)) AS token FROM t) x GROUP BY 1, 2""")
 def q50(spark, sf_dir):
-    e = parse.elements(parse.parse_files(sources(spark, sf_dir)))
+    e = parse.elements(parsed(sources(spark, sf_dir)))
     return e.select("element_type", F.explode("search_tokens").alias("token")).groupBy("element_type", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -451,7 +441,7 @@ def q50(spark, sf_dir):
   UNION ALL SELECT concat(module, '.', word), 'IMPORT', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, word, 'b', NULL FROM S
   UNION ALL SELECT concat(module, '.', module), 'MODULE', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM S) SELECT * FROM r""")
 def q51(spark, sf_dir):
-    e = parse.elements(parse.parse_files(sources(spark, sf_dir))).select("element_id", C.element_json().alias("j"))
+    e = parse.elements(parsed(sources(spark, sf_dir))).select("element_id", C.element_json().alias("j"))
     at = lambda path, name: F.get_json_object("j", path).alias(name)
     return e.select(
         "element_id", at("$.type", "type"), at("$.is_method", "is_method"), at("$.is_static", "is_static"), at("$.signature.is_async", "is_async"), at("$.signature.parameters[0].name", "p0"), at("$.signature.parameters[1].default", "d1"),
@@ -489,13 +479,13 @@ def q55(spark, sf_dir):
 @query("q56_parse_outcomes", "SELECT concat('src/m', CAST(p_partkey AS VARCHAR), '.py') AS path, p_partkey % 5 = 0 AS parsed, CASE WHEN p_partkey % 5 = 0 THEN CAST(0 AS INTEGER) END AS fallback_level FROM part")
 def q56(spark, sf_dir):
     files = broken_sources(spark, sf_dir)
-    return parse.parse_outcomes(files, parse.parse_files(files))
+    return parse.parse_outcomes(files, parsed(files))
 
 
 @query("q57_stub_modules", """SELECT concat('stub:src/', name, '.py') AS element_id, name, CAST(1 AS INTEGER) AS line_start, concat('ERROR: This module could not be parsed.', chr(10), 'Error type: SyntaxError', chr(10)) AS head
 FROM (SELECT concat('m', CAST(p_partkey AS VARCHAR)) AS name, p_partkey % 5 AS k FROM part) t WHERE k >= 2""")
 def q57(spark, sf_dir):
-    errors = parse.first_errors(parse.parse_errors(parse.parse_files(broken_sources(spark, sf_dir)))).where("error_type = 'SyntaxError'")
+    errors = parse.first_errors(parse.parse_errors(parsed(broken_sources(spark, sf_dir)))).where("error_type = 'SyntaxError'")
     return parse.stub_modules(errors).select("element_id", "name", "line_start", F.regexp_extract("docstring", r"^([^\n]*\n[^\n]*\n)", 1).alias("head"))
 
 
@@ -518,8 +508,8 @@ SELECT concat(module, '.', name) AS element_id, element_type, CAST(line AS INTEG
   UNION ALL SELECT module, 'run', 'METHOD', 16, concat('C_', word) FROM r UNION ALL SELECT module, 'make', 'METHOD', 19, concat('C_', word) FROM r
   UNION ALL SELECT module, 'cond', 'FUNCTION', 22, NULL FROM r UNION ALL SELECT module, 'Broken', 'CLASS', 23, NULL FROM r) t""")
 def q60(spark, sf_dir):
-    parsed = parse.parse_files(broken_sources(spark, sf_dir), fallbacks=True).where("fallback_level = 3")
-    return parse.elements(parsed).select("element_id", "element_type", "line_start", F.col("parent_name").alias("parent"))
+    salvaged = parsed(broken_sources(spark, sf_dir), fallbacks=True).where("fallback_level = 3")
+    return parse.elements(salvaged).select("element_id", "element_type", "line_start", F.col("parent_name").alias("parent"))
 
 
 @query("q61_store_postings", "WITH {E} SELECT lower(name) AS token, count(DISTINCT element_id) AS n FROM E WHERE length(name) > 2 GROUP BY 1")
@@ -535,7 +525,61 @@ def q61(spark, sf_dir):
 def q62(spark, sf_dir):
     from .build import build_index
 
-    root = scratch(spark).removeprefix("file:")
+    root = mounted(scratch(spark))
     files_.write_tree(sources(spark, sf_dir).select("path", "content"), root)
     built, _ = build_index(spark, root)
     return built.groupBy("element_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def linked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package from parts: module k has a class that inherits from that of k // 2, and functions that call a helper, an
+    imported function, a method of a base and names that nothing defines."""
+    k = F.col("p_partkey")
+    half = F.floor(k / 2)
+    base = F.when(half > 0, F.concat(F.lit("(B)"))).otherwise("")
+    imports = F.when(half > 0, F.concat(F.lit("from .m"), half, F.lit(" import K"), half, F.lit(" as B, work"), half, F.lit(" as do\n"))).otherwise("def do():\n    pass\n")
+    code = F.concat(
+        imports, F.lit("def work"), k, F.lit("():\n    helper()\n    do()\n    def helper():\n        return len([])\n    return print(helper())\n\nclass K"), k, base,
+        F.lit(":\n    def m"), k % 3, F.lit("(self):\n        self.own()\n        do()\n    def own(self):\n        return self.m"), (k + 1) % 3, F.lit("()\n"),
+    )
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("src/pkg/m"), k, F.lit(".py")).alias("path"), code.cast("binary").alias("content"))
+
+
+_UP = """U AS (SELECT k, k AS a, 0 AS d FROM K UNION ALL SELECT U.k, U.a // 2, d + 1 FROM U WHERE U.a // 2 > 0)"""
+
+
+@query("q63_call_graph", f"""WITH RECURSIVE K AS (SELECT p_partkey AS k FROM part), {_UP},
+M AS (SELECT k, min_by(a, d) AS a FROM U WHERE a % 3 = (k + 1) % 3 GROUP BY k)
+SELECT concat('m', CAST(k AS VARCHAR), '.', caller) AS caller, name, CAST(times AS BIGINT) AS times, target FROM (
+  SELECT k, concat('work', CAST(k AS VARCHAR)) AS caller, 'helper' AS name, 2 AS times, concat('m', CAST(k AS VARCHAR), '.helper') AS target FROM K
+  UNION ALL SELECT k, concat('work', CAST(k AS VARCHAR)), 'do', 1, CASE WHEN k // 2 > 0 THEN concat('m', CAST(k // 2 AS VARCHAR), '.work', CAST(k // 2 AS VARCHAR)) ELSE concat('m', CAST(k AS VARCHAR), '.do') END FROM K
+  UNION ALL SELECT k, concat('work', CAST(k AS VARCHAR)), 'print', 1, NULL FROM K
+  UNION ALL SELECT k, 'helper', 'len', 1, NULL FROM K
+  UNION ALL SELECT k, concat('m', CAST(k % 3 AS VARCHAR)), 'self.own', 1, concat('m', CAST(k AS VARCHAR), '.own') FROM K
+  UNION ALL SELECT k, concat('m', CAST(k % 3 AS VARCHAR)), 'do', 1, CASE WHEN k // 2 > 0 THEN concat('m', CAST(k // 2 AS VARCHAR), '.work', CAST(k // 2 AS VARCHAR)) ELSE concat('m', CAST(k AS VARCHAR), '.do') END FROM K
+  UNION ALL SELECT K.k, 'own', concat('self.m', CAST((K.k + 1) % 3 AS VARCHAR)), 1, CASE WHEN a IS NOT NULL THEN concat('m', CAST(a AS VARCHAR), '.m', CAST((K.k + 1) % 3 AS VARCHAR)) END FROM K LEFT JOIN M ON M.k = K.k) x""")
+def q63(spark, sf_dir):
+    defs = links.definitions(written(parsed(linked_sources(spark, sf_dir)), "parsed"))
+    orders = links.resolution_orders(defs, links.class_bases(defs))
+    return links.call_graph(defs, orders).select(F.col("element_id").alias("caller"), "name", "times", F.col("target_id").alias("target"))
+
+
+@query("q64_overrides", f"""WITH RECURSIVE K AS (SELECT p_partkey AS k FROM part), {_UP},
+N AS (SELECT k, k % 3 AS n FROM K UNION ALL SELECT k, -1 FROM K), P AS (SELECT U.k AS lo, U.a AS hi, x.n FROM U JOIN N x ON x.k = U.k JOIN N y ON y.k = U.a AND y.n = x.n WHERE d > 0)
+SELECT concat('m', CAST(k AS VARCHAR), '.', CASE WHEN n < 0 THEN 'own' ELSE concat('m', CAST(n AS VARCHAR)) END) AS element_id, EXISTS (SELECT 1 FROM P WHERE P.lo = N.k AND P.n = N.n) AS is_override, EXISTS (SELECT 1 FROM P WHERE P.hi = N.k AND P.n = N.n) AS is_overridden FROM N""")
+def q64(spark, sf_dir):
+    defs = links.definitions(written(parsed(linked_sources(spark, sf_dir)), "parsed"))
+    known = written(links.targets(defs), "targets")
+    flags = links.overrides(known, links.resolution_orders(defs, links.class_bases(defs)))
+    return flags.join(known, ["file_path", "qualname"]).select("element_id", "is_override", "is_overridden")
+
+
+@query("q65_linked_json", f"""WITH RECURSIVE K AS (SELECT p_partkey AS k FROM part), C AS (SELECT k // 2 AS k, list(concat('m', CAST(k AS VARCHAR), '.m', CAST(k % 3 AS VARCHAR))) AS m, list(concat('m', CAST(k AS VARCHAR), '.work', CAST(k AS VARCHAR))) AS w FROM K WHERE k // 2 > 0 GROUP BY 1)
+SELECT concat('m', CAST(K.k AS VARCHAR), '.work', CAST(K.k AS VARCHAR)) AS element_id, concat('["', array_to_string(list_sort([concat('m', CAST(K.k AS VARCHAR), '.helper'), CASE WHEN K.k // 2 > 0 THEN concat('m', CAST(K.k // 2 AS VARCHAR), '.work', CAST(K.k // 2 AS VARCHAR)) ELSE concat('m', CAST(K.k AS VARCHAR), '.do') END]), '","'), '"]') AS calls,
+  CASE WHEN C.k IS NULL THEN '[]' ELSE concat('["', array_to_string(list_sort(list_concat(m, w)), '","'), '"]') END AS called_by, 'false' AS is_override FROM K LEFT JOIN C ON C.k = K.k""")
+def q65(spark, sf_dir):
+    files = written(parsed(linked_sources(spark, sf_dir)), "parsed")
+    defs = links.definitions(files)
+    orders = links.resolution_orders(defs, links.class_bases(defs))
+    e = links.with_links(parse.elements(files), links.call_graph(defs, orders), links.overrides(links.targets(defs), orders)).where("name LIKE 'work%'")
+    return e.select("element_id", C.element_json(links=True).alias("j")).select("element_id", *(F.get_json_object("j", f"$.{x}").alias(x) for x in ("calls", "called_by", "is_override")))

@@ -164,3 +164,26 @@ def test_handler_sees_every_error(spark, tmp_path):
 
     parse.for_each_error(spark.createDataFrame([("a", "one"), ("b", "two")], "file string, message string"), handle)
     assert sorted((p.name, p.read_text()) for p in tmp_path.iterdir()) == [("a", "one"), ("b", "two")]
+
+
+def test_salvage_starts_again():
+    """Definitions behind brackets and strings that are never closed are found, where they are and in what they are in."""
+    code = (
+        "def a(x:\n    y = [1,\n\ndef b():\n    pass\n\nclass C:\n    def one(self):\n        z = foo(1, {\n    def two(self):\n        def deep():\n            return ')'\n    async def three(self): pass\n"
+        "def d():\n    t = \"\"\"open\n\nclass E(:\n    def four(self):\n        x = )]}\n        def five(): pass\n    def six(self): 1\n"
+    )
+    found = {e["name"]: (e["element_type"], e["line_start"], e["parent_name"], e["depth_in_functions"], e["scope"]) for e in pysource.salvage(code, "m.py")}
+    assert found == {
+        "a": ("FUNCTION", 1, None, 0, ""), "b": ("FUNCTION", 4, None, 0, ""), "C": ("CLASS", 7, None, 0, ""), "one": ("METHOD", 8, "C", 0, "C"), "two": ("METHOD", 10, "C", 0, "C"),
+        "deep": ("FUNCTION", 11, None, 1, "C.two.<locals>"), "three": ("METHOD", 13, "C", 0, "C"), "d": ("FUNCTION", 14, None, 0, ""), "E": ("CLASS", 17, None, 0, ""), "four": ("METHOD", 18, "E", 0, "E"),
+        "five": ("FUNCTION", 20, None, 1, "E.four.<locals>"), "six": ("METHOD", 21, "E", 0, "E"),
+    }
+
+
+def test_parsed_once(spark):
+    """The plan of ``elements`` holds one Python step and no shuffle."""
+    files = spark.createDataFrame([("a.py", b"def f(): pass\ndef f(x): pass\nclass C: pass\n")], "path string, content binary")
+    e = parse.elements(parse.parse_files(files))
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Exchange" not in plan
+    assert [(r.name, r.line_start) for r in e.orderBy("name").collect()] == [("C", 3), ("a", 1), ("f", 2)]

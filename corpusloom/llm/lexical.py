@@ -27,7 +27,7 @@ from .common import cut, shared_dir, small_batches
 
 BEST = 20
 BLOCK = 1 << 20  # bytes of query texts searched for at once
-LONGEST = 2048  # vectors that give the first scores to beat, with one of PART others
+LONGEST = 2048  # about so many vectors give the first scores to beat, with one of PART others
 PART = 64
 PIECE = 1 << 20  # bytes of a text split into terms at once
 ROOM = 1 + 1e-9
@@ -202,7 +202,9 @@ def _block(docs: DataFrame, rows: list[tuple], best: int, item_kind: str) -> Dat
     made = impacts(counts, documents, max(length, 1)).withColumn("_row", F.monotonically_increasing_id())
     made.repartitionByRange(F.desc("norm"), F.xxhash64("_row")).sortWithinPartitions(F.desc("norm")).drop("_row").write.parquet(f"{folder}/impacts")
     ordered = spark.read.parquet(f"{folder}/impacts")
-    longest = ordered.orderBy(F.desc("norm")).limit(LONGEST)
+    size = ordered.count()
+    edge = ordered.agg(F.percentile_approx("norm", 1 - LONGEST / size, 10_000)).first()[0] if size > LONGEST else 0.0
+    longest = ordered.where(F.col("norm") >= edge)
     even = ordered.where(F.pmod(F.xxhash64("doc_id", "norm"), F.lit(PART)) == 0)
     # A row may be in both, and would count twice.
     first = [_ranked(_matches(part, told, {}, best, item_kind, id_kind), best).groupBy("no").agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("n")).where(F.col("n") == best) for part in (longest, even)]

@@ -5,12 +5,18 @@ searched for stretches of high log-likelihood ratio under two first-order Markov
 of random strings and one of ordinary identifiers: a stretch ends where its ratio has fallen by DROP, counts
 by its total and its mean, and grows to the borders of its letters and digits. The model of ordinary
 identifiers is counted from a labelled sample of the corpus itself, long words of documents without base
-finds; that of random strings is half uniform, half counted from what the base patterns find.
+finds, and from the names in Python's own library, so that a few odd texts aren't all it knows; that of random
+strings is half uniform, half counted from what the base patterns find. A string counts once however often it
+comes, and each of its pairs once however long it is. Since documents without base finds may hold random strings
+all the same, ordinary strings that the first count already finds random are left out of a second one.
 """
 
 from __future__ import annotations
 
+import builtins
 import math
+import sys
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +41,7 @@ FLAT = (0.01, 0.5)  # uniform parts of the models of ordinary and of random stri
 LEAST_TOTAL = 20.0  # nats
 LEAST_EACH = 0.6
 DROP = 12.0
+SUSPECT = (12.0, 0.3)  # total and mean from which an ordinary string isn't learned from
 _BLOCK = 256
 _PIECE = 1024  # code points
 
@@ -124,17 +131,42 @@ def markov_ratios(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     has = (F.size("assign") + F.size("access") + F.size("hex")) > 0
     values = F.concat(F.transform("assign", lambda x: F.regexp_extract(x["value"], ASSIGN, 2)), F.transform("access", lambda x: x["value"]), F.transform("hex", lambda x: x["value"]))
     hashes = cut(base_spans(texts).select("_r", has.alias("has"), F.col("_text").rlike(RUN).alias("word")).distinct())
-    size, counts = len(ALPHABET) + 1, {}
+    strings = {}
     for label, mine in ((1, F.col("has")), (0, ~F.col("has") & F.col("word"))):
         most = hash_below(hashes.where(mine), "_r", sample)
         chosen = base_spans(texts if most is None else texts.where(F.col("_r") <= most))
         words = F.regexp_extract_all("_text", F.lit(RUN), F.lit(0))
         # By a value, not a filter: that would be pushed down with a copy of all its expressions.
-        strings = chosen.select("_r", F.when(has == bool(label), values if label else F.concat(words, F.transform(words, F.upper))).alias("v"))  # any identifier may stand in capitals
-        one = strings.dropDuplicates(["_r"])  # equal texts count once
-        counts[label] = {r.p: r.n for r in one.select(F.explode("v").alias("s")).select(F.explode(_pairs(F.col("s"))).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts[0]:
-        return [0.0] * size**2
+        found = chosen.select(F.when(has == bool(label), F.array_distinct(values if label else F.concat(words, F.transform(words, F.upper)))).alias("v"))  # any identifier may stand in capitals
+        strings[label] = cut(found.select(F.explode("v").alias("s")).distinct())
+
+    def counted(rows: DataFrame) -> dict[int, int]:
+        return {r.p: r.n for r in rows.select(F.explode(F.array_distinct(_pairs(F.col("s")))).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    random, ordinary = counted(strings[1]), counted(strings[0])
+    if not ordinary:
+        return [0.0] * (len(ALPHABET) + 1) ** 2
+    first = _table(random, ordinary)
+    suspect = F.size(_stretches(F.col("s"), _literal(first), *SUSPECT)) > 0
+    return _table(random, counted(strings[0].where(~suspect)))
+
+
+def known_names() -> list[str]:
+    """Names in Python's library, as they are and in small letters; those in capitals say little, as they are few."""
+    own = {*sys.stdlib_module_names, *dir(builtins), *(x for kind in (str, bytes, dict, list, set, int, float) for x in dir(kind))}
+    return sorted({f(x) for x in own if not x.isupper() for f in (str, str.lower)})
+
+
+def _literal(ratios: list[float]) -> Column:
+    return F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
+
+
+def _table(random: dict[int, int], ordinary: dict[int, int]) -> list[float]:
+    """The ratios from the counts of pairs of either kind, the known names added."""
+    size = len(ALPHABET) + 1
+    place = lambda c: ALPHABET.find(c) + 1
+    known = Counter(p for name in known_names() for p in {place(a) * size + place(b) for a, b in zip(name, name[1:])})
+    counts = {1: random, 0: known + Counter(ordinary)}
     chance = {}
     for label in (0, 1):
         n = [[counts[label].get(a * size + b, 0) for b in range(size)] for a in range(size)]
@@ -192,14 +224,14 @@ def find_secrets(docs: DataFrame, ratios: list[float] | None = None, sample: int
     df = base_spans(docs.drop(*KINDS, "spans"))
     df = df.withColumn("_base", F.array_sort(F.transform(F.concat("assign", "access", "hex"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))))
     df = replaced(df, "_open", "_text", "_base", "repeat(' ', greatest(x.end - greatest(x.start, past), 0))")
-    table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    inside = lambda s: _stretches(s, table, least_total, least_each)
-    words = F.array_distinct(F.regexp_extract_all("_open", F.lit(RUN), F.lit(0)))
-    df = _found(df, "_runs", RUN, F.exists(words, lambda s: F.size(inside(s)) > 0), "_open")
-    parts = F.transform("_runs", lambda x: F.transform(inside(x["value"]), lambda y: F.struct((x["start"] + y["start"]).alias("start"), (x["start"] + y["end"]).alias("end"), F.substring(x["value"], y["start"] + 1, y["end"] - y["start"]).alias("value"))))
-    df = df.withColumn("markov", F.flatten(parts))
+    table = _literal(ratios)
+    # Every run is scored once; places are looked for only in texts with a stretch.
+    df = df.withColumn("_parts", F.transform(F.regexp_extract_all("_open", F.lit(RUN), F.lit(0)), lambda s: _stretches(s, table, least_total, least_each)))
+    df = _found(df, "_runs", RUN, F.exists("_parts", lambda p: F.size(p) > 0), "_open")
+    own = lambda x: lambda y: F.struct((x["start"] + y["start"]).alias("start"), (x["start"] + y["end"]).alias("end"), F.substring(x["value"], y["start"] + 1, y["end"] - y["start"]).alias("value"))
+    df = df.withColumn("markov", F.flatten(F.when(F.size("_runs") > 0, F.zip_with("_runs", "_parts", lambda x, p: F.transform(p, own(x)))).otherwise(F.array())))
     kind = lambda k: F.transform(KINDS[k], lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("rank"), x["end"].alias("end"), F.lit(KINDS[k]).alias("kind")))
-    return df.withColumn("spans", F.array_sort(F.concat(*map(kind, range(4))))).drop("_text", "_base", "_open", "_runs")
+    return df.withColumn("spans", F.array_sort(F.concat(*map(kind, range(4))))).drop("_text", "_base", "_open", "_runs", "_parts")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", ratios: list[float] | None = None) -> DataFrame:

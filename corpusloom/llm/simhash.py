@@ -24,6 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import shingles
 from .common import cut, if_small, join_hot, small_batches
@@ -182,16 +183,19 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with one document of each group of ``similar_documents``: the row with the smallest
-    doc_id, and of several texts with that id the one with the smallest hash; nulls come last. Rows that repeat id
-    and text are one. Columns of any name are kept; an empty table stays empty."""
+    doc_id, and of several texts with that id the one with the smallest hash; nulls come last. Of rows that repeat id
+    and text one stays, the one whose columns have the smallest hash together; ids may be numbers or strings. Columns of any name are kept; an empty table stays empty."""
+    kind = docs.schema["doc_id"].dataType
+    zero = F.lit("" if isinstance(kind, StringType) else 0).cast(kind)  # stands for a null id, told apart by _null
+    own = [F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", zero).alias("_id")]
     keys = ["_null", "_id", "_hash"]  # in the order of the choice
-    linked = similar_documents(docs, shingle, percent).select(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"), "component")
+    linked = similar_documents(docs, shingle, percent).select(*own, F.col("text_hash").alias("_hash"), "component")
     texts = cut(linked.groupBy("component", *keys).agg(F.count(F.lit(1)).alias("n")))
     first = texts.groupBy("component").agg(F.min(F.struct(*keys)).alias("first"))
     rated = texts.join(first, "component").select(*keys, "n", (F.struct(*keys) == F.col("first")).alias("stays"))
     moved = cut(rated.where("NOT stays OR n > 1"))  # all other rows stay as they are
     moved = if_small(moved, moved.count())
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64("text").alias("_hash"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(*docs.columns).alias("_whole"), *own, F.xxhash64("text").alias("_hash"))
     alone = rows.join(moved, keys, "left_anti").select("_row.*")
-    repeated = rows.join(moved.where("stays"), keys, "left_semi").groupBy(*keys).agg(F.first("_row").alias("_row")).select("_row.*")
+    repeated = rows.join(moved.where("stays"), keys, "left_semi").groupBy(*keys).agg(F.min_by("_row", "_whole").alias("_row")).select("_row.*")
     return alone.unionByName(repeated)

@@ -107,3 +107,12 @@ def test_full_buckets_grow_their_keys(spark):
         mine = merged((r.u, r.v) for r in got)
         flat = [x for (x,) in signed]
         assert mine == merged((a, b) for k, a in enumerate(flat) for b in flat[k + 1 :] if bits(a, b) <= 2)
+
+
+def test_one_of_each_of_string_ids(spark):
+    """Ids that are strings; of rows equal in id and text the same one stays however they lie."""
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [("b", text, "de"), ("a", text, "fr"), ("a", text, "en"), ("c", "something else entirely and not alike at all", "en"), (None, text, "x"), (None, None, "y")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    got = [sorted(map(tuple, simhash.one_of_each(df.repartition(n)).collect()), key=repr) for n in (1, 3)]
+    assert got[0] == got[1] and {r[0] for r in got[0]} == {"a", "c", None} and len(got[0]) == 3

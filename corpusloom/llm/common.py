@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +58,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: workers are kept for later stages, whose JVM shares the limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fold(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the rule that keeps rows out of training."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -17,12 +17,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, if_small, join_hot, small_batches
+from .common import cut, give_back, if_small, join_hot, small_batches
 from .components import components
 
 BANDS, ROWS = 20, 4
@@ -74,18 +74,22 @@ def _sketches(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
     """(doc_id, text_hash, node, n, fp, list): the shingle set's name, size and SimHash, and its keys or the
     ``whole`` set."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for first in range(0, len(b), 500):
-                part = b.iloc[first : first + 500]
-                sets = [grams(words(t or b""), shingle) for t in part["text"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                sets = [grams(words(t.as_py() or b""), shingle) for t in part.column("text")]
                 node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], "u8").view("i8")
-                made = [h.view("i8").tolist() if whole else bands(least_hashes(h)) for h in sets]
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "text_hash": part["text_hash"].array, "node": node, "n": [len(h) for h in sets], "fp": [0 if whole else majority(h) for h in sets], "list": made})
+                made = sets if whole else [np.array(bands(least_hashes(h)), "i8") for h in sets]
+                size = [len(h) for h in made]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(np.concatenate(made).view("i8")))
+                fp = np.array([0 if whole else majority(h) for h in sets], "i8")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(node), pa.array([len(h) for h in sets], pa.int32()), pa.array(fp), lists], ["doc_id", "text_hash", "node", "n", "fp", "list"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = small_batches(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, text_hash long, node long, n int, fp long, list array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, node long, n int, fp long, list array<long>")
 
 
 def _prefix_pairs(rest: DataFrame, percent: int) -> DataFrame:

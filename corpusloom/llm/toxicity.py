@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import cut, fold, labelled_sample, small_batches
+from .common import cut, fold, give_back, labelled_sample, small_batches
 
 SAMPLE = 40_000  # at most so many labelled documents are learned from
 STEMS = (4, 5, 6, 7, 8)  # letters
@@ -154,7 +154,8 @@ def without_copies(labelled: DataFrame) -> DataFrame:
         for b in batches:
             made = [shingles.least_hashes(shingles.grams(_split(t or b""), 3)) for t in b["text"]]
             if made:
-                yield pd.DataFrame({"doc_id": b["doc_id"].array, "toxic": b["toxic"].array, "text_hash": b["text_hash"].array, "least": [h.view("i8").tolist() for h in made], "band": [shingles.bands(h, t) for h, t in zip(made, b["toxic"])]})
+                yield pd.DataFrame({"doc_id": b["doc_id"].array, "toxic": b["toxic"].array, "text_hash": b["text_hash"].array, "least": [h.view("i8") for h in made], "band": [shingles.bands(h, t) for h, t in zip(made, b["toxic"])]})
+        give_back()
 
     schema = f"doc_id {labelled.schema['doc_id'].dataType.simpleString()}, toxic int, text_hash long, least array<long>, band array<long>"
     rows = small_batches(labelled).select("doc_id", "toxic", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")).mapInPandas(run, schema)
@@ -187,6 +188,7 @@ def token_counts(labelled: DataFrame) -> DataFrame:
                 if len(counts[0]) + len(counts[1]) > _KNOWN:
                     yield from flush()
         yield from flush()
+        give_back()
 
     return labelled.select("text", "toxic").mapInPandas(run, "token string, c1 long, c0 long").groupBy("token").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
 

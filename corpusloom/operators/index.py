@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
 def first_wins(elements: DataFrame) -> DataFrame:
     """One row for each element_id, the first by seq."""
@@ -97,6 +99,28 @@ def children(elements: DataFrame, element_id: str) -> DataFrame:
     return first_wins(elements.where(F.col("parent_id") == element_id))
 
 
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, depth): what lies above each node at any depth, for ``edges`` (node, parent), with the least depth.
+    Paths double in each round, so there are about as many joins as the depth has binary digits. A node in a cycle has
+    itself as an ancestor."""
+    reach = written(edges.where("node IS NOT NULL AND parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")).distinct(), "reach")
+    size = reach.count()
+    while size:
+        up = reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above"), F.col("depth").alias("more"))
+        longer = reach.join(up, "ancestor").select("node", F.col("above").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        reach = written(reach.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "reach")
+        before, size = size, reach.count()
+        if size == before:
+            break
+    return reach
+
+
+def descendants(elements: DataFrame, element_id: str) -> DataFrame:
+    """The elements at any depth below one, with their least depth; ``children`` gives the first level only."""
+    below = ancestors(elements.select(F.col("element_id").alias("node"), F.col("parent_id").alias("parent")).distinct()).where(F.col("ancestor") == element_id)
+    return first_wins(elements).join(below.select(F.col("node").alias("element_id"), "depth"), "element_id")
+
+
 def in_file(elements: DataFrame, path: str) -> DataFrame:
     return first_wins(elements.where(F.col("file_path") == path))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import by_value, running_sum
@@ -53,12 +53,63 @@ def search_postings(postings: DataFrame, query: str, max_results: int = 100) ->
     return weighed.groupBy("element_id").agg(F.sum("_w").alias("score")).orderBy(F.desc("score"), "element_id").limit(max_results)
 
 
+def query_words(queries: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, word): the distinct word tokens of each query, lower-cased, longer than two; ``query_tokens`` for a table."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return queries.select(key, F.explode(F.array_distinct(F.filter(words, lambda w: F.length(w) > 2))).alias("word"))
+
+
+def _trigrams(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda k: F.substring(text, k, F.lit(3))))
+
+
+def word_weights(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, token, weight) of all pairs of distinct ``words`` (word) and ``vocabulary`` (token), all longer than two, whose
+    token holds the word. A word's candidates are the tokens with its rarest trigram: one equi-join, then a check."""
+    grams = vocabulary.select("token", F.explode(_trigrams(F.col("token"))).alias("gram"))
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # A word with a trigram that no token has is in none of them.
+    own = words.select("word", F.explode(_trigrams(F.col("word"))).alias("gram")).join(often, "gram", "left")
+    rarest = own.groupBy("word").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count(F.when(F.col("n").isNull(), 1)).alias("unknown")).where("unknown = 0")
+    held = rarest.select("word", "gram").join(grams, "gram").where(F.contains("token", F.col("word")))
+    weight = F.when(F.col("token") == F.col("word"), EXACT).when(F.startswith("token", F.col("word")), PREFIX).otherwise(INSIDE)
+    return held.select("word", "token", weight.cast("long").alias("weight"))
+
+
+def search_many(postings: DataFrame, queries: DataFrame, key: str, text: str, max_results: int = 100) -> DataFrame:
+    """(key, element_id, score, rank): for each query (key, distinct; text) what ``search_postings`` finds for it. Words are
+    matched with the vocabulary once, whatever the number of queries that have them; a query's weight of a token is summed
+    before it meets the postings; no step compares queries with rows. ``postings`` is read twice."""
+    if max_results < 0:
+        raise ValueError("max_results must not be negative")
+    rows = postings.where(F.length("token") > 2).select("token", "element_id").distinct()
+    wanted = query_words(queries, key, text)
+    weights = word_weights(rows.select("token").distinct(), wanted.select("word").distinct())
+    each = wanted.join(weights, "word").groupBy(key, "token").agg(F.sum("weight").alias("w"))
+    scored = each.join(rows, "token").groupBy(key, "element_id").agg(F.sum("w").alias("score"))
+    best = Window.partitionBy(key).orderBy(F.desc("score"), "element_id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max_results).select(key, "element_id", "score", "rank")
+
+
 def prefix(elements: DataFrame, start: str, max_results: int | None = None) -> DataFrame:
     """Distinct (name, element_id) whose name starts so, in that order; a limit is strict."""
     found = elements.where(F.col("name").startswith(start)).select("name", "element_id").distinct()
     return found if max_results is None else found.orderBy("name", "element_id").limit(max_results)
 
 
+def prefix_many(elements: DataFrame, starts: DataFrame, start: str = "prefix") -> DataFrame:
+    """(prefix, name, element_id), distinct, for each distinct prefix of ``starts``. The names with a prefix are a range in
+    name order; names lie in ordered buckets, and a prefix meets those that its range touches, one for a long one and all of
+    them, side by side, for an empty one. Names with U+10FFFF, which is no character, may be missed."""
+    names = elements.where(F.col("name").isNotNull()).select("name", "element_id").distinct()
+    bucket = by_value("name", names)
+    ends = starts.where(F.col(start).isNotNull()).select(F.col(start).alias("prefix")).distinct()
+    first = ends.select("prefix", F.col("prefix").alias("name")).select("prefix", bucket.alias("lo"))
+    last = ends.select("prefix", F.concat("prefix", F.lit("\U0010ffff")).alias("name")).select("prefix", bucket.alias("hi"))
+    touched = first.join(last, "prefix").select("prefix", F.explode(F.sequence("lo", "hi")).alias("_bucket"))
+    return names.withColumn("_bucket", bucket).join(touched, "_bucket").where(F.startswith("name", F.col("prefix"))).select("prefix", "name", "element_id")
+
+
 def prefix_names(elements: DataFrame, start: str, max_results: int) -> DataFrame:
     """(name, n): the names that a walk in name order visits before it has ``max_results`` ids. Names come
     whole, so the ids may be more. With no more than 0 asked for, only the prefix itself is seen."""

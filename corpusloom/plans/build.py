@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import parse
 from ..shared import written
-from ..sources.pytree import read_tree
+from ..sources.pytree import crawl
 
 
 def first_of_id(elements: DataFrame) -> DataFrame:
@@ -19,6 +19,6 @@ def first_of_id(elements: DataFrame) -> DataFrame:
 
 def build_index(spark: SparkSession, *roots: str, fallbacks: bool = True, **options: str) -> tuple[DataFrame, DataFrame]:
     """(elements, parse errors) of all Python files below ``roots``: crawled, parsed once, one row for each id."""
-    files = read_tree(spark, *roots, **options)
+    files = crawl(spark, *roots, **options)
     parsed = written(parse.parse_files(files, fallbacks), "parsed")
     return first_of_id(parse.elements(parsed)), parse.parse_errors(parsed)

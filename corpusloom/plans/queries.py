@@ -583,3 +583,42 @@ def q65(spark, sf_dir):
     orders = links.resolution_orders(defs, links.class_bases(defs))
     e = links.with_links(parse.elements(files), links.call_graph(defs, orders), links.overrides(links.targets(defs), orders)).where("name LIKE 'work%'")
     return e.select("element_id", C.element_json(links=True).alias("j")).select("element_id", *(F.get_json_object("j", f"$.{x}").alias(x) for x in ("calls", "called_by", "is_override")))
+
+
+@query("q66_flat_folder", """SELECT concat('flat/m', CAST(p_partkey AS VARCHAR), CASE WHEN p_partkey % 5 = 2 THEN '.txt' ELSE '.py' END) AS path, CAST(length(p_name) + 4 AS BIGINT) AS size, md5(concat('# ', p_name, ' ', chr(10))) AS h FROM part WHERE p_partkey % 5 <> 2
+  UNION ALL SELECT concat('deep/', repeat('d/', CAST(p_partkey % 6 AS INTEGER)), 'n', CAST(p_partkey AS VARCHAR), '.py'), CAST(length(p_name) + 4 AS BIGINT), md5(concat('# ', p_name, ' ', chr(10))) FROM part""")
+def q66(spark, sf_dir):
+    """One flat folder with a file for each part, and a chain of folders, listed level by level and read in equal parts."""
+    from ..sources.pytree import crawl
+
+    k, root = F.col("p_partkey"), mounted(scratch(spark))
+    content = F.concat(F.lit("# "), "p_name", F.lit(" \n")).cast("binary").alias("content")
+    flat = F.concat(F.lit("flat/m"), k, F.when(k % 5 == 2, ".txt").otherwise(".py"))
+    deep = F.concat(F.lit("deep/"), F.repeat(F.lit("d/"), (k % 6).cast("int")), F.lit("n"), k, F.lit(".py"))
+    parts = read(spark, sf_dir, "part")
+    files_.write_tree(parts.select(flat.alias("path"), content).unionByName(parts.select(deep.alias("path"), content)), root)
+    return crawl(spark, root).select(F.replace("path", F.lit(f"{root}/"), F.lit("")).alias("path"), "size", F.md5("content").alias("h"))
+
+
+@query("q67_search_many", r"""WITH p AS (SELECT DISTINCT doc_id, t AS token FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '\s+')) AS t FROM documents) s WHERE length(t) > 2),
+q AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM benchmark) z WHERE length(w) > 2),
+m AS (SELECT w, token, CASE WHEN token = w THEN 5 WHEN starts_with(token, w) THEN 2 ELSE 1 END AS weight FROM (SELECT DISTINCT w FROM q) a JOIN (SELECT DISTINCT token FROM p) b ON contains(token, w)),
+e AS (SELECT item_id, token, sum(weight) AS weight FROM q JOIN m ON m.w = q.w GROUP BY 1, 2)
+SELECT item_id, element_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT item_id, doc_id AS element_id, CAST(sum(weight) AS BIGINT) AS score, row_number() OVER (PARTITION BY item_id ORDER BY sum(weight) DESC, doc_id) AS rank FROM e JOIN p ON p.token = e.token GROUP BY 1, 2) x WHERE rank <= 10""")
+def q67(spark, sf_dir):
+    docs = text_tokens(read(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "element_id")
+    postings = written(index.postings(docs, "tokens"), "postings")
+    return search.search_many(postings, read(spark, sf_dir, "benchmark"), "item_id", "text", 10)
+
+
+@query("q68_prefix_many", "WITH {E}, S AS (SELECT DISTINCT substr(p_name, 1, CAST(p_size % 6 AS INTEGER)) AS prefix FROM part) SELECT DISTINCT prefix, name, element_id FROM E JOIN S ON starts_with(name, prefix)".replace("{E}, S", "{E}, X").replace("JOIN S", "JOIN X"))
+def q68(spark, sf_dir):
+    starts = read(spark, sf_dir, "part").select(F.substring("p_name", F.lit(1), (F.col("p_size") % 6).cast("int")).alias("prefix"))
+    return search.prefix_many(elements(spark, sf_dir), starts)
+
+
+@query("q69_ancestors", """WITH RECURSIVE u AS (SELECT p_partkey AS node, p_partkey // 2 AS ancestor, 1 AS depth FROM part WHERE p_partkey // 2 > 0 UNION ALL SELECT node, ancestor // 2, depth + 1 FROM u WHERE ancestor // 2 > 0)
+SELECT node, ancestor, CAST(depth AS BIGINT) AS depth FROM u""")
+def q69(spark, sf_dir):
+    edges = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.floor(F.col("p_partkey") / 2).alias("parent")).where("parent > 0")
+    return index.ancestors(edges)

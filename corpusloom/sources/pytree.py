@@ -4,23 +4,36 @@ Options: ``path`` (or ``paths``, separated by line feeds; overlapping roots give
 ``followSymlinks`` (false), ``excludedDirs`` (comma-separated, added to the standard ones),
 ``maxFileSizeMb`` (10), ``utf8`` (``full``, ``probe`` for the first 8192 bytes only, ``none``) and
 ``emit`` (``files``, ``skipped`` or ``all``). Folders are pruned before they are entered; files that a rule
-turns down have its name in ``skipped`` and no content.
+turns down have its name in ``skipped`` and no content. Filters on ``size``, ``name`` and the start of ``path`` reach the
+walk, before a file is opened or a folder entered.
+
+The source plans its parts from names alone: the upper levels are listed until there are PARTS folders, and the files
+of a large folder are dealt to several parts by a hash of their names. ``crawl`` lists every level in tasks instead,
+and reads contents in parts of about equal bytes: for trees too large to be listed on the driver.
 """
 
 from __future__ import annotations
 
 import codecs
 import os
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..model import FILES
+from ..shared import written
 
 #: Folders that are never entered.
 EXCLUDED = (".venv", "venv", "__pycache__", ".git", "node_modules", ".tox", ".eggs", "build", "dist")
 PROBE = 8192
+PARTS = 64  # folders from which the levels below are left to tasks
+SLICE = 500  # files of one folder for a part
+PART_BYTES = 64 << 20
 
 
 def is_python_name(name: str) -> bool:
@@ -39,10 +52,17 @@ def decodes(content: bytes, rule: str) -> bool:
 
 
 class TreePart(InputPartition):
-    """A folder and whether to go below it; or files of it only."""
+    """A folder and whether to go below it; or every ``of``-th of its own files by a hash of their names."""
+
+    def __init__(self, folder: str, deep: bool, k: int = 0, of: int = 1):
+        self.folder, self.deep, self.k, self.of = folder, deep, k, of
 
-    def __init__(self, folder: str, deep: bool):
-        self.folder, self.deep = folder, deep
+
+#: What a filter on a column asks of a value that isn't null.
+_TESTS: dict[type, Callable] = {
+    ds.EqualTo: lambda x, v: x == v, ds.In: lambda x, v: x in v, ds.GreaterThan: lambda x, v: x > v, ds.GreaterThanOrEqual: lambda x, v: x >= v, ds.LessThan: lambda x, v: x < v,
+    ds.LessThanOrEqual: lambda x, v: x <= v, ds.StringStartsWith: str.startswith, ds.StringEndsWith: str.endswith, ds.StringContains: lambda x, v: v in x,
+}
 
 
 class TreeReader(DataSourceReader):
@@ -56,24 +76,65 @@ class TreeReader(DataSourceReader):
         self.excluded = frozenset(EXCLUDED) | {x.strip() for x in more.split(",") if x.strip()}
         self.limit = float(options.get("maxfilesizemb", options.get("maxFileSizeMb", "10"))) * 1024 * 1024
         self.utf8, self.emit = options.get("utf8", "full"), options.get("emit", "files")
+        self.tests: dict[str, list[Callable[[object], bool]]] = {"name": [], "size": []}
+        self.below: list[str] = []
         for root in self.roots:
             if not os.path.exists(root):
                 raise FileNotFoundError(root)
             if not os.path.isdir(root):
                 raise NotADirectoryError(root)
 
+    def pushFilters(self, filters: list[ds.Filter]) -> Iterable[ds.Filter]:
+        """Take what the walk can test; Spark keeps the rest, and the start of a path as well."""
+        for f in filters:
+            test, column = _TESTS.get(type(f)), getattr(f, "attribute", None)
+            if test and column in (("name",), ("size",)):
+                self.tests[column[0]].append(lambda x, test=test, v=f.value: x is not None and test(x, v))
+                continue
+            if isinstance(f, ds.StringStartsWith) and column == ("path",):
+                self.below.append(f.value)
+            yield f
+
+    def _wanted(self, column: str, value: object) -> bool:
+        return all(test(value) for test in self.tests[column])
+
     def _enters(self, entry: os.DirEntry) -> bool:
-        return not entry.name.startswith(".") and entry.name not in self.excluded and (self.follow or not entry.is_symlink())
+        near = all(entry.path.startswith(p) or p.startswith(entry.path + "/") for p in self.below)
+        return near and not entry.name.startswith(".") and entry.name not in self.excluded and (self.follow or not entry.is_symlink())
 
     def partitions(self) -> list[TreePart]:
-        """A task for the files at each root, and one for each folder right below it."""
-        parts = []
-        for root in self.roots:
-            parts.append(TreePart(root, False))
-            with os.scandir(root) as found:
-                parts += [TreePart(e.path, True) for e in sorted(found, key=lambda e: e.name) if e.is_dir() and self._enters(e)]
+        """The upper levels by names, until there are enough folders."""
+        todo, parts, seen = [(r, 0, k) for k, r in enumerate(self.roots)], [], set()
+        while todo:
+            folder, level, root = todo.pop(0)
+            real = (os.path.realpath(folder), root)  # overlapping roots give rows twice
+            if real in seen:
+                continue
+            seen.add(real)
+            try:
+                with os.scandir(folder) as found:
+                    entries = list(found)
+            except OSError:
+                parts.append(TreePart(folder, False))
+                continue
+            files = sum(not e.is_dir() for e in entries)
+            of = max(1, -(-files // SLICE))
+            parts += [TreePart(folder, False, k, of) for k in range(of)]
+            below = [e.path for e in sorted(entries, key=lambda e: e.name) if e.is_dir() and self._enters(e)]
+            if len(todo) + len(parts) + len(below) < PARTS or level == 0:
+                todo += [(p, level + 1, root) for p in below]
+            else:
+                parts += [TreePart(p, True) for p in below]
         return parts
 
+    def listed(self, folder: str) -> tuple[list[os.DirEntry], str | None]:
+        """The entries of a folder by name, or why it can't be read."""
+        try:
+            with os.scandir(folder) as found:
+                return sorted(found, key=lambda e: e.name), None
+        except OSError as e:
+            return [], f"unreadable folder: {e.strerror}"
+
     def read(self, part: TreePart) -> Iterator[tuple]:
         seen: set[str] = set()  # real folders above and beside, against cycles of links
         todo = [part.folder]
@@ -83,39 +144,50 @@ class TreeReader(DataSourceReader):
             if real in seen:
                 continue
             seen.add(real)
-            try:
-                with os.scandir(folder) as found:
-                    entries = sorted(found, key=lambda e: e.name)
-            except OSError as e:
-                if self.emit != "files":
-                    yield folder, os.path.basename(folder), None, False, None, f"unreadable folder: {e.strerror}"
-                continue
+            entries, reason = self.listed(folder)
+            if reason and self.shown(folder, os.path.basename(folder), None, reason):
+                yield folder, os.path.basename(folder), None, False, None, reason
             for e in entries:
                 if e.is_dir():
-                    if part.deep or folder != part.folder:
-                        todo += [e.path] if self._enters(e) else []
-                else:
-                    row = self._file(e)
-                    if row and (self.emit == "all" or (row[5] is None) == (self.emit == "files")):
+                    todo += [e.path] if part.deep and self._enters(e) else []
+                elif part.of == 1 or zlib.crc32(e.name.encode("utf-8", "surrogateescape")) % part.of == part.k:
+                    row = self.row(e.path, e.name, e.is_symlink())
+                    if row:
                         yield row
 
-    def _file(self, e: os.DirEntry) -> tuple | None:
-        link = e.is_symlink()
+    def shown(self, path: str, name: str, size: int | None, skipped: str | None) -> bool:
+        """Whether a row is asked for."""
+        return (self.emit == "all" or (skipped is None) == (self.emit == "files")) and self._wanted("name", name) and self._wanted("size", size)
+
+    def head(self, path: str, name: str, link: bool) -> tuple[int | None, str | None] | None:
+        """(size, why it is skipped) without its content; nothing for what is no Python file."""
         if link and not self.follow:
-            return e.path, e.name, None, link, None, "symlink"
-        if not is_python_name(e.name):
+            return None, "symlink"
+        if not is_python_name(name):
             return None
         try:
-            size = e.stat().st_size
-            if size > self.limit:
-                return e.path, e.name, size, link, None, "size"
-            with open(e.path, "rb") as f:
-                content = f.read()
-        except OSError as error:
-            return e.path, e.name, None, link, None, f"unreadable: {error.strerror}"
-        if not decodes(content, self.utf8):
-            return e.path, e.name, size, link, None, "encoding"
-        return e.path, e.name, size, link, content, None
+            size = os.stat(path).st_size
+        except OSError as e:
+            return None, f"unreadable: {e.strerror}"
+        return size, "size" if size > self.limit else None
+
+    def row(self, path: str, name: str, link: bool) -> tuple | None:
+        """A row of FILES, if it is asked for."""
+        head = self.head(path, name, link) if self._wanted("name", name) else None
+        if head is None or not self._wanted("size", head[0]):
+            return None
+        size, skipped = head
+        content = None
+        if skipped is None:
+            try:
+                with open(path, "rb") as f:
+                    content = f.read()
+            except OSError as e:
+                size, skipped = None, f"unreadable: {e.strerror}"
+            else:
+                if not decodes(content, self.utf8):
+                    content, skipped = None, "encoding"
+        return (path, name, size, link, content, skipped) if self.shown(path, name, size, skipped) else None
 
 
 class PyTree(DataSource):
@@ -131,6 +203,70 @@ class PyTree(DataSource):
 
 
 def read_tree(spark: SparkSession, *roots: str, **options: str) -> DataFrame:
-    """The Python files below ``roots``; options as above."""
+    """The Python files below ``roots``; options as above. Turns on Spark's push-down of filters to Python sources."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PyTree)
     return spark.read.format("pytree").option("paths", "\n".join(roots)).options(**options).load()
+
+
+def crawl(spark: SparkSession, *roots: str, part_bytes: int = PART_BYTES, **options: str) -> DataFrame:
+    """The same rows as ``read_tree``, planned by Spark jobs: each level of folders is listed in tasks and written, then
+    contents are read in parts of about ``part_bytes``, dealt by a hash of the path. The driver sees numbers only."""
+    tree = TreeReader({"paths": "\n".join(roots), **options})
+    cores = spark.sparkContext.defaultParallelism
+    schema = "root int, path string, name string, real string, folder boolean, size long, is_symlink boolean, skipped string"
+    columns = [x.split()[0] for x in schema.split(", ")]
+
+    def level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for root, folder in zip(b["root"], b["path"]):
+                entries, reason = tree.listed(folder)
+                rows = [(root, folder, os.path.basename(folder), None, False, None, False, reason)] if reason else []
+                for e in entries:
+                    if e.is_dir():
+                        if tree._enters(e):
+                            rows.append((root, e.path, e.name, os.path.realpath(e.path), True, None, False, None))
+                    else:
+                        head = tree.head(e.path, e.name, e.is_symlink())
+                        if head:
+                            rows.append((root, e.path, e.name, None, False, head[0], e.is_symlink(), head[1]))
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns).astype({"size": "Int64"})
+
+    now = spark.createDataFrame([(k, r, r) for k, r in enumerate(tree.roots)], "root int, path string, real string")
+    known, found, n = now.select("root", "real"), [], len(tree.roots)
+    while n:
+        listed = written(now.repartition(min(n, 4 * cores), "path").mapInPandas(level, schema), "listing")
+        found.append(listed.where("NOT folder"))
+        now = listed.where("folder").select("root", "path", "real")
+        if tree.follow:  # a real folder is entered once below a root
+            now = now.groupBy("root", "real").agg(F.min("path").alias("path")).join(known, ["root", "real"], "left_anti")
+            now = written(now.select("root", "path", "real"), "listing")
+            known = known.unionByName(now.select("root", "real"))
+        n = now.count()
+    files = found[0]
+    for f in found[1:]:
+        files = files.unionByName(f)
+    # What is skipped needs no reading; the others are read where their bytes are dealt to.
+    told = files.where("skipped IS NOT NULL").select("path", "name", "size", "is_symlink", F.lit(None).cast("binary").alias("content"), "skipped")
+    good = files.where("skipped IS NULL").select("path", "name", "is_symlink", "size")
+    count, total = good.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    parts = max(1, min(count, max(cores, -(-total // part_bytes))))
+
+    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "name", "size", "is_symlink", "content", "skipped"]
+        for b in batches:
+            rows, held = [], 0
+            for path, name, link in zip(b["path"], b["name"], b["is_symlink"]):
+                row = tree.row(path, name, link)
+                if row:
+                    rows.append(row)
+                    held += row[2] or 0
+                if held >= 4 << 20:
+                    yield pd.DataFrame(rows, columns=names).astype({"size": "Int64"})
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names).astype({"size": "Int64"})
+
+    read = good.repartition(parts, "path").mapInPandas(contents, FILES)
+    return read if tree.emit == "files" else read.unionByName(told)

@@ -67,3 +67,73 @@ def test_order_of_any_key(spark, key):
     df = spark.range(0, 3000).selectExpr(f"{key} AS seq")
     got = files.in_batches(df, "seq", 100).orderBy("seq").collect()
     assert [r.batch_id for r in got] == [k // 100 for k in range(3000)]
+
+
+def _rows(df):
+    return sorted((r.path, r.name, r.size, r.is_symlink, bytes(r.content) if r.content is not None else None, r.skipped) for r in df.collect())
+
+
+@pytest.mark.parametrize("follow", ["false", "true"])
+def test_levels_find_what_the_source_finds(spark, tmp_path, follow):
+    """Deep and flat folders, pruned ones, links in a circle, files of every skipped kind."""
+    from corpusloom.sources.pytree import crawl, read_tree
+
+    for p, content in {"a.py": b"1", "x/b.py": b"22", "x/y/z/c.PY": b"", "x/.h/d.py": b"3", "build/e.py": b"4", "x/bad.py": b"\xff", "x/big.py": b"#" * 3000, "x/no.txt": b"5"}.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(content)
+    for k in range(30):
+        (tmp_path / "x" / f"f{k}.py").write_bytes(b"x" * k)
+    (tmp_path / "x" / "y" / "back").symlink_to(tmp_path / "x")
+    (tmp_path / "link.py").symlink_to(tmp_path / "a.py")
+    options = {"followSymlinks": follow, "emit": "all", "maxFileSizeMb": "0.002"}
+    got, want = _rows(crawl(spark, str(tmp_path), part_bytes=100, **options)), _rows(read_tree(spark, str(tmp_path), **options))
+    if follow == "true":  # which of two names of a folder is entered may differ
+        real = lambda rows: sorted({(os.path.realpath(r[0]), *r[2:]) for r in rows if not r[3]})
+        assert real(got) == real(want)
+    else:
+        assert got == want and {r[5] for r in got} == {None, "encoding", "size", "symlink"}
+
+
+def test_a_flat_folder_is_many_tasks(spark, tmp_path, monkeypatch):
+    from corpusloom.sources import pytree
+
+    for k in range(400):
+        (tmp_path / f"f{k}.py").write_bytes(b"x")
+    monkeypatch.setattr(pytree, "SLICE", 50)
+    reader = pytree.TreeReader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    each = [sorted(r[1] for r in reader.read(p)) for p in parts]
+    assert len(parts) == 8 and all(each) and sorted(sum(each, [])) == sorted(f"f{k}.py" for k in range(400))
+    assert pytree.crawl(spark, str(tmp_path), part_bytes=50).select(F.spark_partition_id()).distinct().count() >= 4
+
+
+def test_filters_reach_the_walk(spark, tmp_path, monkeypatch):
+    """What a filter turns down is never opened, folders beside a path are never entered, and rows are the same."""
+    from pyspark.sql import datasource as ds
+
+    from corpusloom.sources import pytree
+
+    for p in ("a/x.py", "a/long.py", "b/x.py", "b/c/y.py"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(b"#" * (100 if "long" in p else 1))
+    reader = pytree.TreeReader({"path": str(tmp_path)})
+    kept = list(reader.pushFilters([ds.LessThan(("size",), 50), ds.EqualTo(("name",), "x.py"), ds.StringStartsWith(("path",), f"{tmp_path}/a"), ds.IsNotNull(("size",))]))
+    assert [type(f) for f in kept] == [ds.StringStartsWith, ds.IsNotNull]
+    opened, entered, scan = [], [], os.scandir
+    monkeypatch.setattr("builtins.open", lambda p, *a, _open=open: (opened.append(os.path.relpath(p, tmp_path)), _open(p, *a))[1])
+    monkeypatch.setattr(os, "scandir", lambda p: (entered.append(os.path.relpath(p, tmp_path)), scan(p))[1])
+    rows = [r[0] for p in reader.partitions() for r in reader.read(p)]
+    monkeypatch.undo()
+    assert rows == [f"{tmp_path}/a/x.py"] and opened == ["a/x.py"] and set(entered) == {".", "a"}
+    tree = pytree.read_tree(spark, str(tmp_path))
+    where = f"size < 50 AND name LIKE 'x%' AND path LIKE '{tmp_path}/b%'"
+    assert [r.path for r in tree.where(where).select("path").collect()] == [f"{tmp_path}/b/x.py"]
+    plan = tree.where("size < 50")._jdf.queryExecution().executedPlan().toString()
+    assert "Filter (size" not in plan
+
+
+def test_trees_need_a_mounted_folder(spark):
+    from corpusloom.operators.files import write_tree
+
+    with pytest.raises(ValueError, match="no mounted folder"):
+        write_tree(spark.createDataFrame([("a.py", b"")], "path string, content binary"), "hdfs://host/shared/x")

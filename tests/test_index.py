@@ -77,11 +77,6 @@ def test_stream(spark, tmp_path):
     assert sorted((r.element_id, r.seq) for r in got) == [("a.f", 0), ("a.g", 1)]
 
 
-def test_last_used(spark):
-    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("c", 4)], "k string, s long")
-    assert [r.k for r in index.last_used(df, "k", "s", 2).collect()] == ["c", "a"]
-
-
 def test_prefix_names_model(spark):
     """Names of one stem and of many, against a plain walk in name order."""
     rng = random.Random(9)
@@ -110,3 +105,61 @@ def test_build_index(spark, tmp_path):
     assert [r.error_type for r in errors.collect()] == ["MultipleFallbackFailure"]
     held = {r.module_path: r for r in index.modules(elements).collect()}
     assert held["pkg"].is_package and held["pkg"].classes == ["K"] and held["m"].imports == ["os"] and held["m"].functions == ["run"]
+
+
+def test_search_many_is_the_scan_for_each(spark):
+    import random
+
+    rng = random.Random(4)
+    made = lambda: "".join(rng.choices("abcé_1", k=rng.randint(1, 7)))
+    rows = [(f"e{k}", [made() for _ in range(rng.randint(0, 12))] + ["common"] * 2) for k in range(80)] + [("none", None), ("empty", [])]
+    table = spark.createDataFrame(rows, "element_id string, tokens array<string>")
+    queries = [(k, " ".join(made() for _ in range(rng.randint(0, 6)))) for k in range(25)] + [(90, None), (91, "ab"), (92, "Common comm MMO zzzz"), (93, "common, common!")]
+    got = search.search_many(index.postings(table, "tokens"), spark.createDataFrame(queries, "q long, text string"), "q", "text", 7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    found = {}
+    for r in got.orderBy("q", "rank").collect():
+        found.setdefault(r.q, []).append((r.element_id, r.score))
+    for q, text in queries:
+        want = search.search_postings(index.postings(table, "tokens"), text or "", 7).collect() if q % 5 == 0 or q > 80 else None
+        if want is not None:
+            assert found.get(q, []) == [(r.element_id, r.score) for r in want], text
+
+
+def test_prefix_many_is_every_prefix(spark):
+    import random
+
+    rng = random.Random(5)
+    made = lambda n: "".join(rng.choices("abé漢\U0001f600z", k=rng.randint(0, n)))
+    names = [(made(6), f"i{k % 50}") for k in range(300)] + [(None, "x")]
+    starts = [made(3) for _ in range(40)] + ["", "abc" * 9, "퟿", None]
+    got = search.prefix_many(spark.createDataFrame(names, "name string, element_id string"), spark.createDataFrame([(s,) for s in starts], "prefix string"))
+    want = {(s, n, i) for s in starts if s is not None for n, i in names if n is not None and n.startswith(s)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_ancestors_and_cycles(spark):
+    import random
+
+    rng = random.Random(6)
+    edges = [(k, rng.randrange(k)) for k in range(1, 60)] + [(k, rng.randrange(k)) for k in range(1, 20)] + [(100 + k, 100 + k + 1) for k in range(70)] + [(201, 202), (202, 203), (203, 201), (204, 203), (5, None), (300, 300)]
+    got = {(r.node, r.ancestor): r.depth for r in index.ancestors(spark.createDataFrame(edges, "node long, parent long")).collect()}
+    up, want = {}, {}
+    for a, b in edges:
+        if b is not None:
+            up.setdefault(a, set()).add(b)
+    for a in up:
+        level, depth, seen = up[a], 1, {}
+        while level - seen.keys():
+            seen |= {b: depth for b in level if b not in seen}
+            level, depth = {c for b in level for c in up.get(b, ()) if c not in seen}, depth + 1
+        want |= {(a, b): d for b, d in seen.items()}
+    assert got == want and {a for a, b in got if a == b} == {201, 202, 203, 300}
+    assert index.ancestors(spark.createDataFrame([], "node long, parent long")).count() == 0
+
+
+def test_descendants(spark):
+    rows = [(1, "m.A", None), (2, "m.B", "m.A"), (3, "m.f", "m.B"), (4, "m.g", "m.X"), (5, "m.f", "m.B")]
+    e = spark.createDataFrame(rows, "seq long, element_id string, parent_id string")
+    assert {(r.element_id, r.seq, r.depth) for r in index.descendants(e, "m.A").collect()} == {("m.B", 2, 1), ("m.f", 3, 2)}

@@ -41,12 +41,37 @@ def even_indents(lines: Column) -> Column:
     """Lines with indents of a multiple of four. Units are the divisors of each indent from the second line on
     that go into it ten times at most; with more than one of them, the smallest is a level. Lines of white
     space only count for nothing and stay as they are."""
-    bare = lambda x: F.regexp_replace(x, r"^\s+", "")
-    width = lambda x: F.when(bare(x) != "", F.length(x) - F.length(bare(x))).otherwise(0)
-    own = F.filter(F.transform(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), width), lambda w: w > 0)
-    units = F.array_distinct(F.flatten(F.transform(own, lambda w: F.filter(F.sequence(F.lit(1), w), lambda j: (w % j == 0) & (w / j <= 10)))))
-    level = lambda x: F.floor(width(x) / F.array_min(units)).cast("int")
-    return F.when(F.size(units) > 1, F.transform(lines, lambda x: F.when(width(x) > 0, F.concat(F.repeat(F.lit(TAB), level(x)), bare(x))).otherwise(x))).otherwise(lines)
+    units = indent_units(lines)
+    level = lambda x: F.floor(_width(x) / F.array_min(units)).cast("int")
+    return F.when(F.size(units) > 1, F.transform(lines, lambda x: F.when(_width(x) > 0, F.concat(F.repeat(F.lit(TAB), level(x)), _bare(x))).otherwise(x))).otherwise(lines)
+
+
+def _bare(line: Column) -> Column:
+    return F.regexp_replace(line, r"^\s+", "")
+
+
+def _width(line: Column) -> Column:
+    return F.when(_bare(line) != "", F.length(line) - F.length(_bare(line))).otherwise(0)
+
+
+def indent_units(lines: Column) -> Column:
+    own = F.array_distinct(F.filter(F.transform(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), _width), lambda w: w > 0))
+    return F.array_distinct(F.flatten(F.transform(own, lambda w: F.filter(F.sequence(F.lit(1), w), lambda j: (w % j == 0) & (w / j <= 10)))))
+
+
+def sanitizing(code: Column) -> Column:
+    """What sanitising does to a source: struct of ``bom_removed``, ``tabs_fixed``, ``control_chars_removed``,
+    ``indentation_fixed``, ``sanitized_lines`` (lines that differ in the end) and ``details`` (a line for each)."""
+    whole = bound(F.split(without_bom(code), "\n"), lambda lines: bound(F.transform(lines, lambda x: uncontrolled(untabbed(x))), lambda clean: bound(
+        F.struct(lines.alias("lines"), clean.alias("clean"), even_indents(clean).alias("even"), F.size(indent_units(clean)).alias("units")), lambda s: F.struct(
+            code.startswith("\ufeff").alias("bom"), F.size(F.filter(s["lines"], mixes_tabs)).alias("tabs"), F.size(F.filter(s["lines"], lambda x: x.rlike(CONTROL))).alias("control"),
+            F.when(s["units"] > 1, F.size(F.filter(F.arrays_zip(s["clean"], s["even"]), lambda z: z["clean"] != z["even"]))).otherwise(0).alias("indents"),
+            F.size(F.filter(F.arrays_zip(s["lines"], s["even"]), lambda z: z["lines"] != z["even"])).alias("changed")))))
+    told = lambda n, what: F.when(n > 0, F.concat(n.cast("string"), F.lit(f" lines: {what}")))
+    return bound(whole, lambda s: F.struct(
+        s["bom"].alias("bom_removed"), (s["tabs"] > 0).alias("tabs_fixed"), (s["control"] > 0).alias("control_chars_removed"), (s["indents"] > 0).alias("indentation_fixed"), s["changed"].alias("sanitized_lines"),
+        F.array_compact(F.array(F.when(s["bom"], "byte order mark"), told(s["tabs"], "tabs"), told(s["control"], "control characters"), told(s["indents"], "indents"))).alias("details"),
+    ))
 
 
 def snippet(code: Column, line: Column) -> Column:
@@ -157,6 +182,16 @@ def search_tokens() -> Column:
     )
 
 
+def flat_function_json() -> Column:
+    """A function or method as JSON with its parameters at the top; what kind of method it is appears in methods only."""
+    c = F.col
+    common = [c("name"), c("element_type").alias("type"), c("file_path"), F.array("line_start", "line_end").alias("line_range"), c("docstring"), c("decorators"), c("module_path")]
+    own = [F.transform("signature.parameters", lambda p: p["name"]).alias("parameters"), c("signature.return_type").alias("return_type"), c("signature.is_async").alias("is_async")]
+    of_method = [(c("element_kind") == k).alias(f"is_{name}") for k, name in (("STATICMETHOD", "static"), ("CLASSMETHOD", "class_method"), ("PROPERTY", "property"))]
+    written = lambda *columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    return F.when(c("element_type") == "METHOD", written(*common, *own, *of_method)).when(c("element_type") == "FUNCTION", written(*common, *own))
+
+
 def element_json(links: bool = False) -> Column:
     """A row of ``elements`` as JSON, with the keys of its type. Nulls stay, but ``parent`` appears only if set. Calls and
     overrides are those of ``links.with_links`` if ``links``, and empty otherwise."""

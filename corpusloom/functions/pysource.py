@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 from ..model import ALL_FAILED, STUB, STUB_CODE, STUB_COLUMN, STUB_LINE, TOO_DEEP, UNDECODABLE, UNEXPECTED
+from .encodings import detect
 
 RECURSION_LIMIT = 3000
 INDENT = 4
@@ -182,7 +183,8 @@ def parse_safely(path: str, data: bytes) -> dict:
 
 
 def encodings(data: bytes) -> list[str]:
-    """Encodings worth trying for bytes that aren't UTF-8: by byte order mark, by coding comment, then western ones."""
+    """Encodings worth trying for bytes that aren't UTF-8: by byte order mark, by coding comment, by their characters, then
+    western ones."""
     marks = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
     found = [name for mark, name in marks if data.startswith(mark)][:1]
     cookie = re.match(rb"(?:[^\n]*\n)?[ \t\f]*#[^\n]*?coding[:=][ \t]*([-\w.]+)", data)
@@ -191,7 +193,7 @@ def encodings(data: bytes) -> list[str]:
             found.append(codecs.lookup(cookie[1].decode()).name)
         except LookupError:
             pass
-    return list(dict.fromkeys([*found, "cp1252", "latin-1"]))
+    return list(dict.fromkeys([*found, detect(data)[0], "cp1252", "latin-1"]))
 
 
 def sanitize(code: str) -> tuple[str, int, bool]:

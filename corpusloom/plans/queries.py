@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import encodings
 from ..model import SIGNATURE
 from ..operators import files as files_
 from ..operators import index, links, ordered, parse, search, store
@@ -622,3 +623,44 @@ SELECT node, ancestor, CAST(depth AS BIGINT) AS depth FROM u""")
 def q69(spark, sf_dir):
     edges = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.floor(F.col("p_partkey") / 2).alias("parent")).where("parent > 0")
     return index.ancestors(edges)
+
+
+#: Sentences in the scripts that are told apart, as a file in an old encoding holds them.
+_SENTENCES = {
+    "cp1251": "# Этот модуль читает файл и возвращает список строк, которые потом обрабатываются в другом месте программы\n", "koi8-r": "# Если файл не найден, функция вернёт пустой список и запишет сообщение об ошибке в журнал\n",
+    "shift_jis": "# この関数はファイルを読んで、行のリストを返します。エラーがあればログに書いてください。\n", "gb18030": "# 这个函数读取文件，并且返回一个列表。如果没有找到文件，就会在日志里写一条消息，然后返回空的列表。\n",
+    "big5": "# 這個函數會讀取檔案，然後回傳一個列表。如果沒有找到檔案，就在日誌裡寫一條消息，並且回傳空的列表。\n", "euc-kr": "# 이 함수는 파일을 읽어서 줄의 목록을 돌려준다. 파일이 없으면 기록에 오류를 쓰고 빈 목록을 돌려준다.\n", "cp1252": "# Cette fonction lit le fichier d'entrée, crée une liste et la renvoie à l'appelant déjà triée\n",
+}
+
+
+@query("q70_encodings", f"SELECT concat('src/m', CAST(p_partkey AS VARCHAR), '.py') AS path, {[*_SENTENCES, 'utf-8']}[CAST(p_partkey % 8 AS INTEGER) + 1] AS encoding, TRUE AS sure FROM part")
+def q70(spark, sf_dir):
+    """The sources of parts, each with a comment in one of seven old encodings or none."""
+    data = F.array(*(F.lit(text.encode(name)) for name, text in _SENTENCES.items()), F.lit("# ascii\n".encode()))
+    files = sources(spark, sf_dir).select("path", F.concat(F.get(data, (F.col("p_partkey") % 8).cast("int")), "content").alias("content"))
+    return encodings.detect_encodings(files).select("path", "encoding", (F.col("confidence") > 0.5).alias("sure"))
+
+
+@query("q71_sanitizing", """SELECT p_partkey, k % 2 = 0 AS bom_removed, k % 3 = 0 AS tabs_fixed, k % 5 = 0 AS control_chars_removed, k % 7 = 0 AS indentation_fixed,
+  CAST((k % 3 = 0)::INTEGER + (k % 5 = 0)::INTEGER + CASE WHEN k % 7 = 0 THEN 2 ELSE 0 END AS INTEGER) AS sanitized_lines, concat_ws('; ', CASE WHEN k % 2 = 0 THEN 'byte order mark' END, CASE WHEN k % 3 = 0 THEN '1 lines: tabs' END, CASE WHEN k % 5 = 0 THEN '1 lines: control characters' END, CASE WHEN k % 7 = 0 THEN '2 lines: indents' END) AS details FROM (SELECT p_partkey, p_partkey AS k FROM part) t""")
+def q71(spark, sf_dir):
+    k = F.col("p_partkey")
+    some = lambda n, text: F.when(k % n == 0, text).otherwise("")
+    code = F.concat(some(2, "\ufeff"), F.lit("# "), "p_name", F.lit("\n"), some(3, "x = 1\t+ 2\n"), some(5, "y\x07 = 3\n"), some(7, "if x:\n  a\n  b\n"))
+    return read(spark, sf_dir, "part").select("p_partkey", C.sanitizing(code).alias("s")).select("p_partkey", "s.bom_removed", "s.tabs_fixed", "s.control_chars_removed", "s.indentation_fixed", "s.sanitized_lines", F.array_join("s.details", "; ").alias("details"))
+
+
+@query("q72_flat_json", """WITH {S} SELECT concat(module, '.', word, '_top') AS element_id, '["a","b"]' AS parameters, CAST(NULL AS VARCHAR) AS return_type, 'false' AS is_async, CAST(NULL AS VARCHAR) AS is_static FROM S
+  UNION ALL SELECT concat(module, '.cond'), '[]', NULL, 'false', NULL FROM S UNION ALL SELECT concat(module, '.run'), '["self","rest"]', NULL, 'true', 'false' FROM S UNION ALL SELECT concat(module, '.make'), '["x"]', 'str', 'false', 'true' FROM S""")
+def q72(spark, sf_dir):
+    e = parse.elements(parsed(sources(spark, sf_dir))).where("element_type IN ('FUNCTION', 'METHOD')").select("element_id", C.flat_function_json().alias("j"))
+    return e.select("element_id", *(F.get_json_object("j", f"$.{x}").alias(x) for x in ("parameters", "return_type", "is_async", "is_static")))
+
+
+@query("q73_deep_sources", "SELECT concat('src/m', CAST(p_partkey AS VARCHAR), '.py') AS file, CASE WHEN p_partkey % 3 = 0 THEN 'RecursionError' ELSE 'MemoryError' END AS error_type, p_partkey % 3 = 1 AS traced FROM part WHERE p_partkey % 3 < 2")
+def q73(spark, sf_dir):
+    """Sources that are nested deeper than the limit, or than Python's parser can go, among ordinary ones."""
+    k = F.col("p_partkey")
+    deep = F.when(k % 3 == 0, F.concat(F.lit("x"), F.repeat(F.lit(".a"), 20_000))).when(k % 3 == 1, F.concat(F.repeat(F.lit("-"), 20_000), F.lit("1"))).otherwise("x = 1\n")
+    files = sources(spark, sf_dir).select("path", deep.cast("binary").alias("content"))
+    return parse.parse_errors(parsed(files)).select("file", "error_type", F.col("traceback").isNotNull().alias("traced"))

@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.index import first_wins
 
+BUCKETS = 256
 
-def add_new(batch: DataFrame, folder: str) -> None:
-    """Append the first row of every id of ``batch`` that the index at ``folder`` doesn't hold yet."""
+
+def bucketed(elements: DataFrame) -> DataFrame:
+    """``elements`` with the bucket that an id belongs to."""
+    return elements.withColumn("bucket", F.pmod(F.xxhash64("element_id"), F.lit(BUCKETS)).cast("int"))
+
+
+def known_ids(batch: DataFrame, folder: str) -> DataFrame | None:
+    """(element_id) that the index at ``folder`` holds in the buckets of ``batch``, which are the only ones read."""
     spark = batch.sparkSession
-    fresh = first_wins(batch)
     try:
-        known = spark.read.schema(batch.schema).parquet(folder).select("element_id")
-        fresh = fresh.join(known, "element_id", "left_anti").select(*batch.columns)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        held = spark.read.schema(StructType([*batch.schema.fields, StructField("bucket", IntegerType())])).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    fresh.write.mode("append").parquet(folder)
+        return None
+    buckets = [r.bucket for r in bucketed(batch).select("bucket").distinct().collect()]  # at most BUCKETS numbers
+    return held.where(F.col("bucket").isin(buckets)).select("element_id")
+
+
+def add_new(batch: DataFrame, folder: str) -> None:
+    """Append the first row of every id of ``batch`` that the index at ``folder`` doesn't hold yet. Files are Parquet in a
+    folder for each bucket, with a Bloom filter over the ids, so that a look-up of an id opens few of them."""
+    fresh = first_wins(batch)
+    known = known_ids(batch, folder)
+    if known is not None:
+        fresh = fresh.join(known, "element_id", "left_anti").select(*batch.columns)
+    rows = bucketed(fresh).repartition("bucket").sortWithinPartitions("bucket", "element_id")
+    rows.write.mode("append").option("parquet.bloom.filter.enabled#element_id", "true").option("parquet.bloom.filter.adaptive.enabled", "true").partitionBy("bucket").parquet(folder)
 
 
 def ingest(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:

@@ -4,6 +4,7 @@ import re
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusloom.operators import index, search, store
 from corpusloom.streaming.ingest import ingest
@@ -163,3 +164,41 @@ def test_descendants(spark):
     rows = [(1, "m.A", None), (2, "m.B", "m.A"), (3, "m.f", "m.B"), (4, "m.g", "m.X"), (5, "m.f", "m.B")]
     e = spark.createDataFrame(rows, "seq long, element_id string, parent_id string")
     assert {(r.element_id, r.seq, r.depth) for r in index.descendants(e, "m.A").collect()} == {("m.B", 2, 1), ("m.f", 3, 2)}
+
+
+def test_a_failed_save_leaves_the_old_index(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "i")
+    made_ = lambda *ids: spark.createDataFrame([(i, i, "f.py") for i in ids], "element_id string, name string, file_path string")
+    with pytest.raises(ValueError, match="no index"):
+        store.load(spark, folder)
+    assert store.save(made_("a"), folder) == 1
+    with pytest.raises(ValueError, match="there is an index"):
+        store.save(made_("b"), folder)
+    with monkeypatch.context() as m:
+        m.setattr(store, "stats", lambda e: 1 / 0)  # killed when half of it is written
+        with pytest.raises(ZeroDivisionError):
+            store.save(made_("b"), folder, "overwrite")
+    ids = lambda **v: sorted(r.element_id for r in store.load(spark, folder, **v).collect())
+    assert ids() == ["a"] and store.load(spark, folder, "stats").first().total_elements == 1
+    assert store.save(made_("c", "d"), folder, "overwrite") == 2
+    assert ids() == ["c", "d"] and ids(version=1) == ["a"] and store.load(spark, folder, "stats").first().total_elements == 2
+    with pytest.raises(ValueError, match="version 7"):
+        store.load(spark, folder, version=7)
+
+
+def test_ingest_reads_the_buckets_of_a_batch_only(spark, tmp_path):
+    from corpusloom.streaming.ingest import BUCKETS, add_new, known_ids
+
+    folder = str(tmp_path / "out")
+    many = spark.range(3000).selectExpr("id AS seq", "concat('m.f', id) AS element_id")
+    add_new(many, folder)
+    few = many.where("seq IN (5, 17)").unionByName(spark.createDataFrame([(9000, "m.new")], many.schema))
+    known = known_ids(few, folder)
+    assert known.count() < 3000 * 4 // BUCKETS * 2
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan
+    files = spark.read.parquet(folder).select(F.input_file_name().alias("f")).distinct().count()
+    assert files == BUCKETS and known.select(F.input_file_name().alias("f")).distinct().count() <= 3
+    add_new(few, folder)
+    got = spark.read.parquet(folder)
+    assert got.count() == 3001 and got.select("element_id").distinct().count() == 3001

@@ -79,11 +79,12 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """(digest, license) of the known texts, as canonical as what is looked up. Its size is that of ``known``."""
+    """(digest, license) of the known texts, as canonical as what is looked up; of licences with equal texts the first by
+    name. Its size is that of ``known``."""
     rows = [(name, t) for name, texts in (known or KNOWN).items() for t in texts]
     table = spark.createDataFrame(rows, "license string, text string")
     whole = canonical(F.array_join(canonical_lines(F.col("text")), " "))
-    return table.select(digest(whole).alias("digest"), "license").dropDuplicates(["digest"])
+    return table.select(digest(whole).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def find_licenses(docs: DataFrame, known: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -91,7 +92,8 @@ def find_licenses(docs: DataFrame, known: dict[str, tuple[str, ...]] | None = No
     or null), ``line_licenses`` (sorted, distinct) and ``n_license_lines`` to ``docs``.
 
     Null and empty texts have the digest of the empty text and no licence. Repeated rows give equal
-    values; an empty table gives no rows; columns of ``docs`` with those names are replaced.
+    values; an empty table gives no rows; columns of ``docs`` with those names are replaced. Texts of any length are
+    read whole, and of licences with one text the first by name is told.
     """
     table = known_digests(docs.sparkSession, known)
     docs = docs.drop("digest", "license", "line_licenses", "n_license_lines")

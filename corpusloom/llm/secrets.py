@@ -136,9 +136,10 @@ def markov_ratios(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
         most = hash_below(hashes.where(mine), "_r", sample)
         chosen = base_spans(texts if most is None else texts.where(F.col("_r") <= most))
         words = F.regexp_extract_all("_text", F.lit(RUN), F.lit(0))
-        # By a value, not a filter: that would be pushed down with a copy of all its expressions.
-        found = chosen.select(F.when(has == bool(label), F.array_distinct(values if label else F.concat(words, F.transform(words, F.upper)))).alias("v"))  # any identifier may stand in capitals
-        strings[label] = cut(found.select(F.explode("v").alias("s")).distinct())
+        # By a value, not a filter, and with equal texts made one before they are exploded: what either asks of a text would
+        # be pushed down with a copy of all its expressions.
+        found = chosen.select("_r", F.when(has == bool(label), F.array_distinct(values if label else F.concat(words, F.transform(words, F.upper)))).alias("v"))  # any identifier may stand in capitals
+        strings[label] = cut(found.dropDuplicates(["_r"]).select(F.explode("v").alias("s")).distinct())
 
     def counted(rows: DataFrame) -> dict[int, int]:
         return {r.p: r.n for r in rows.select(F.explode(F.array_distinct(_pairs(F.col("s")))).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -225,13 +226,14 @@ def find_secrets(docs: DataFrame, ratios: list[float] | None = None, sample: int
     df = df.withColumn("_base", F.array_sort(F.transform(F.concat("assign", "access", "hex"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))))
     df = replaced(df, "_open", "_text", "_base", "repeat(' ', greatest(x.end - greatest(x.start, past), 0))")
     table = _literal(ratios)
-    # Every run is scored once; places are looked for only in texts with a stretch.
-    df = df.withColumn("_parts", F.transform(F.regexp_extract_all("_open", F.lit(RUN), F.lit(0)), lambda s: _stretches(s, table, least_total, least_each)))
-    df = _found(df, "_runs", RUN, F.exists("_parts", lambda p: F.size(p) > 0), "_open")
+    inside = lambda s: _stretches(s, table, least_total, least_each)
+    # Distinct runs tell whether a text has a stretch at all; only the few texts that do are looked at place by place.
+    words = F.array_distinct(F.regexp_extract_all("_open", F.lit(RUN), F.lit(0)))
+    df = _found(df, "_runs", RUN, F.exists(words, lambda s: F.size(inside(s)) > 0), "_open")
     own = lambda x: lambda y: F.struct((x["start"] + y["start"]).alias("start"), (x["start"] + y["end"]).alias("end"), F.substring(x["value"], y["start"] + 1, y["end"] - y["start"]).alias("value"))
-    df = df.withColumn("markov", F.flatten(F.when(F.size("_runs") > 0, F.zip_with("_runs", "_parts", lambda x, p: F.transform(p, own(x)))).otherwise(F.array())))
+    df = df.withColumn("markov", F.flatten(F.transform("_runs", lambda x: F.transform(inside(x["value"]), own(x)))))
     kind = lambda k: F.transform(KINDS[k], lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("rank"), x["end"].alias("end"), F.lit(KINDS[k]).alias("kind")))
-    return df.withColumn("spans", F.array_sort(F.concat(*map(kind, range(4))))).drop("_text", "_base", "_open", "_runs", "_parts")
+    return df.withColumn("spans", F.array_sort(F.concat(*map(kind, range(4))))).drop("_text", "_base", "_open", "_runs")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", ratios: list[float] | None = None) -> DataFrame:

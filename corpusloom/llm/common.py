@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import math
 import tempfile
 
@@ -60,6 +61,7 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 def give_back() -> None:
     """Return what a Python worker has freed to the system: workers are kept for later stages, whose JVM shares the limit."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library
         ctypes.CDLL(None).malloc_trim(0)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, gapless_rank
+from .common import cut, gapless_rank, give_back, small_batches
 
 SIZE = 2048
 CACHE = 1_000_000  # words and runs of characters that a Python worker knows; with more it starts anew
@@ -158,7 +158,9 @@ def cut_documents(docs: DataFrame, path: str, size: int = SIZE, end: int = 0, wi
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # before and after the vocabulary is read, which takes more for a moment than it keeps
         tool, stop = word_encoder(path), np.array([end], "<u4").tobytes()
+        give_back()
         for b in batches:
             lengths = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
             cuts = np.flatnonzero(np.diff(lengths // BLOCK, prepend=0)) + 1 if len(lengths) else []
@@ -179,7 +181,7 @@ def cut_documents(docs: DataFrame, path: str, size: int = SIZE, end: int = 0, wi
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return small_batches(docs).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 class Sums:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,8 +26,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import cut, gapless_rank, give_back, small_batches
 
 SIZE = 2048
-CACHE = 1_000_000  # words and runs of characters that a Python worker knows; with more it starts anew
-BLOCK = 6 << 20
+CACHE = 200_000  # words and runs of characters that a Python worker knows; with more it starts anew. Looking them up hashes all of them
+BLOCK = 2 << 20  # bytes of text that a Python worker encodes at a time; a longer text is a block of its own
 
 
 class _Known:
@@ -67,6 +68,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores; each thread would hold memory
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
@@ -158,7 +160,7 @@ def cut_documents(docs: DataFrame, path: str, size: int = SIZE, end: int = 0, wi
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()  # before and after the vocabulary is read, which takes more for a moment than it keeps
+        give_back()  # what earlier stages left in this worker, what reading the vocabulary took, and what each batch took
         tool, stop = word_encoder(path), np.array([end], "<u4").tobytes()
         give_back()
         for b in batches:
@@ -179,6 +181,7 @@ def cut_documents(docs: DataFrame, path: str, size: int = SIZE, end: int = 0, wi
                     [b.column(0).slice(lo, hi - lo).take(pa.array(of)).cast(id_type), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(code, pa.int64()), pa.array(data, pa.binary())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
                 )
+            give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return small_batches(docs).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")

@@ -26,8 +26,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import cut, gapless_rank, give_back, small_batches
 
 SIZE = 2048
-CACHE = 200_000  # words and runs of characters that a Python worker knows; with more it starts anew. Looking them up hashes all of them
-BLOCK = 2 << 20  # bytes of text that a Python worker encodes at a time; a longer text is a block of its own
+CACHE = 400_000  # words and runs of characters that a Python worker knows; with more it starts anew. Looking them up hashes all of them
+BLOCK = 4 << 20  # bytes of text that a Python worker encodes at a time; a longer text is a block of its own
 
 
 class _Known:

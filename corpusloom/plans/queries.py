@@ -664,3 +664,21 @@ def q73(spark, sf_dir):
     deep = F.when(k % 3 == 0, F.concat(F.lit("x"), F.repeat(F.lit(".a"), 20_000))).when(k % 3 == 1, F.concat(F.repeat(F.lit("-"), 20_000), F.lit("1"))).otherwise("x = 1\n")
     files = sources(spark, sf_dir).select("path", deep.cast("binary").alias("content"))
     return parse.parse_errors(parsed(files)).select("file", "error_type", F.col("traceback").isNotNull().alias("traced"))
+
+
+@query("q74_followed_tree", """SELECT concat('d', CAST(p_partkey % 7 AS VARCHAR), '/m', CAST(p_partkey AS VARCHAR), '.py') AS path, strlen(p_name) + 4 + v.batch AS size, v.batch AS batch
+  FROM part, (VALUES (0), (1)) v(batch) WHERE p_partkey % 7 <> 3 AND CASE WHEN v.batch = 0 THEN p_partkey % 3 < 2 ELSE p_partkey % 3 > 0 END""")
+def q74(spark, sf_dir):
+    """A tree written from parts in two goes, each followed by a run of one stream: the second go changes a third of the
+    files and brings another; what is unchanged doesn't come again."""
+    from ..sources.pytree import follow_tree
+
+    k, root, out, state = F.col("p_partkey"), mounted(scratch(spark)), scratch(spark), scratch(spark)
+    for go in (0, 1):
+        text = F.concat(F.lit("# "), "p_name", F.lit(" \n" + "#" * go)).cast("binary")
+        part = read(spark, sf_dir, "part").where(k % 3 < 2 if go == 0 else k % 3 > 0)
+        path = F.concat(F.when(k % 7 == 3, "build").otherwise(F.concat(F.lit("d"), k % 7)), F.lit("/m"), k, F.lit(".py"))
+        files_.write_tree(part.select(path.alias("path"), text.alias("content")), root)
+        stream = follow_tree(spark, root, settleSeconds="0").select(F.substring_index("path", "/", -2).alias("path"), "size", F.lit(go).alias("batch"))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)

@@ -10,12 +10,15 @@ walk, before a file is opened or a folder entered.
 The source plans its parts from names alone: the upper levels are listed until there are PARTS folders, and the files
 of a large folder are dealt to several parts by a hash of their names. ``crawl`` lists every level in tasks instead,
 and reads contents in parts of about equal bytes: for trees too large to be listed on the driver.
+
+As a stream (``follow_tree``) the source gives what changed since the batch before.
 """
 
 from __future__ import annotations
 
 import codecs
 import os
+import time
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -23,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..model import FILES
 from ..shared import written
@@ -52,10 +55,26 @@ def decodes(content: bytes, rule: str) -> bool:
 
 
 class TreePart(InputPartition):
-    """A folder and whether to go below it; or every ``of``-th of its own files by a hash of their names."""
+    """A folder and whether to go below it; or every ``of``-th of its own files by a hash of their names. With ``times``
+    only what changed after the first and up to the second of them, in nanoseconds."""
+
+    def __init__(self, folder: str, deep: bool, k: int = 0, of: int = 1, times: tuple[int, int] | None = None):
+        self.folder, self.deep, self.k, self.of, self.times = folder, deep, k, of, times
+
+    def holds(self, path: str) -> bool:
+        return self.times is None or self.times[0] < changed(path) <= self.times[1]
 
-    def __init__(self, folder: str, deep: bool, k: int = 0, of: int = 1):
-        self.folder, self.deep, self.k, self.of = folder, deep, k, of
+
+def changed(path: str) -> int:
+    """When a file or the link to it last changed, came or was renamed, in nanoseconds; 0 if it is gone. Modification
+    times won't do: a file moved or unpacked into a tree keeps an old one."""
+    times = [0]
+    for stat in (os.lstat, os.stat):  # a broken link has the first only
+        try:
+            times.append(stat(path).st_ctime_ns)
+        except OSError:
+            break
+    return max(times)
 
 
 #: What a filter on a column asks of a value that isn't null.
@@ -145,12 +164,12 @@ class TreeReader(DataSourceReader):
                 continue
             seen.add(real)
             entries, reason = self.listed(folder)
-            if reason and self.shown(folder, os.path.basename(folder), None, reason):
+            if reason and part.holds(folder) and self.shown(folder, os.path.basename(folder), None, reason):
                 yield folder, os.path.basename(folder), None, False, None, reason
             for e in entries:
                 if e.is_dir():
                     todo += [e.path] if part.deep and self._enters(e) else []
-                elif part.of == 1 or zlib.crc32(e.name.encode("utf-8", "surrogateescape")) % part.of == part.k:
+                elif (part.of == 1 or zlib.crc32(e.name.encode("utf-8", "surrogateescape")) % part.of == part.k) and part.holds(e.path):
                     row = self.row(e.path, e.name, e.is_symlink())
                     if row:
                         yield row
@@ -190,6 +209,38 @@ class TreeReader(DataSourceReader):
         return (path, name, size, link, content, skipped) if self.shown(path, name, size, skipped) else None
 
 
+class TreeStream(DataSourceStreamReader):
+    """The files of a tree as they come or change. An offset is a time, so it costs no listing and stays as small however
+    many files there are; a batch holds what changed after its start and up to its end, in the parts of ``TreeReader``.
+
+    A batch that is run again after a failure finds the same files, but for those that have changed since: they belong to a
+    later batch. Nothing is lost as long as a change shows in the listing ``settleSeconds`` (2) after its time at most,
+    clocks of file servers included. A clock set back gives files again. A folder moved into the tree as a whole keeps
+    the times of its files, which are then too old for the next batch; a deleted file is no event.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.tree = TreeReader(options)
+        self.settle = int(float(options.get("settleseconds", options.get("settleSeconds", "2"))) * 1e9)
+        self.until = 0
+
+    def initialOffset(self) -> dict:
+        return {"until": 0}
+
+    def latestOffset(self) -> dict:
+        self.until = max(self.until, time.time_ns() - self.settle)
+        return {"until": self.until}
+
+    def partitions(self, start: dict, end: dict) -> list[TreePart]:
+        return [TreePart(p.folder, p.deep, p.k, p.of, (start["until"], end["until"])) for p in self.tree.partitions()]
+
+    def read(self, part: TreePart) -> Iterator[tuple]:
+        return self.tree.read(part)
+
+    def commit(self, end: dict) -> None:
+        """Offsets are in the query's own log; nothing is kept here."""
+
+
 class PyTree(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -201,6 +252,9 @@ class PyTree(DataSource):
     def reader(self, schema) -> TreeReader:
         return TreeReader(dict(self.options))
 
+    def streamReader(self, schema) -> TreeStream:
+        return TreeStream(dict(self.options))
+
 
 def read_tree(spark: SparkSession, *roots: str, **options: str) -> DataFrame:
     """The Python files below ``roots``; options as above. Turns on Spark's push-down of filters to Python sources."""
@@ -209,6 +263,13 @@ def read_tree(spark: SparkSession, *roots: str, **options: str) -> DataFrame:
     return spark.read.format("pytree").option("paths", "\n".join(roots)).options(**options).load()
 
 
+def follow_tree(spark: SparkSession, *roots: str, **options: str) -> DataFrame:
+    """A stream of the Python files below ``roots``: all at first, then what comes or changes; options as above, and those
+    of ``TreeStream``. A file that changes comes again."""
+    spark.dataSource.register(PyTree)
+    return spark.readStream.format("pytree").option("paths", "\n".join(roots)).options(**options).load()
+
+
 def crawl(spark: SparkSession, *roots: str, part_bytes: int = PART_BYTES, **options: str) -> DataFrame:
     """The same rows as ``read_tree``, planned by Spark jobs: each level of folders is listed in tasks and written, then
     contents are read in parts of about ``part_bytes``, dealt by a hash of the path. The driver sees numbers only."""

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..operators import parse
 from ..operators.index import first_wins
+from ..shared import written
+from ..sources.pytree import follow_tree
 
 BUCKETS = 256
 
@@ -46,3 +49,15 @@ def ingest(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Feed the index at ``folder`` from a stream of elements. A batch that is repeated after a failure adds
     nothing twice, because its ids are known by then."""
     return stream.writeStream.foreachBatch(lambda batch, _: add_new(batch, folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_tree(spark: SparkSession, folder: str, checkpoint: str, *roots: str, **options: str) -> StreamingQuery:
+    """Feed the index at ``folder`` from the files that come below ``roots``; options of ``follow_tree``. Files are parsed
+    with fallbacks, once each. What a changed file adds is added; its known ids stay as they are."""
+
+    def add(batch: DataFrame, _: int) -> None:
+        parsed = written(parse.parse_files(batch, fallbacks=True), "parsed")
+        add_new(parse.elements(parsed).withColumn("seq", F.xxhash64("file_path", "line_start")), folder)
+
+    stream = follow_tree(spark, *roots, **options)
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

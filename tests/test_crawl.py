@@ -3,8 +3,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.model import FILES
 from corpusloom.operators import files
-from corpusloom.sources.pytree import read_tree
+from corpusloom.sources.pytree import follow_tree, read_tree
+from corpusloom.streaming.ingest import ingest_tree
 
 
 @pytest.fixture(scope="module")
@@ -137,3 +139,67 @@ def test_trees_need_a_mounted_folder(spark):
 
     with pytest.raises(ValueError, match="no mounted folder"):
         write_tree(spark.createDataFrame([("a.py", b"")], "path string, content binary"), "hdfs://host/shared/x")
+
+
+def followed(spark, root, folder, **options):
+    """One run of a stream whose rows are written to ``folder``: all rows so far, by path."""
+    stream = follow_tree(spark, str(root), **{"settleSeconds": "0", **options})
+    stream.writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "state")).trigger(availableNow=True).start().awaitTermination()
+    return names(spark.read.schema(FILES).parquet(str(folder / "out")), root)
+
+
+def test_stream_repeats_and_loses_nothing(spark, tmp_path):
+    root, old = tmp_path / "tree", tmp_path / "old.py"
+    (root / "pkg").mkdir(parents=True)
+    old.write_bytes(b"o = 1\n")
+    os.utime(old, (1, 1))  # a modification time long before all offsets
+    for k in range(1203):  # more than one part
+        (root / f"m{k}.py").write_bytes(b"x = 1\n")
+    first = sorted(f"m{k}.py" for k in range(1203))
+    assert followed(spark, root, tmp_path) == first
+    assert followed(spark, root, tmp_path) == first  # nothing came
+    os.rename(old, root / "pkg/old.py")
+    (root / "m7.py").write_bytes(b"x = 2\n")
+    (root / "pkg/bad.py").write_bytes(b"\xff")
+    (root / "m8.py").unlink()
+    assert followed(spark, root, tmp_path) == sorted([*first, "pkg/old.py", "m7.py"])
+
+
+def test_stream_runs_a_failed_batch_again(spark, tmp_path):
+    """The batch that failed holds its files when it is run again, and what came meanwhile is in a later one."""
+    root, seen = tmp_path / "tree", []
+    root.mkdir()
+    (root / "a.py").write_bytes(b"x = 1\n")
+
+    def run(fail):
+        def add(batch, n):
+            if fail:
+                raise RuntimeError("lost")
+            seen.extend((n, r.name) for r in batch.select("name").collect())
+
+        stream = follow_tree(spark, str(root), settleSeconds="0")
+        stream.writeStream.foreachBatch(add).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+
+    with pytest.raises(Exception, match="lost"):
+        run(True)
+    (root / "b.py").write_bytes(b"x = 2\n")
+    run(False)
+    run(False)
+    assert seen == [(0, "a.py"), (1, "b.py")]
+
+
+def test_stream_waits_for_files_to_settle(spark, tmp_path):
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree/new.py").write_bytes(b"x = 1\n")
+    assert followed(spark, tmp_path / "tree", tmp_path, settleSeconds="3600") == []
+    assert followed(spark, tmp_path / "tree", tmp_path) == ["new.py"]
+
+
+def test_tree_into_an_index(spark, tmp_path):
+    root = tmp_path / "tree"
+    root.mkdir()
+    ids = lambda: sorted(r.element_id for r in spark.read.parquet(str(tmp_path / "index")).where("element_type = 'FUNCTION'").collect())
+    for k in (1, 2):
+        (root / f"m{k}.py").write_bytes(f"def f{k}():\n    pass\n".encode())
+        ingest_tree(spark, str(tmp_path / "index"), str(tmp_path / "state"), str(root), settleSeconds="0").awaitTermination()
+        assert ids() == [f"m{j}.f{j}" for j in range(1, k + 1)]

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut, if_small
+
 #: Spellings that count as equal, applied in this order to text without punctuation.
 SPELLINGS = (
     ("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("non commercial", "noncommercial"),
@@ -78,39 +80,60 @@ def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, known: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+Known = dict[str, tuple[str, ...]] | DataFrame
+BROADCAST = 20_000  # known digests that are broadcast, some 3 MB; more are shuffled
+
+
+def license_files(spark: SparkSession, path: str) -> DataFrame:
+    """(license, text): every file below ``path`` as a licence, named as the file is, without ``.txt``."""
+    name = F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.txt$", "")
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    return files.select(F.url_decode(name).alias("license"), F.col("value").alias("text"))
+
+
+def known_digests(spark: SparkSession, known: Known | None = None) -> DataFrame:
     """(digest, license) of the known texts, as canonical as what is looked up; of licences with equal texts the first by
-    name. Its size is that of ``known``."""
-    rows = [(name, t) for name, texts in (known or KNOWN).items() for t in texts]
-    table = spark.createDataFrame(rows, "license string, text string")
+    name. ``known`` is KNOWN by default, texts by licence, or a table (license, text) of any size. Texts that are null
+    or have no words left, and rows without a licence, tell nothing and are left out."""
+    if isinstance(known, DataFrame):
+        table = known.select("license", "text").where("license IS NOT NULL")
+    else:
+        table = spark.createDataFrame([(name, t) for name, texts in (known or KNOWN).items() for t in texts], "license string, text string")
     whole = canonical(F.array_join(canonical_lines(F.col("text")), " "))
-    return table.select(digest(whole).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    texts = table.select(whole.alias("whole"), "license").where("whole != ''")
+    return texts.groupBy(digest(F.col("whole")).alias("digest")).agg(F.min("license").alias("license"))
 
 
-def find_licenses(docs: DataFrame, known: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def find_licenses(docs: DataFrame, known: Known | None = None) -> DataFrame:
     """Add ``digest`` (of the canonical document), ``license`` (the known licence the whole document is,
     or null), ``line_licenses`` (sorted, distinct) and ``n_license_lines`` to ``docs``.
 
     Null and empty texts have the digest of the empty text and no licence. Repeated rows give equal
     values; an empty table gives no rows; columns of ``docs`` with those names are replaced. Texts of any length are
-    read whole, and of licences with one text the first by name is told.
+    read whole, and of licences with one text the first by name is told. ``known`` as for ``known_digests``: a given
+    table's digests are broadcast up to BROADCAST of them and shuffled beyond that, with the same result.
     """
     table = known_digests(docs.sparkSession, known)
+    if isinstance(known, DataFrame):
+        table = cut(table)
+        table = if_small(table, table.count(), BROADCAST)
+    else:
+        table = F.broadcast(table)
     docs = docs.drop("digest", "license", "line_licenses", "n_license_lines")
     lines = canonical_lines(F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", F.xxhash64("text").alias("_hash"), F.posexplode(lines).alias("_at", "_line"))
     rows = rows.select("doc_id", "_hash", "_at", digest(canonical(F.col("_line"))).alias("digest"))
-    hits = rows.join(F.broadcast(table), "digest").dropDuplicates(["doc_id", "_hash", "_at"])
+    hits = rows.join(table, "digest").dropDuplicates(["doc_id", "_hash", "_at"])
     per = hits.groupBy(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h")).agg(F.sort_array(F.collect_set("license")).alias("line_licenses"), F.count(F.lit(1)).alias("n_license_lines"))
     whole = docs.withColumns({"digest": digest(canonical(F.array_join(lines, " "))), "_hash": F.xxhash64("text")})
-    out = whole.join(F.broadcast(table), "digest", "left")
+    out = whole.join(table, "digest", "left")
     out = out.join(per, out.doc_id.eqNullSafe(per._id) & (out._hash == per._h), "left").drop("_id", "_h", "_hash")
     return out.withColumns({"line_licenses": F.coalesce("line_licenses", F.array().cast("array<string>")), "n_license_lines": F.coalesce("n_license_lines", F.lit(0).cast("long"))})
 
 
-def licensed_documents(docs: DataFrame) -> DataFrame:
+def licensed_documents(docs: DataFrame, known: Known | None = None) -> DataFrame:
     """What op9 returns."""
-    return find_licenses(docs).select("doc_id", "digest", "license", F.array_join("line_licenses", ",").alias("line_licenses"), "n_license_lines")
+    return find_licenses(docs, known).select("doc_id", "digest", "license", F.array_join("line_licenses", ",").alias("line_licenses"), "n_license_lines")
 
 
 def _sql_lines(text: str) -> str:

@@ -128,6 +128,29 @@ def test_search_many_is_the_scan_for_each(spark):
             assert found.get(q, []) == [(r.element_id, r.score) for r in want], text
 
 
+def test_search_tables_in_blocks(spark, monkeypatch):
+    """Many blocks and parts, ids beyond doubles, ids that come twice, a null id: the same as one search for each query;
+    and the rows that leave Python are bounded by queries and parts, not by pairs of a query and a row."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(search, "BLOCK_PAIRS", 3)
+    monkeypatch.setattr(search, "CELLS", 7)
+    big = 1 << 60
+    rows = [(big + k % 150, [f"w{k % 7}", "common", f"xcommon{k % 3}", "é" * (k % 5)]) for k in range(200)] + [(None, ["common"]), (3, None)]
+    table = spark.createDataFrame(rows, "element_id long, tokens array<string>")
+    queries = [(k, f"common w{k} COMMON ééé") for k in range(9)] + [(50, None)]
+    got = search.search_tables(table, spark.createDataFrame(queries, "q long, text string"), "q", "text", 4)
+    found = {}
+    for r in got.orderBy("q", "rank").collect():
+        found.setdefault(r.q, []).append((r.element_id, r.score))
+    merged = table.select("element_id", F.explode("tokens").alias("token"))
+    for q, text in queries:
+        want = search.search_postings(merged, text or "", 4).collect()
+        assert found.get(q, []) == [(r.element_id, r.score) for r in want], text
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "Join" not in plan
+
+
 def test_prefix_many_is_every_prefix(spark):
     import random
 

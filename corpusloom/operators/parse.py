@@ -13,6 +13,8 @@ from ..functions import columns as C
 from ..functions.pysource import parse_safely, parse_with_fallbacks
 from ..model import PARSED, STUB, STUB_CODE, STUB_COLUMN, STUB_LINE
 
+ROWS = 500  # files whose rows are made at a time
+
 
 def parse_files(files: DataFrame, fallbacks: bool = False, partitions: int | None = None) -> DataFrame:
     """A row of PARSED for each file (path, content); with ``fallbacks`` through the whole chain. A null
@@ -22,8 +24,9 @@ def parse_files(files: DataFrame, fallbacks: bool = False, partitions: int | Non
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                yield pd.DataFrame([parse(p or "", c or b"") for p, c in zip(b["path"], b["content"])])
+            for at in range(0, len(b), ROWS):  # rows of elements are far larger than files
+                some = b.iloc[at : at + ROWS]
+                yield pd.DataFrame([parse(p or "", c or b"") for p, c in zip(some["path"], some["content"])])
 
     if partitions:
         files = files.repartition(partitions)

@@ -187,3 +187,34 @@ def test_parsed_once(spark):
     plan = e._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInPandas") == 1 and "Exchange" not in plan
     assert [(r.name, r.line_start) for r in e.orderBy("name").collect()] == [("C", 3), ("a", 1), ("f", 2)]
+
+
+def test_copies_of_a_deep_text_are_parsed_once(monkeypatch):
+    """What is too deep takes longest to parse; its error depends on the text alone."""
+    seen, own = [], pysource.ast.parse
+    monkeypatch.setattr(pysource, "_FAILED", {})
+    monkeypatch.setattr(pysource.ast, "parse", lambda code, *a, **k: seen.append(code) or own(code, *a, **k))
+    for text in (b"x" + b".a" * 20_000, b"-" * 20_000 + b"1"):
+        a, b = (pysource.parse_safely(p, text) for p in ("a.py", "b.py"))
+        assert a["error"]["error_type"] in ("RecursionError", "MemoryError") and a["error"] == b["error"] and b["file_path"] == "b.py"
+        assert seen.count(text.decode()) == 1
+    for k in range(3 * pysource.KEPT):
+        pysource.parse_safely("a.py", b"x%d" % k + b".a" * 20_000)
+    assert len(pysource._FAILED) == pysource.KEPT
+
+
+def test_walk_keeps_to_statements(monkeypatch):
+    """A definition costs no walk over the expressions of its file; blocks of every kind are entered."""
+    code = "def f():\n    return [" + "g(1), " * 200 + "]\ntry: pass\nexcept E:\n    def a(): pass\nelse:\n    def b(): pass\nfinally:\n    def c(): pass\nmatch x:\n    case 1:\n        def d(): (yield)\nwhile y:\n    def e(): pass\n"
+    entered, own = [], pysource.ast.iter_child_nodes
+    monkeypatch.setattr(pysource.ast, "iter_child_nodes", lambda n: entered.append(n) or own(n))
+    found = pysource.parse_safely("m.py", code.encode())["elements"]
+    assert [e["name"] for e in found] == ["m", "f", "a", "b", "c", "d", "e"] and found[5]["signature"]["is_generator"] and len(found[1]["calls"]) == 200
+    assert len(entered) < 200
+
+
+def test_small_tables_are_dealt_out(spark):
+    from corpusloom.plans import queries
+
+    for name in ("q55_parse_udtf", "q70_encodings"):
+        assert "RoundRobinPartitioning" in queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString(), name

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,16 +105,19 @@ def ancestors(edges: DataFrame) -> DataFrame:
     """(node, ancestor, depth): what lies above each node at any depth, for ``edges`` (node, parent), with the least depth.
     Paths double in each round, so there are about as many joins as the depth has binary digits. A node in a cycle has
     itself as an ancestor."""
-    reach = written(edges.where("node IS NOT NULL AND parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")).distinct(), "reach")
-    size = reach.count()
-    while size:
-        up = reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above"), F.col("depth").alias("more"))
-        longer = reach.join(up, "ancestor").select("node", F.col("above").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        reach = written(reach.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "reach")
-        before, size = size, reach.count()
-        if size == before:
-            break
-    return reach
+    paths = written(edges.where("node IS NOT NULL AND parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")).distinct(), "reach")
+    found, reach = [paths], 1  # tables of paths, and the depth that all of them together have
+    while True:
+        # What goes on from a path of full depth is new unless a shorter way was found; nothing found is written again.
+        known = reduce(DataFrame.unionByName, found)
+        last = known.where(F.col("depth") == reach).select("node", F.col("ancestor").alias("via"))
+        up = known.select(F.col("node").alias("via"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        longer = last.join(up, "via").groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+        fresh = written(longer.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti"), "reach")
+        if fresh.isEmpty():
+            return known
+        found.append(fresh)
+        reach *= 2
 
 
 def descendants(elements: DataFrame, element_id: str) -> DataFrame:

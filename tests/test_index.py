@@ -225,3 +225,11 @@ def test_ingest_reads_the_buckets_of_a_batch_only(spark, tmp_path):
     add_new(few, folder)
     got = spark.read.parquet(folder)
     assert got.count() == 3001 and got.select("element_id").distinct().count() == 3001
+
+
+def test_ancestors_are_written_once(spark, monkeypatch):
+    """Rounds write what is new only: all tables together have as many rows as the result."""
+    sizes, own = [], index.written
+    monkeypatch.setattr(index, "written", lambda df, name="table": (t := own(df, name), sizes.append(t.count()))[0])
+    got = index.ancestors(spark.createDataFrame([(k, k // 2) for k in range(2, 64)], "node long, parent long"))
+    assert got.count() == sum(sizes) == sum(k.bit_length() - 1 for k in range(2, 64))

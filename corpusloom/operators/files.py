@@ -43,10 +43,15 @@ def write_tree(files: DataFrame, root: str) -> None:
     root = mounted(root)
 
     def put(rows) -> None:
+        made: set[str] = set()
         for r in rows:
             path = os.path.join(root, r.path)
-            os.makedirs(os.path.dirname(path), exist_ok=True)
+            folder = os.path.dirname(path)
+            if folder not in made:
+                os.makedirs(folder, exist_ok=True)
+                made.add(folder)
             with open(path, "wb") as f:
                 f.write(bytes(r.content or b""))
 
-    files.select("path", "content").foreachPartition(put)
+    # Files cost the same however few bytes they have, so rows are dealt to all cores.
+    files.select("path", "content").repartition(files.sparkSession.sparkContext.defaultParallelism).foreachPartition(put)

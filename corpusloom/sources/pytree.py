@@ -36,6 +36,8 @@ EXCLUDED = (".venv", "venv", "__pycache__", ".git", "node_modules", ".tox", ".eg
 PROBE = 8192
 PARTS = 64  # folders from which the levels below are left to tasks
 SLICE = 500  # files of one folder for a part
+SLICES = 64  # parts of one folder at most: each of them lists the folder, so that more would cost the square of its files
+CHUNK = 10_000  # rows of a listing that a task holds
 PART_BYTES = 64 << 20
 
 
@@ -131,15 +133,19 @@ class TreeReader(DataSourceReader):
                 continue
             seen.add(real)
             try:
+                files, below = 0, []
                 with os.scandir(folder) as found:
-                    entries = list(found)
+                    for e in found:
+                        if not e.is_dir():
+                            files += 1
+                        elif self._enters(e):
+                            below.append(e.path)
             except OSError:
                 parts.append(TreePart(folder, False))
                 continue
-            files = sum(not e.is_dir() for e in entries)
-            of = max(1, -(-files // SLICE))
+            of = min(SLICES, max(1, -(-files // SLICE)))
             parts += [TreePart(folder, False, k, of) for k in range(of)]
-            below = [e.path for e in sorted(entries, key=lambda e: e.name) if e.is_dir() and self._enters(e)]
+            below.sort()
             if len(todo) + len(parts) + len(below) < PARTS or level == 0:
                 todo += [(p, level + 1, root) for p in below]
             else:
@@ -278,21 +284,39 @@ def crawl(spark: SparkSession, *roots: str, part_bytes: int = PART_BYTES, **opti
     schema = "root int, path string, name string, real string, folder boolean, size long, is_symlink boolean, skipped string"
     columns = [x.split()[0] for x in schema.split(", ")]
 
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"size": "Int64"})
+
     def level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The names in some folders. A folder of any size is listed as it is read, and its files are looked at later."""
         for b in batches:
             for root, folder in zip(b["root"], b["path"]):
-                entries, reason = tree.listed(folder)
-                rows = [(root, folder, os.path.basename(folder), None, False, None, False, reason)] if reason else []
-                for e in entries:
-                    if e.is_dir():
-                        if tree._enters(e):
-                            rows.append((root, e.path, e.name, os.path.realpath(e.path), True, None, False, None))
-                    else:
-                        head = tree.head(e.path, e.name, e.is_symlink())
-                        if head:
-                            rows.append((root, e.path, e.name, None, False, head[0], e.is_symlink(), head[1]))
+                rows = []
+                try:
+                    with os.scandir(folder) as found:
+                        for e in found:
+                            if not e.is_dir():
+                                rows.append((root, e.path, e.name, None, False, None, e.is_symlink(), None))
+                            elif tree._enters(e):
+                                rows.append((root, e.path, e.name, os.path.realpath(e.path), True, None, False, None))
+                            if len(rows) >= CHUNK:
+                                yield table(rows)
+                                rows = []
+                except OSError as e:
+                    rows.append((root, folder, os.path.basename(folder), None, False, None, False, f"unreadable folder: {e.strerror}"))
                 if rows:
-                    yield pd.DataFrame(rows, columns=columns).astype({"size": "Int64"})
+                    yield table(rows)
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The sizes of files, and why some are skipped; folders that can't be read are told already."""
+        for b in batches:
+            rows = []
+            for root, path, name, link, skipped in zip(b["root"], b["path"], b["name"], b["is_symlink"], b["skipped"]):
+                head = (None, skipped) if skipped else tree.head(path, name, link)
+                if head:
+                    rows.append((root, path, name, None, False, head[0], link, head[1]))
+            if rows:
+                yield table(rows)
 
     now = spark.createDataFrame([(k, r, r) for k, r in enumerate(tree.roots)], "root int, path string, real string")
     known, found, n = now.select("root", "real"), [], len(tree.roots)
@@ -308,6 +332,7 @@ def crawl(spark: SparkSession, *roots: str, part_bytes: int = PART_BYTES, **opti
     files = found[0]
     for f in found[1:]:
         files = files.unionByName(f)
+    files = written(files.repartition(4 * cores, "path").mapInPandas(heads, schema), "heads")
     # What is skipped needs no reading; the others are read where their bytes are dealt to.
     told = files.where("skipped IS NOT NULL").select("path", "name", "size", "is_symlink", F.lit(None).cast("binary").alias("content"), "skipped")
     good = files.where("skipped IS NULL").select("path", "name", "is_symlink", "size")

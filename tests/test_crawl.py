@@ -203,3 +203,14 @@ def test_tree_into_an_index(spark, tmp_path):
         (root / f"m{k}.py").write_bytes(f"def f{k}():\n    pass\n".encode())
         ingest_tree(spark, str(tmp_path / "index"), str(tmp_path / "state"), str(root), settleSeconds="0").awaitTermination()
         assert ids() == [f"m{j}.f{j}" for j in range(1, k + 1)]
+
+
+def test_a_large_folder_is_listed_a_bounded_number_of_times(tmp_path, monkeypatch):
+    from corpusloom.sources import pytree
+
+    monkeypatch.setattr(pytree, "SLICE", 1)
+    for k in range(100):
+        (tmp_path / f"m{k}.py").write_text("")
+    tree = pytree.TreeReader({"path": str(tmp_path)})
+    parts = tree.partitions()
+    assert len(parts) == pytree.SLICES and len({r[0] for p in parts for r in tree.read(p)}) == 100

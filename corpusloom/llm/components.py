@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+EDGES = 100_000  # for a partition of a round's result
+
+
+def _few(edges: DataFrame, n: int) -> DataFrame:
+    """``edges``, about ``n``, in as many partitions as they need: a round has several stages, and a small result in very many
+    partitions costs the driver more than the work."""
+    return edges.coalesce(max(edges.sparkSession.sparkContext.defaultParallelism, -(-n // EDGES)))
+
 
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)")).alias("s")).first()
@@ -18,20 +26,19 @@ def components(edges: DataFrame) -> DataFrame:
     repeats and loops allowed.
 
     Each round is two aggregations of minima (combined map-side) and two equi-joins whose skewed sides
-    adaptive execution may split; neighbour lists are never collected. Rounds grow with the logarithm of
-    the nodes. Three numbers a round reach the driver.
+    adaptive execution may split; neighbour lists are never collected. Each join is read once, and its rows give both edges.
+    Rounds grow with the logarithm of the nodes. Three numbers a round reach the driver.
     """
     tidy = lambda e: e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = cut(tidy(edges))
     state = _state(now)
     while state[0]:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = tidy(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select("u", F.col("m").alias("v")).union(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = cut(tidy(small))
+        ends = F.explode(F.array("u", "v")).alias("u")  # the edge of v and m, where they are equal, is a loop that goes
+        now = cut(_few(tidy(large.join(low, "u").select(ends, F.col("m").alias("v"))), state[0]))
         before, state = state, _state(now)
         if state == before:
             break

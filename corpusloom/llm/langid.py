@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from .common import fold, give_back, small_batches
 
 SAMPLE = 4_000  # at most so many labelled documents are learned from,
 LEAST = 20  # but so many of each language at least, or all that it has
@@ -207,7 +207,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Language
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = small_batches(texts).select("doc_id", "lang", F.array("text", *parts).alias("parts")).mapInPandas(reduced, f"doc_id {kind}, lang string, places binary, found binary").toPandas()
     got = got.sort_values(["doc_id", "lang", "places", "found"]) if len(got) else got
-    return LanguageModel([(np.frombuffer(p, "<u2"), np.frombuffer(v, "<f4")) for p, v in zip(got["places"], got["found"])], list(got["lang"]))
+    model = LanguageModel([(np.frombuffer(p, "<u2"), np.frombuffer(v, "<f4")) for p, v in zip(got["places"], got["found"])], list(got["lang"]))
+    del got
+    give_back()
+    return model
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:

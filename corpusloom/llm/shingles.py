@@ -132,11 +132,12 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, more_keys: Call
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs that reach ``percent``. Sets go to the pairs by a shuffle, those of b first, as few centres serve
         many pairs; a side whose sets are small in all is broadcast."""
-        both = pairs = cut(pairs.where(f"100 * least(m, n) >= {percent} * greatest(m, n)").select("a", "b").distinct())
+        pairs = cut(pairs.where(f"100 * least(m, n) >= {percent} * greatest(m, n)").select("a", "m", "b", "n").distinct())
+        used = pairs.select(F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("node"), F.col(size).alias("n")) for side, size in (("a", "m"), ("b", "n"))))).alias("x")).select("x.*").distinct()
+        hashes = {r.side: r.n for r in used.groupBy("side").agg(F.sum("n").alias("n")).collect()}
+        both = pairs = pairs.select("a", "b")
         for side in ("b", "a"):
-            used = pairs.select(F.col(side).alias("node")).distinct()
-            hashes = sets.select("node", "n").join(used, "node").agg(F.sum("n")).first()[0] or 0
-            these = F.broadcast(sets.join(used, "node", "left_semi")) if hashes <= SMALL else sets
+            these = F.broadcast(sets.join(pairs.select(F.col(side).alias("node")).distinct(), "node", "left_semi")) if hashes.get(side, 0) <= SMALL else sets
             both = both.join(these.selectExpr(f"node AS {side}", f"n AS n{side}", f"list AS l{side}"), side)
         both = both.withColumn("both", F.size(F.array_intersect("la", "lb")))
         return cut(both.where(f"100 * both >= {percent} * (na + nb - both)").selectExpr("least(a, b) AS u", "greatest(a, b) AS v"))

@@ -289,6 +289,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicMode
     got = held.mapInPandas(sums, "toxic int, x double").toPandas()
     if len(got):
         model.slope, model.shift = fit_curve(got["x"].to_numpy(float), got["toxic"].to_numpy(float))
+    del got
+    give_back()
     return model
 
 

@@ -89,3 +89,21 @@ def test_edges(spark, edge, nothing):
     got = {(r.doc_id, r.component_id) for r in shingles.groups(edge).collect()}
     assert {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (None, 3)} <= got
     assert shingles.groups(nothing).count() == 0
+
+
+def test_rounds_of_components_have_few_tasks(spark, monkeypatch):
+    """A round's result lies in as many partitions as its edges need, however many the session's shuffles have."""
+    from corpusloom.llm import components as C
+
+    sizes = []
+    monkeypatch.setattr(C, "cut", lambda df, cut=C.cut: sizes.append((made := cut(df)).rdd.getNumPartitions()) or made)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.range(1, 60).selectExpr("id AS u", "id - 1 AS v").union(spark.createDataFrame([(100, 101), (101, 100), (7, 7)], "u long, v long"))
+        assert {tuple(r) for r in C.components(edges).collect()} == {(k, 0) for k in range(60)} | {(100, 100), (101, 100)}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(sizes) > 2 and max(sizes[1:]) <= spark.sparkContext.defaultParallelism

@@ -12,7 +12,7 @@ bases are, and each level is one join. Classes in a cycle never are, and are tol
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -141,36 +141,42 @@ def resolution_orders(defs: DataFrame, bases: DataFrame) -> DataFrame:
     ``file::qualname``, and bases that no file defines by their text behind a question mark. ``problem``: null, ``conflict``
     where C3 has no order, ``cycle`` where bases lead back, or ``base`` where one of the bases has a problem.
 
-    There are as many rounds as levels of inheritance; each writes its classes.
+    There are as many rounds as levels of inheritance; each writes its classes, and reads only what the round before settled
+    and the bases. A class with one base is ready when that is; only those with several wait for the others.
     """
     classes = defs.where("element_type = 'CLASS'").select(_class("file_path", "qualname").alias("class")).distinct()
-    each = written(bases.select(_class("file_path", "qualname").alias("class"), "at", F.when(F.col("base_class").isNull(), F.concat(F.lit("?"), "base")).otherwise(_class("base_file", "base_class")).alias("base"), F.col("base_class").isNull().alias("outer")), "bases")
-    waiting = written(each.groupBy("class").agg(F.count(F.lit(1)).alias("n")), "waiting")
-    done = classes.join(waiting, "class", "left_anti").select("class", F.array("class").alias("order"))
-    done = written(done.withColumn("problem", F.lit(None).cast("string")), "orders")
-    parts, latest = [done], done
-    outer = each.where("outer").select("class", "at", "base", F.array("base").alias("order"), F.lit(None).cast("string").alias("problem"))
-    met = written(outer, "met")
+    named = bases.select(_class("file_path", "qualname").alias("class"), "at", F.when(F.col("base_class").isNull(), F.concat(F.lit("?"), "base")).otherwise(_class("base_file", "base_class")).alias("base"), F.col("base_class").isNull().alias("outer"))
+    each = written(named.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("class"))), "bases")
+    no = F.lit(None).cast("string")
+    done = classes.join(each, "class", "left_anti").select("class", F.array("class").alias("order"), no.alias("problem"))
+    inner = each.where("NOT outer").drop("outer")
+    met = each.where("outer").select("class", "at", "base", "n", F.array("base").alias("order"), no.alias("problem"))
+    single = F.concat(F.array("class"), "order").alias("order")
+    latest = written(done.unionByName(met.where("n = 1").select("class", single, "problem")), "orders")
+    parts, met = [latest], met.where("n > 1")
+    several = not each.where("n > 1").isEmpty()
     while True:
         # Only what the last round settled can make further classes ready.
-        fresh = each.where("NOT outer").join(latest.select(F.col("class").alias("base"), "order", "problem"), "base").select("class", "at", "base", "order", "problem")
-        met = written(met.unionByName(fresh), "met")
-        ready = met.groupBy("class").agg(F.count(F.lit(1)).alias("have"), F.array_sort(F.collect_list(F.struct("at", "base", "order"))).alias("all"), F.max(F.col("problem").isNotNull()).alias("bad")).join(waiting, "class").where("have = n")
-        one = F.col("all")[0]["order"]
-        merged = _merged(F.transform("all", lambda x: x["order"]), F.transform("all", lambda x: x["base"]))
-        single = ready.where("n = 1 AND NOT bad").select("class", F.concat(F.array("class"), one).alias("order"), F.lit(None).cast("string").alias("problem"))
-        several = ready.where("n > 1 AND NOT bad").select("class", merged.alias("m")).select("class", F.concat(F.array("class"), "m").alias("order"), F.when(F.col("m").isNull(), "conflict").alias("problem"))
-        broken = ready.where("bad").select("class", F.lit(None).cast("array<string>").alias("order"), F.lit("base").alias("problem"))
-        latest = written(single.unionByName(several).unionByName(broken), "orders")
+        fresh = inner.join(latest.select(F.col("class").alias("base"), "order", "problem"), "base").select("class", "at", "base", "n", "order", "problem")
+        ready = fresh.where("n = 1").select("class", single, F.when(F.col("problem").isNotNull(), "base").alias("problem"))  # a null order stays null
+        if several:
+            groups = met.unionByName(fresh.where("n > 1")).groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("at", "base", "order", "problem"))).alias("all"))
+            groups = written(groups.withColumn("bad", F.exists("all", lambda x: x["problem"].isNotNull())), "met")
+            met = groups.where("size(all) < n").select("class", "n", F.explode("all").alias("x")).select("class", "x.at", "x.base", "n", "x.order", "x.problem")
+            whole = groups.where("size(all) = n")
+            merged = _merged(F.transform("all", lambda x: x["order"]), F.transform("all", lambda x: x["base"]))
+            sound = whole.where("NOT bad").select("class", merged.alias("m")).select("class", F.concat(F.array("class"), "m").alias("order"), F.when(F.col("m").isNull(), "conflict").alias("problem"))
+            broken = whole.where("bad").select("class", F.lit(None).cast("array<string>").alias("order"), F.lit("base").alias("problem"))
+            ready = ready.unionByName(sound).unionByName(broken)
+        latest = written(ready, "orders")
         if latest.isEmpty():
             break
         parts.append(latest)
-        met = met.join(latest, "class", "left_anti")
-        waiting = waiting.join(latest, "class", "left_anti")
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    return found.unionByName(_stuck(each, waiting))
+    waiting = written(each.select("class").distinct().join(found.select("class"), "class", "left_anti"), "waiting")
+    return found if waiting.isEmpty() else found.unionByName(_stuck(each, waiting))
 
 
 def _stuck(each: DataFrame, waiting: DataFrame) -> DataFrame:
@@ -187,21 +193,36 @@ def _stuck(each: DataFrame, waiting: DataFrame) -> DataFrame:
     return waiting.select("class").join(cyclic, "class", "left").select("class", F.lit(None).cast("array<string>").alias("order"), F.coalesce("problem", F.lit("base")).alias("problem"))
 
 
-def lineage(orders: DataFrame) -> DataFrame:
-    """(class, at, ancestor), at from 1: what each class inherits from, the nearest first."""
-    return orders.select("class", F.posexplode("order").alias("at", "ancestor")).where("at > 0")
+def lineage(orders: DataFrame, *more: str) -> DataFrame:
+    """(class, at, ancestor), at from 1: what each class inherits from, the nearest first; with ``more`` columns."""
+    return orders.select("class", *more, F.posexplode("order").alias("at", "ancestor")).where("at > 0")
+
+
+def _met(orders: DataFrame, wanted: DataFrame, members: DataFrame) -> DataFrame:
+    """(class, at, ancestor, names): those of a class's ``wanted`` names (class, name) that an ancestor has among its
+    ``members`` (class, name), for all that has any. A class and an ancestor meet once, whatever the number of names."""
+    want = wanted.groupBy("class").agg(F.collect_set("name").alias("wanted"))
+    have = members.groupBy(F.col("class").alias("ancestor")).agg(F.collect_set("name").alias("have"))
+    up = lineage(orders.join(want, "class"), "wanted").join(have, "ancestor")
+    return up.select("class", "at", "ancestor", F.array_intersect("wanted", "have").alias("names")).where(F.size("names") > 0)
+
+
+def _members(known: DataFrame) -> DataFrame:
+    """(class, name) of targets that stand in something; what is no class is nobody's ancestor."""
+    name = F.substring_index("qualname", ".", -1)
+    return known.where(F.contains("qualname", F.lit("."))).select(_class("file_path", F.substring("qualname", F.lit(1), F.length("qualname") - F.length(name) - 1)).alias("class"), name.alias("name"))
 
 
 def overrides(known: DataFrame, orders: DataFrame) -> DataFrame:
     """(file_path, qualname, is_override, is_overridden) of every method. ``known``: targets."""
-    cut_off = F.length("qualname") - F.length(F.substring_index("qualname", ".", -1)) - 1
-    methods = known.where("element_type = 'METHOD'").select("file_path", "qualname", F.substring("qualname", F.lit(1), cut_off).alias("_c"), F.substring_index("qualname", ".", -1).alias("name"))
-    methods = written(methods.select("file_path", "qualname", _class("file_path", "_c").alias("class"), "name"), "methods")
-    above = methods.join(lineage(orders), "class").select("file_path", "qualname", F.col("ancestor").alias("class"), "name")
-    hits = written(above.join(methods.select("class", "name"), ["class", "name"]), "hits")
-    over = hits.select("file_path", "qualname").distinct().withColumn("is_override", F.lit(True))
-    under = hits.select("class", "name").distinct().withColumn("is_overridden", F.lit(True))
-    flagged = methods.join(over, ["file_path", "qualname"], "left").join(under, ["class", "name"], "left")
+    own = known.where("element_type = 'METHOD'")
+    name = F.substring_index("qualname", ".", -1)
+    methods = own.select("file_path", "qualname", _class("file_path", F.substring("qualname", F.lit(1), F.length("qualname") - F.length(name) - 1)).alias("class"), name.alias("name"))
+    pairs = methods.select("class", "name")
+    both = _met(orders, pairs, pairs).select("class", "ancestor", F.explode("names").alias("name"))
+    ends = F.explode(F.array(*(F.struct(F.col(c).alias("class"), F.lit(c == "class").alias("over"), F.lit(c != "class").alias("under")) for c in ("class", "ancestor")))).alias("x")
+    flags = both.select("name", ends).groupBy("x.class", "name").agg(F.max("x.over").alias("is_override"), F.max("x.under").alias("is_overridden"))
+    flagged = methods.join(flags, ["class", "name"], "left")
     return flagged.select("file_path", "qualname", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("is_override", "is_overridden")))
 
 
@@ -222,8 +243,12 @@ def call_graph(defs: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     own = own.select(*RESOLVED, "scope", F.substring_index("name", ".", -1).alias("member"), F.col("name").startswith("super").alias("above"))
     more = own.where("NOT above").select(*RESOLVED, F.col("file_path").alias("key_file"), F.concat("scope", F.lit("."), "member").alias("key"), F.lit(0).alias("rank"))
     if orders is not None:
-        up = own.withColumn("class", _class("file_path", "scope")).join(lineage(orders), "class")
-        more = more.unionByName(up.select(*RESOLVED, F.substring_index("ancestor", "::", 1).alias("key_file"), F.concat(F.substring_index("ancestor", "::", -1), F.lit("."), "member").alias("key"), F.col("at").alias("rank")))
+        up = own.withColumn("class", _class("file_path", "scope"))
+        near = _met(orders, up.select("class", F.col("member").alias("name")), _members(known)).select("class", "at", "ancestor", F.explode("names").alias("member"))
+        near = near.groupBy("class", "member").agg(F.min(F.struct("at", "ancestor")).alias("x"))  # what lies behind the nearest is never looked at
+        holder = F.substring_index("ancestor", "::", -1)
+        up = up.join(near, ["class", "member"]).select(*RESOLVED, "member", "x.at", "x.ancestor")
+        more = more.unionByName(up.select(*RESOLVED, F.substring("ancestor", F.lit(1), F.length("ancestor") - F.length(holder) - 2).alias("key_file"), F.concat(holder, F.lit("."), "member").alias("key"), F.col("at").alias("rank")))
     found = resolve(sites.select(*RESOLVED, scopes(bare, inside).alias("scopes")), known, bound, more)
     return sites.drop("element_type", "scope").join(found, RESOLVED).select("file_path", "qualname", "element_id", "name", "line", "times", "target_file", "target", "target_type", "target_id")
 

@@ -138,3 +138,25 @@ def test_filled_arrays(spark):
     empty = spark.createDataFrame([], "file_path string, qualname string, is_override boolean, is_overridden boolean")
     got = {r.name: (r.calls, r.called_by, r.is_override) for r in links.with_links(defs, links.call_graph(defs), empty).where("element_type = 'FUNCTION'").collect()}
     assert got == {"a": (["m.b", "m.c"], [], False), "b": (["m.c"], ["m.a"], False), "c": ([], ["m.a", "m.b"], False)}
+
+
+def test_rounds_stay_small(spark, monkeypatch):
+    """A later round of orders plans no more shuffles and broadcasts than an early one, and the nearest definition counts."""
+    plans = []
+
+    def kept(df, name="table"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return written(df, name)
+
+    depth = 12
+    code = "class K0:\n    def a(self): pass\n    def b(self): pass\n" + "".join(f"class K{k}(K{k - 1}):\n    def {'ab'[k % 2]}(self): super().a()\n" for k in range(1, depth))
+    defs = defs_of(spark, {"x::y/m.py": code, "n.py": "class P: pass\nclass Q(P): pass\nclass R(Q, P): pass\nclass S(P, Q): pass\nclass T(S, Q): pass\n"})
+    bases = links.class_bases(defs)
+    monkeypatch.setattr(links, "written", kept)
+    orders = written(links.resolution_orders(defs, bases), "orders")
+    assert len(plans) > depth and max(plans) <= 12
+    got = {r["class"]: (r.order, r.problem) for r in orders.collect()}
+    assert got[f"x::y/m.py::K{depth - 1}"][0] == [f"x::y/m.py::K{k}" for k in reversed(range(depth))]
+    assert got["n.py::R"] == (["n.py::R", "n.py::Q", "n.py::P"], None) and got["n.py::S"] == (None, "conflict") and got["n.py::T"] == (None, "base")
+    graph = {r.qualname: r.target for r in links.call_graph(defs, orders).where("name = 'super().a'").collect()}
+    assert graph == {f"K{k}.{'ab'[k % 2]}": f"K{(k - 1) // 2 * 2}.a" for k in range(1, depth)}

@@ -218,3 +218,16 @@ def test_small_tables_are_dealt_out(spark):
 
     for name in ("q55_parse_udtf", "q70_encodings"):
         assert "RoundRobinPartitioning" in queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_rows_go_to_arrow_as_they_are(spark):
+    """No nested value is converted by pandas on the way, and rows don't share what one of them holds."""
+    import gc
+
+    from corpusloom.functions import pysource
+
+    parsed = parse.parse_files(table(spark, SOURCE))
+    assert "MapInArrow" in parsed._jdf.queryExecution().executedPlan().toString()
+    assert parsed.select("elements").first()[0][0].name
+    row = pysource.parse_safely("a.py", b"def f(): pass\nclass A(B): x = 1\n")
+    assert gc.isenabled() and [len(e["bases"]) for e in row["elements"]] == [0, 0, 1] and pysource._NONE == []

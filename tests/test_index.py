@@ -233,3 +233,16 @@ def test_ancestors_are_written_once(spark, monkeypatch):
     monkeypatch.setattr(index, "written", lambda df, name="table": (t := own(df, name), sizes.append(t.count()))[0])
     got = index.ancestors(spark.createDataFrame([(k, k // 2) for k in range(2, 64)], "node long, parent long"))
     assert got.count() == sum(sizes) == sum(k.bit_length() - 1 for k in range(2, 64))
+
+
+def test_build_of_some_columns(spark, tmp_path):
+    """The same rows are chosen, and what isn't wanted stays out of the shuffle."""
+    from corpusloom.plans.build import build_index
+
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "m.py").write_text(f"class {folder.upper()}: pass\ndef f(): pass\n")
+    whole, some = build_index(spark, str(tmp_path))[0], build_index(spark, str(tmp_path), columns=("element_type",))[0]
+    assert some.columns == ["element_id", "file_path", "line_start", "element_type", "seq"]
+    key = lambda e: sorted(tuple(r) for r in e.select("element_id", "file_path", "line_start", "element_type").collect())
+    assert key(some) == key(whole) and len(key(some)) == 4

@@ -32,4 +32,12 @@ RAW_ELEMENT = (
     "scope:string,calls:array<struct<name:string,line:int>>>"
 )
 RAW_ERROR = "struct<error_type:string,message:string,line:int,column:int,traceback:string,code_snippet:string>"
-PARSED = f"file_path string, elements array<{RAW_ELEMENT}>, error {RAW_ERROR}, fallback_level int, issues_found array<string>, sanitized_lines int"
+PARSED_WITH = f"file_path string, elements array<{{element}}>, error {RAW_ERROR}, fallback_level int, issues_found array<string>, sanitized_lines int"
+PARSED = PARSED_WITH.format(element=RAW_ELEMENT)
+
+#: The parts of RAW_ELEMENT that the narrow view reads, and those that links read.
+COMPAT_ELEMENT = "struct<name:string,element_type:string,line_start:int,line_end:int,docstring:string,signature:struct<is_async:boolean>,depth_in_functions:int>"
+LINKED_ELEMENT = (
+    "struct<name:string,element_type:string,line_start:int,line_end:int,module_path:string,bases:array<string>,source_module:string,"
+    f"import_names:array<string>,import_aliases:{_PAIRS},is_from_import:boolean,scope:string,calls:array<struct<name:string,line:int>>>"
+)

@@ -5,42 +5,40 @@ from __future__ import annotations
 import gc
 from collections.abc import Callable, Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import columns as C
 from ..functions.pysource import parse_safely, parse_with_fallbacks
-from ..model import PARSED, STUB, STUB_CODE, STUB_COLUMN, STUB_LINE
+from ..model import PARSED_WITH, RAW_ELEMENT, STUB, STUB_CODE, STUB_COLUMN, STUB_LINE
 
 ROWS = 500  # files whose rows are made at a time
 
 
-def parse_files(files: DataFrame, fallbacks: bool = False, partitions: int | None = None) -> DataFrame:
+def parse_files(files: DataFrame, fallbacks: bool = False, partitions: int | None = None, element: str = RAW_ELEMENT) -> DataFrame:
     """A row of PARSED for each file (path, content); with ``fallbacks`` through the whole chain. A null
     content is an empty file; a file that can't be parsed is a row with an error, never a failure. A small table in few
-    partitions is dealt out to ``partitions``, since parsing costs more than moving it."""
+    partitions is dealt out to ``partitions``, since parsing costs more than moving it. ``element`` is the type of an element: a struct of
+    the fields that are wanted, because Spark can't tell Python which of them are read."""
     parse = parse_with_fallbacks if fallbacks else parse_safely
-    schema = to_arrow_schema(_parse_datatype_string(PARSED))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Arrow takes the rows as they are; pandas would have each nested value converted once more."""
-        for b in batches:
-            for at in range(0, b.num_rows, ROWS):  # rows of elements are far larger than files
-                some = b.slice(at, ROWS)
-                gc.disable()  # trees and rows have no cycles: the many searches for them while they grow take a third of the time
-                try:
-                    made = pa.RecordBatch.from_pylist([parse(p or "", c or b"") for p, c in zip(some["path"].to_pylist(), some["content"].to_pylist())], schema)
-                finally:
-                    gc.enable()
-                yield made
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Trees and rows hardly have cycles: looking for them again and again while they grow takes a third of the time.
+        gc.disable()
+        try:
+            for b in batches:
+                for at in range(0, len(b), ROWS):  # rows of elements are far larger than files
+                    some = b.iloc[at : at + ROWS]
+                    yield pd.DataFrame([parse(p or "", c or b"") for p, c in zip(some["path"], some["content"])])
+                    gc.collect(0)
+        finally:
+            gc.enable()
 
     if partitions:
         files = files.repartition(partitions)
-    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, PARSED)
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(run, PARSED_WITH.format(element=element))
 
 
 def _last_of_name(rows: Column) -> Column:

@@ -220,14 +220,36 @@ def test_small_tables_are_dealt_out(spark):
         assert "RoundRobinPartitioning" in queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString(), name
 
 
-def test_rows_go_to_arrow_as_they_are(spark):
-    """No nested value is converted by pandas on the way, and rows don't share what one of them holds."""
+def test_no_search_for_cycles_while_rows_are_made(spark, monkeypatch):
+    """Python's collector is off while a batch is parsed and made into Arrow, and on behind it; rows don't share what one holds."""
     import gc
 
     from corpusloom.functions import pysource
 
-    parsed = parse.parse_files(table(spark, SOURCE))
-    assert "MapInArrow" in parsed._jdf.queryExecution().executedPlan().toString()
-    assert parsed.select("elements").first()[0][0].name
     row = pysource.parse_safely("a.py", b"def f(): pass\nclass A(B): x = 1\n")
-    assert gc.isenabled() and [len(e["bases"]) for e in row["elements"]] == [0, 0, 1] and pysource._NONE == []
+    assert [len(e["bases"]) for e in row["elements"]] == [0, 0, 1] and pysource._NONE == []
+
+    class Files:
+        """Takes the place of a table, to run in this process what tasks run."""
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    import pandas as pd
+
+    run = parse.parse_files(Files())
+    on = [gc.isenabled() for _ in run(iter([pd.DataFrame({"path": ["a.py", None], "content": [b"x = 1\n", None]})] * 2))]
+    assert on == [False, False] and gc.isenabled()
+
+
+def test_wanted_fields_only(spark):
+    """A parse gives the fields that are asked for, and the narrow view over them is the one over all."""
+    from corpusloom.model import COMPAT_ELEMENT
+
+    narrow, whole = parse.parse_files(table(spark, SOURCE), element=COMPAT_ELEMENT), parse.parse_files(table(spark, SOURCE))
+    assert "decorators" not in narrow.schema["elements"].dataType.elementType.names
+    rows = [sorted(map(repr, parse.compat_elements(p).collect())) for p in (narrow, whole)]
+    assert rows[0] == rows[1] and rows[0]

@@ -18,6 +18,7 @@ WORD = rf"[^{WHITE}]+"
 
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
+EACH = 100_000  # rows of a few numbers, for a partition of a small result
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed(df: DataFrame, rows: int, each: int = EACH) -> DataFrame:
+    """``df``, of about ``rows`` rows at most, in partitions of about ``each``, and in as many as the cluster has cores at least; as it is, if
+    the session's shuffles have no more. A job of many stages over a small result would have a task for each of the
+    session's shuffle partitions in all of them, and the driver keeps a record of each task."""
+    spark = df.sparkSession
+    wanted = max(spark.sparkContext.defaultParallelism, -(-rows // each))
+    return df.coalesce(wanted) if wanted < int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def sorted_side(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join whose sides are shuffled anyway: they are merged. Adaptive execution would broadcast a small one, and
+    each broadcast within a minute takes a thread of its own in the driver, with its stack and its memory pool."""
+    return df.hint("merge")
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, whose rows will go to Python workers in Arrow batches of about BATCH_BYTES: by rows alone a batch of long texts
     would be many MB, held several times over. The session's setting is changed unless the user has one."""

@@ -22,12 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, if_small, join_hot, small_batches
+from .common import cut, give_back, if_small, join_hot, packed, small_batches, sorted_side
 from .components import components
 
 BANDS, ROWS = 20, 4
 STARS = 2
 SMALL = 1_000_000  # hashes, 8 MB: the sets of one side of the candidate pairs up to this size are broadcast
+PAIRS = 25_000  # candidates, whose sets are compared, for a partition
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK, _BITS = 1 << 12, 1 << 18
@@ -95,12 +96,13 @@ def _sketches(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
 def _prefix_pairs(rest: DataFrame, percent: int) -> DataFrame:
     """(a, m, b, n): all pairs of sets (node, n, root, list) of different roots that may reach ``percent``, m and n
     their sizes. Each of the two has a shingle of the other among its first n - ceil(percent * n / 100) + 1, and the
-    first that they share leaves enough shingles behind it in both."""
+    first that they share leaves enough shingles behind it in both. ``rest`` is read several times."""
+    hashes = rest.agg(F.sum("n")).first()[0] or 0
     each = rest.select("node", "n", "root", F.explode("list").alias("t"))
     often = each.groupBy("t").agg(F.count(F.lit(1)).alias("rows"))
-    order = each.join(often, "t").groupBy("node", "n", "root").agg(F.array_sort(F.collect_list(F.struct("rows", "t"))).alias("found"))
+    order = packed(each.join(sorted_side(often), "t"), hashes).groupBy("node", "n", "root").agg(F.array_sort(F.collect_list(F.struct("rows", "t"))).alias("found"))
     first = order.select("node", "n", "root", F.posexplode(F.expr(f"slice(found, 1, n - cast(ceil({percent} * n / 100) AS int) + 1)")).alias("at", "x"))
-    keys = cut(first.where("x.rows > 1").select("node", "n", "root", "at", F.col("x.t").alias("t")))
+    keys = cut(packed(first.where("x.rows > 1").select("node", "n", "root", "at", F.col("x.t").alias("t")), hashes))
     other = keys.selectExpr("t", "node AS a", "n AS m", "root AS _root", "at AS _at")
     enough = f"{100 + percent} * least(m - _at, n - at) >= {percent} * (m + n)"
     return keys.withColumnRenamed("node", "b").join(other, "t").where(f"a < b AND root <> _root AND {enough}").select("a", "m", "b", "n")
@@ -117,51 +119,69 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, more_keys: Call
     """
     docs = docs.select("doc_id", "text")
     prints = cut(_sketches(docs, shingle, False))
-    classes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("list").alias("keys"), F.count(F.lit(1)).alias("rows")))
+    total = prints.count()
+    made = prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("list").alias("keys"), F.count(F.lit(1)).alias("rows"))
+    classes = cut(packed(made, total))
     spread = classes.select("node", "n", F.explode("keys").alias("key"))
     if more_keys is not None:
         spread = spread.union(more_keys(classes).select("node", "n", "key"))
     sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = cut(spread.join(sizes, "key"))
-    degree = met.groupBy("node").agg(F.sum("size").alias("degree"))
-    members = met.join(degree, "node").select("key", "node", "n", "degree", F.col("node").alias("root"))
-    wanted = cut(classes.join(degree, "node", "left_semi").select(F.col("rep").alias("_rep")).distinct())
-    sets = _sketches(docs.join(if_small(wanted, wanted.count()), docs.doc_id.eqNullSafe(F.col("_rep")), "left_semi"), shingle, True)
-    sets = cut(sets.join(degree, "node", "left_semi").select("node", "n", "list").dropDuplicates(["node"]))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs that reach ``percent``. Sets go to the pairs by a shuffle, those of b first, as few centres serve
-        many pairs; a side whose sets are small in all is broadcast."""
-        pairs = cut(pairs.where(f"100 * least(m, n) >= {percent} * greatest(m, n)").select("a", "m", "b", "n").distinct())
-        used = pairs.select(F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("node"), F.col(size).alias("n")) for side, size in (("a", "m"), ("b", "n"))))).alias("x")).select("x.*").distinct()
-        hashes = {r.side: r.n for r in used.groupBy("side").agg(F.sum("n").alias("n")).collect()}
+    met = cut(packed(spread.join(sorted_side(sizes), "key"), total * (BANDS + 1)))
+    rows = met.count()
+    degree = cut(packed(met.groupBy("node").agg(F.sum("size").alias("degree")), min(rows, total)))
+    members = packed(met.join(sorted_side(degree), "node").select("key", "node", "n", "degree", F.col("node").alias("root")), rows)
+    wanted = cut(packed(classes.join(degree, "node", "left_semi").select(F.col("rep").alias("_rep"), "n"), total))
+    reps, hashes = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sets = _sketches(docs.join(if_small(wanted.select("_rep").distinct(), reps), docs.doc_id.eqNullSafe(F.col("_rep")), "left_semi"), shingle, True)
+    sets = cut(packed(sets.join(degree, "node", "left_semi").select("node", "n", "list").dropDuplicates(["node"]), hashes, SMALL))
+
+    def linked(pairs: DataFrame, rows: int | None) -> DataFrame:
+        """The pairs, ``rows`` at most if that is known, that reach ``percent``. Sets go to the pairs by a shuffle, those of b
+        first, as few centres serve many pairs; a side whose sets are small in all is broadcast."""
+        pairs = pairs.where(f"100 * least(m, n) >= {percent} * greatest(m, n)").select("a", "m", "b", "n")
+        if rows is None:
+            pairs = cut(pairs.distinct())
+            rows = pairs.count()
+            pairs = packed(pairs, rows, PAIRS)
+        else:
+            pairs = cut(packed(packed(pairs, rows).distinct(), rows, PAIRS))
+        ends = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("node"), F.col(size).alias("n")) for side, size in (("a", "m"), ("b", "n")))))
+        used = packed(pairs.select(ends.alias("x")).select("x.*").distinct(), 2 * rows)
+        hashes = used.agg(*(F.coalesce(F.sum(F.when(F.col("side") == side, F.col("n"))), F.lit(0)).alias(side) for side in "ab")).first()
         both = pairs = pairs.select("a", "b")
         for side in ("b", "a"):
-            these = F.broadcast(sets.join(pairs.select(F.col(side).alias("node")).distinct(), "node", "left_semi")) if hashes.get(side, 0) <= SMALL else sets
+            these = sets
+            if hashes[side] <= SMALL:
+                these = F.broadcast(packed(sets.join(pairs.select(F.col(side).alias("node")).distinct(), "node", "left_semi"), hashes[side], SMALL))
             both = both.join(these.selectExpr(f"node AS {side}", f"n AS n{side}", f"list AS l{side}"), side)
         both = both.withColumn("both", F.size(F.array_intersect("la", "lb")))
-        return cut(both.where(f"100 * both >= {percent} * (na + nb - both)").selectExpr("least(a, b) AS u", "greatest(a, b) AS v"))
+        return cut(packed(both.where(f"100 * both >= {percent} * (na + nb - both)").selectExpr("least(a, b) AS u", "greatest(a, b) AS v"), rows, PAIRS))
 
-    edges = tree = None
+    edges, tree, most = None, None, 0
     for k in range(STARS + 1):
         if k:
-            roots = members.join(tree.withColumnRenamed("root", "_root"), "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
+            roots = members.join(sorted_side(tree.withColumnRenamed("root", "_root")), "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
+            roots = packed(roots, rows)
             mixed = roots.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-            members = cut(roots.join(mixed.select("key"), "key", "left_semi"))
-            if members.isEmpty():
+            members = cut(packed(roots.join(sorted_side(mixed.select("key")), "key", "left_semi"), rows))
+            rows = members.count()
+            if not rows:
                 break
         if k < STARS:
             centre = members.groupBy("key").agg(F.max(F.struct("degree", "node", "n", "root")).alias("c"))
-            pairs = members.join(centre, "key").where("c.root <> root").selectExpr("c.node AS a", "c.n AS m", "node AS b", "n")
-            members = members.join(centre, "key").where("c.node <> node").select(members.columns)
+            with_centre = members.join(sorted_side(centre), "key")
+            pairs, n = with_centre.where("c.root <> root").selectExpr("c.node AS a", "c.n AS m", "node AS b", "n"), rows
+            members = packed(with_centre.where("c.node <> node").select(members.columns), rows)
         else:
-            pairs = _prefix_pairs(members.select("node", "root").distinct().join(sets, "node"), percent)
-        found = linked(pairs)
+            rest = cut(packed(members.select("node", "root").distinct().join(sorted_side(sets), "node"), hashes, SMALL))
+            pairs, n = _prefix_pairs(rest, percent), None
+        found = linked(pairs, n)
         edges = found if edges is None else edges.union(found)
-        tree = cut(components(edges))
+        most += found.count()
+        tree = cut(packed(components(edges, most), 2 * most))
     member = tree.join(classes, "node").select("node", "root", "rep")
     least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = member.join(least, "root").select("node", "root", "component_id")
-    component = cut(classes.join(named, "node", "left").select("node", "rows", F.coalesce("root", "node").alias("component"), F.coalesce("component_id", "rep").alias("component_id")))
-    total = component.agg(F.sum("rows")).first()[0] or 0
+    component = classes.join(named, "node", "left").select("node", "rows", F.coalesce("root", "node").alias("component"), F.coalesce("component_id", "rep").alias("component_id"))
+    component = cut(packed(component, total))
     return join_hot(prints.select("doc_id", "text_hash", "node"), component, "node", "rows", total).select("doc_id", "text_hash", "component", "component_id")

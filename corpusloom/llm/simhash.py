@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import shingles
-from .common import cut, if_small, join_hot, small_batches
+from .common import cut, if_small, join_hot, packed, small_batches, sorted_side
 from .components import components
 
 WIDTHS = (13, 13, 13, 13, 12)
@@ -106,6 +106,11 @@ def links(prints: DataFrame, shares: dict[str, int] | None = None) -> DataFrame:
     ``prints``: (fp), distinct. Pairs of thin buckets come one by one, those of buckets that stay full as stars.
     ``shares``, if given, gets the number of rows that each kind of key had to hold.
     """
+    return _links(prints, shares)[0]
+
+
+def _links(prints: DataFrame, shares: dict[str, int] | None = None) -> tuple[DataFrame, int]:
+    """``links``, and about how many rows they have at most."""
     starts = _starts()
     chain = " ".join(
         f"WHEN {i} THEN " + " AND ".join(f"bit_count({_turned('(a ^ b)', off)} & {(1 << bits) - 1}L) <= {budget}" for bits, budget in longer)
@@ -113,34 +118,42 @@ def links(prints: DataFrame, shares: dict[str, int] | None = None) -> DataFrame:
     )
     near = f"(CASE start {chain} END) AND bit_count(a ^ b) <= {TAU}"
     keys = ", ".join(f"{_turned('fp', off)} & {(1 << exact) - 1}L" for off, exact, _ in starts)
+    prints = cut(prints)
+    n = prints.count() * len(starts)
     rows = prints.select("fp", F.posexplode(F.expr(f"array({keys})")).alias("start", "bucket"))
-    found = []
+    found, most = [], 0
     for level in range(len(PARTS) + 1):
         sizes = rows.groupBy("start", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        members = cut(rows.join(sizes, ["start", "bucket"]))
+        members = cut(packed(rows.join(sorted_side(sizes), ["start", "bucket"]), n))
+        held = members.count()
         if shares is not None:
-            shares[f"keys {level}"] = members.count()
+            shares[f"keys {level}"] = held
         thin = members.where(F.col("n") <= BUCKET).groupBy("start", "bucket").agg(F.collect_list("fp").alias("fps"))
         pairs = F.expr(f"flatten(transform(fps, (a, k) -> transform(filter(slice(fps, k + 2, {BUCKET}), b -> {near}), b -> struct(a AS u, b AS v))))")
-        found.append(thin.select(F.explode(pairs).alias("e")).select("e.u", "e.v"))
-        full = members.where(F.col("n") > BUCKET).select("fp", "start").distinct()
-        if full.isEmpty():
+        found.append(packed(thin.select(F.explode(pairs).alias("e")).select("e.u", "e.v"), held * BUCKET // 2))
+        most += held * BUCKET // 2
+        full = cut(packed(members.where(F.col("n") > BUCKET).select("fp", "start").distinct(), held))
+        n = full.count()
+        if not n:
             break
         if level < len(PARTS):
             rows = full.select("fp", "start", F.explode(F.expr(_grown(level))).alias("bucket"))
+            n *= PARTS[level]
         else:
             flips = ", ".join(str(1 << k) + "L" for k in range(63))
             around = full.select("fp").distinct().select("fp", F.explode(F.expr(f"transform(array(0L, {flips}, shiftleft(1L, 63)), m -> fp ^ m)")).alias("near"))
+            n *= 65
             if shares is not None:
                 shares["neighbours"] = around.count()
-            stars = around.groupBy("near").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-            found.append(stars.select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).where("u <> v"))
-    return functools.reduce(DataFrame.union, found).distinct()
+            stars = packed(around, n).groupBy("near").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+            found.append(packed(stars.select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).where("u <> v"), n))
+            most += n
+    return packed(functools.reduce(DataFrame.union, found).distinct(), most), most
 
 
 def _components(fps: DataFrame) -> DataFrame:
     """(fp, root) of every fingerprint that has a link."""
-    return components(links(fps)).select(F.col("node").alias("fp"), "root")
+    return components(*_links(fps)).select(F.col("node").alias("fp"), "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -154,7 +167,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A null doc_id never names a component unless it holds no other.
     """
     prints = cut(fingerprints(docs))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    classes = cut(packed(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), prints.count()))
     tree = cut(_components(classes.select("fp")))
     member = tree.join(classes, "fp").select("fp", "root", "rep")
     least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -174,7 +187,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
     """
 
     def keys(classes: DataFrame) -> DataFrame:
-        tree = cut(_components(classes.select("fp").distinct()))
+        tree = cut(_components(packed(classes.select("fp").distinct(), classes.count())))
         root = classes.select("node", "n", "fp").join(tree, "fp", "left")
         return root.select("node", "n", F.xxhash64(F.coalesce("root", "fp"), F.lit("simhash")).alias("key"))
 
@@ -190,10 +203,11 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     own = [F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", zero).alias("_id")]
     keys = ["_null", "_id", "_hash"]  # in the order of the choice
     linked = similar_documents(docs, shingle, percent).select(*own, F.col("text_hash").alias("_hash"), "component")
-    texts = cut(linked.groupBy("component", *keys).agg(F.count(F.lit(1)).alias("n")))
+    n = docs.count()
+    texts = cut(packed(linked.groupBy("component", *keys).agg(F.count(F.lit(1)).alias("n")), n))
     first = texts.groupBy("component").agg(F.min(F.struct(*keys)).alias("first"))
-    rated = texts.join(first, "component").select(*keys, "n", (F.struct(*keys) == F.col("first")).alias("stays"))
-    moved = cut(rated.where("NOT stays OR n > 1"))  # all other rows stay as they are
+    rated = texts.join(sorted_side(first), "component").select(*keys, "n", (F.struct(*keys) == F.col("first")).alias("stays"))
+    moved = cut(packed(rated.where("NOT stays OR n > 1"), n))  # all other rows stay as they are
     moved = if_small(moved, moved.count())
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(*docs.columns).alias("_whole"), *own, F.xxhash64("text").alias("_hash"))
     alone = rows.join(moved, keys, "left_anti").select("_row.*")

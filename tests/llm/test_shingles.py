@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline as pipeline
-from corpusloom.llm import shingles
+from corpusloom.llm import shingles, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -107,3 +107,28 @@ def test_rounds_of_components_have_few_tasks(spark, monkeypatch):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert len(sizes) > 2 and max(sizes[1:]) <= spark.sparkContext.defaultParallelism
+
+
+def test_small_groups_have_few_tasks(spark):
+    """Links among few documents don't have a task for each of the session's shuffle partitions in every stage, and only
+    sets and ids that are meant to be broadcast are."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*words[k % 7 :], f"x{k // 2}"])) for k in range(40)]
+    docs, old = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.sparkContext.setJobGroup("few", "")
+        got = simhash.similar_documents(docs)
+        spark.sparkContext.setJobGroup("read", "")
+        component = {r.doc_id: r.component for r in got.collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = plain(rows)[0]
+    assert all((component[a] == component[b]) == (want[a] == want[b]) for a in want for b in want)
+    status = spark.sparkContext.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup("few") for s in status.getJobInfo(j).stageIds}
+    tasks = sum(info.numCompletedTasks for s in stages if (info := status.getStageInfo(s)))
+    assert stages and tasks < 12 * len(stages)

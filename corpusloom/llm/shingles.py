@@ -29,6 +29,7 @@ BANDS, ROWS = 20, 4
 STARS = 2
 SMALL = 1_000_000  # hashes, 8 MB: the sets of one side of the candidate pairs up to this size are broadcast
 PAIRS = 25_000  # candidates, whose sets are compared, for a partition
+HASHES = 500_000  # of whole sets, 4 MB, for a partition
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK, _BITS = 1 << 12, 1 << 18
@@ -133,7 +134,7 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, more_keys: Call
     wanted = cut(packed(classes.join(degree, "node", "left_semi").select(F.col("rep").alias("_rep"), "n"), total))
     reps, hashes = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     sets = _sketches(docs.join(if_small(wanted.select("_rep").distinct(), reps), docs.doc_id.eqNullSafe(F.col("_rep")), "left_semi"), shingle, True)
-    sets = cut(packed(sets.join(degree, "node", "left_semi").select("node", "n", "list").dropDuplicates(["node"]), hashes, SMALL))
+    sets = cut(packed(sets.join(degree, "node", "left_semi").select("node", "n", "list").dropDuplicates(["node"]), hashes, HASHES))
 
     def linked(pairs: DataFrame, rows: int | None) -> DataFrame:
         """The pairs, ``rows`` at most if that is known, that reach ``percent``. Sets go to the pairs by a shuffle, those of b
@@ -148,14 +149,15 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, more_keys: Call
         ends = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("node"), F.col(size).alias("n")) for side, size in (("a", "m"), ("b", "n")))))
         used = packed(pairs.select(ends.alias("x")).select("x.*").distinct(), 2 * rows)
         hashes = used.agg(*(F.coalesce(F.sum(F.when(F.col("side") == side, F.col("n"))), F.lit(0)).alias(side) for side in "ab")).first()
+        most = max(rows, (hashes["a"] + hashes["b"]) * PAIRS // HASHES)  # a task reads the sets of its pairs, few of them if they are long
         both = pairs = pairs.select("a", "b")
         for side in ("b", "a"):
             these = sets
             if hashes[side] <= SMALL:
-                these = F.broadcast(packed(sets.join(pairs.select(F.col(side).alias("node")).distinct(), "node", "left_semi"), hashes[side], SMALL))
+                these = F.broadcast(packed(sets.join(pairs.select(F.col(side).alias("node")).distinct(), "node", "left_semi"), hashes[side], HASHES))
             both = both.join(these.selectExpr(f"node AS {side}", f"n AS n{side}", f"list AS l{side}"), side)
         both = both.withColumn("both", F.size(F.array_intersect("la", "lb")))
-        return cut(packed(both.where(f"100 * both >= {percent} * (na + nb - both)").selectExpr("least(a, b) AS u", "greatest(a, b) AS v"), rows, PAIRS))
+        return cut(packed(both.where(f"100 * both >= {percent} * (na + nb - both)").selectExpr("least(a, b) AS u", "greatest(a, b) AS v"), most, PAIRS))
 
     edges, tree, most = None, None, 0
     for k in range(STARS + 1):
@@ -173,7 +175,7 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, more_keys: Call
             pairs, n = with_centre.where("c.root <> root").selectExpr("c.node AS a", "c.n AS m", "node AS b", "n"), rows
             members = packed(with_centre.where("c.node <> node").select(members.columns), rows)
         else:
-            rest = cut(packed(members.select("node", "root").distinct().join(sorted_side(sets), "node"), hashes, SMALL))
+            rest = cut(packed(members.select("node", "root").distinct().join(sorted_side(sets), "node"), hashes, HASHES))
             pairs, n = _prefix_pairs(rest, percent), None
         found = linked(pairs, n)
         edges = found if edges is None else edges.union(found)
